@@ -1,0 +1,57 @@
+"""Declared schemas of the stored tables."""
+
+from __future__ import annotations
+
+HEALTH = (
+    "time TIMESTAMP, database_id STRING, active_connections INT, max_connections INT, "
+    "cache_hit_ratio DOUBLE, qps DOUBLE, p50_latency_ms DOUBLE, p95_latency_ms DOUBLE, "
+    "p99_latency_ms DOUBLE, replication_lag_seconds DOUBLE, lock_waits INT, deadlocks INT, "
+    "disk_read_iops DOUBLE, disk_write_iops DOUBLE, cpu_pct DOUBLE, memory_pct DOUBLE"
+)
+POSTGRES_SAMPLE = (
+    "time TIMESTAMP, database_id STRING, active_connections BIGINT, max_connections INT, "
+    "cache_hit_ratio DOUBLE, lock_waits BIGINT, lock_wait_sessions BIGINT, total_xacts BIGINT, "
+    "deadlocks BIGINT, replication_lag_seconds DOUBLE"
+)
+MYSQL_SAMPLE = (
+    "time TIMESTAMP, database_id STRING, active_connections STRING, max_connections STRING, "
+    "cache_hit_ratio STRING, deadlocks STRING"
+)
+STATEMENT_STATS = (
+    "poll_time TIMESTAMP, database_id STRING, queryid STRING, query STRING, calls BIGINT, "
+    "total_exec_time DOUBLE, row_count BIGINT"
+)
+QUERY_SNAPSHOTS = (
+    "fingerprint STRING, database_id STRING, normalized_sql STRING, sample_sql STRING, "
+    "call_count BIGINT, mean_time_ms DOUBLE, p99_time_ms DOUBLE, total_time_ms DOUBLE, "
+    "access_pattern STRING, last_seen_at TIMESTAMP"
+)
+TABLE_STATS = (
+    "time TIMESTAMP, database_id STRING, table_name STRING, total_bytes BIGINT, dead_tuples BIGINT, "
+    "live_tuples BIGINT, dead_ratio_pct DOUBLE"
+)
+INDEX_STATS = (
+    "time TIMESTAMP, database_id STRING, table_name STRING, index_name STRING, index_scans BIGINT, "
+    "index_bytes BIGINT"
+)
+ALERTS = (
+    "database_id STRING, severity STRING, anomaly_type STRING, title STRING, description STRING, "
+    "sql_sample STRING, client_ip STRING, metric_value DOUBLE, detected_at TIMESTAMP"
+)
+ALERT_RULES = (
+    "rule_id INT, name STRING, metric STRING, condition STRING, threshold DOUBLE, "
+    "duration_seconds INT, severity STRING, notification_channels ARRAY<STRING>, is_active BOOLEAN"
+)
+DATABASES = (
+    "id STRING, name STRING, db_type STRING, host STRING, port INT, database_name STRING, "
+    "username STRING, is_active BOOLEAN, created_at TIMESTAMP, last_seen_at TIMESTAMP"
+)
+AUDIT_LOG = (
+    "proposal_id STRING, database_id STRING, action STRING, actor STRING, details STRING, "
+    "old_state STRING, new_state STRING, created_at TIMESTAMP, row_checksum STRING"
+)
+TABLES = {
+    "health_metrics": HEALTH, "query_snapshots": QUERY_SNAPSHOTS, "table_stats": TABLE_STATS,
+    "index_stats": INDEX_STATS, "alerts": ALERTS, "alert_rules": ALERT_RULES,
+    "monitored_databases": DATABASES, "audit_log": AUDIT_LOG,
+}
