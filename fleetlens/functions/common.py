@@ -62,3 +62,14 @@ def fixed_text(value: Column, digits: int) -> Column:
     if digits:
         text = F.concat(text, F.lit("."), F.lpad((scaled % 10**digits).cast("string"), digits, "0"))
     return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parser stops after a first complete value. Inside brackets and inside braces, whatever
+    follows that value breaks one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(listed & named & (F.trim(text) != ""), F.lit(False))

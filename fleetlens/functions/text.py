@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetlens.functions.common import is_json
+
 
 def json_text(raw: Column) -> Column:
     """Text from the first brace or bracket on, code fences dropped; NULL without one."""
@@ -17,7 +19,8 @@ def json_text(raw: Column) -> Column:
 
 def json_from_text(raw: Column) -> Column:
     """The JSON value inside free text as a VARIANT, NULL where none parses (keep the raw text then)."""
-    return F.try_parse_json(json_text(raw))
+    text = json_text(raw)
+    return F.when(is_json(text), F.try_parse_json(text))
 
 
 # Intent words in order of precedence.

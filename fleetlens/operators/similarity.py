@@ -97,12 +97,14 @@ def _swap(value: Column, used: int, width: int, slot: Column) -> Column:
 def near_pairs(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
     """Pairs of distinct fingerprints less than `threshold` (at most 8) bits apart.
 
-    Equal fingerprints collapse first, so copies cost nothing. Candidates meet on band keys; the
+    Equal fingerprints collapse first, so copies cost nothing, and are written once, because the
+    bands read them several times. Candidates meet on band keys; the
     distance test runs inside the join and only true pairs leave it.
     """
     if threshold > BANDS:
         raise ValueError(f"band keys are exact for thresholds up to {BANDS}")
-    keys = band_keys(fingerprints.select("simhash").distinct(), hot_rows)
+    nodes = cut_lineage(fingerprints.select("simhash").distinct(), "fingerprints")
+    keys = band_keys(nodes, hot_rows)
     a = keys.select("band", F.col("simhash").alias("a"))
     b = keys.select("band", F.col("simhash").alias("b"))
     return (

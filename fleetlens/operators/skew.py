@@ -1,42 +1,41 @@
 """Ordered work per key that never puts a hot key into one task.
 
-A window over `key` sorts a whole key in one task. Here a key with more than `hot_rows` rows is cut
-at quantiles of its own order value, so windows run over (key, chunk) and the pieces are stitched
-together exactly. Keys below the bound stay whole in chunk 0 and pay nothing but a count.
+A window over `key` sorts a whole key in one task. So each operator first asks, with one count over
+the key columns, whether any key has more than `hot_rows` rows. Mostly none has, and a plain window
+is the right plan. Otherwise hot keys are cut at quantiles of their own order value, windows run
+over (key, chunk), and the pieces are stitched together exactly.
 
-The cut table holds at most (rows / hot_rows) keys and about as many cut points, a bound that is
-known before it is built; that is what makes it safe to broadcast.
+The cut table holds at most rows / hot_rows keys and about as many cut points, a bound known before
+it is built; that is what makes it safe to broadcast. The same holds for the per-chunk tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_CUTS = 512
 
 
-def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
-    return hot_rows or int(df.sparkSession.conf.get("fleetlens.hotRows", str(HOT_ROWS)))
-
-
 def _order_value(df: DataFrame, split_on: str) -> Column:
     if df.schema[split_on].dataType.typeName().startswith("timestamp"):
         return F.unix_micros(F.col(split_on).cast("timestamp")).cast("double")
     return F.col(split_on).cast("double")
 
 
-def add_chunk(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int | None = None) -> DataFrame:
-    """Add `_chunk` (0 for ordinary keys) and `_hot`. Chunks follow the order of `split_on`.
+def chunked(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int | None = None) -> DataFrame | None:
+    """`df` with `_chunk` (0 for ordinary keys) and `_hot`, or None when no key is hot.
 
-    Equal values of `split_on` always share a chunk.
+    Chunks follow the order of `split_on`; equal values always share one.
     """
-    limit = _hot_rows(df, hot_rows)
-    value = _order_value(df, split_on)
+    limit = hot_rows or int(df.sparkSession.conf.get("fleetlens.hotRows", str(HOT_ROWS)))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    if hot.isEmpty():
+        return None
+    value = _order_value(df, split_on)
     points = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
     cuts = (
         df.join(F.broadcast(hot), list(keys))
@@ -58,30 +57,25 @@ def add_chunk(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int |
     )
 
 
-def _preceding_chunks(keys: Sequence[str]) -> Window:
+def _earlier_chunks(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], split_on: str,
-    hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], split_on: str, hot_rows: int | None = None
 ) -> DataFrame:
-    """Add `_pos` (1-based place of the row inside its key) and `_n` (rows of the key)."""
-    chunked = add_chunk(df, keys, split_on, hot_rows)
-    pieces = chunked.where("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    pieces = pieces.select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("_size").over(_preceding_chunks(keys)), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    w = Window.partitionBy(*keys, "_chunk")
+    """Add `_pos`: the 1-based place of the row inside its key."""
+    parts = chunked(df, keys, split_on, hot_rows)
+    if parts is None:
+        return df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = parts.where("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(*keys, "_chunk", F.sum("_size").over(_earlier_chunks(keys)).alias("_before"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        chunked.withColumn("_rn", F.row_number().over(w.orderBy(*order)))
-        .withColumn("_cnt", F.count(F.lit(1)).over(w))
-        .join(F.broadcast(pieces), [*keys, "_chunk"], "left")
+        parts.withColumn("_rn", F.row_number().over(w))
+        .join(F.broadcast(before), [*keys, "_chunk"], "left")
         .withColumn("_pos", F.col("_rn") + F.coalesce("_before", F.lit(0)))
-        .withColumn("_n", F.coalesce("_total", "_cnt"))
-        .drop("_rn", "_cnt", "_before", "_total", "_hot", "_chunk")
+        .drop("_rn", "_before", "_hot", "_chunk")
     )
 
 
@@ -90,20 +84,19 @@ def previous(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Add `out`: the latest non-null `value` on an earlier row of the key."""
-    chunked = add_chunk(df.withColumn("_v", value), keys, order[0], hot_rows)
-    spot = F.struct(*order)
+    df = df.withColumn("_v", value)
+    parts = chunked(df, keys, order[0], hot_rows)
+    if parts is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.last("_v", True).over(w)).drop("_v")
+    spot = F.when(F.col("_v").isNotNull(), F.struct(*order))
     carry = (
-        chunked.where(F.col("_hot"))
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), spot)).alias("_last"))
-        .select(*keys, "_chunk", F.last("_last", True).over(_preceding_chunks(keys)).alias("_carry"))
-    )
-    w = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        parts.where("_hot").groupBy(*keys, "_chunk").agg(F.max_by("_v", spot).alias("_last"))
+        .select(*keys, "_chunk", F.last("_last", True).over(_earlier_chunks(keys)).alias("_carry"))
     )
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        chunked.withColumn("_in", F.last("_v", True).over(w))
+        parts.withColumn("_in", F.last("_v", True).over(w))
         .join(F.broadcast(carry), [*keys, "_chunk"], "left")
         .withColumn(out, F.coalesce("_in", "_carry"))
         .drop("_v", "_in", "_carry", "_hot", "_chunk")
@@ -111,28 +104,35 @@ def previous(
 
 
 def rolling(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: int, measures: dict[str, callable],
-    hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: int,
+    measures: dict[str, Callable[[WindowSpec], Column]], hot_rows: int | None = None,
 ) -> DataFrame:
     """Add measures over the last `frame` rows of the key, the current one included.
 
-    `measures` maps a name to a function of the window. Chunks of hot keys are preceded by a halo:
-    the last `frame - 1` rows before them, however many earlier chunks that takes.
+    Chunks of hot keys are preceded by a halo: the last `frame - 1` rows before them, however many
+    earlier chunks that takes.
     """
     reach = frame - 1
-    chunked = add_chunk(df, keys, order[0], hot_rows).withColumn("_halo", F.lit(False))
-    hot = chunked.where("_hot")
+
+    def measured(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-reach, Window.currentRow)
+        return rows.select("*", *[measure(w).alias(name) for name, measure in measures.items()])
+
+    parts = chunked(df, keys, order[0], hot_rows)
+    if parts is None:
+        return measured(df, list(keys))
+    parts = parts.withColumn("_halo", F.lit(False))
+    hot = parts.where("_hot")
     sizes = hot.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    ends = sizes.withColumn(
-        "_start", F.coalesce(F.sum("_size").over(_preceding_chunks(keys)), F.lit(0))
-    )
-    left = ends.select(*keys, F.col("_chunk"), (F.col("_start") + F.col("_size")).alias("_end"))
+    ends = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(_earlier_chunks(keys)), F.lit(0)))
+    left = ends.select(*keys, "_chunk", (F.col("_start") + F.col("_size")).alias("_end"))
     right = ends.select(*keys, F.col("_chunk").alias("_target"), F.col("_start").alias("_tstart"))
-    # gap = rows between the end of one chunk and the start of a later one it still reaches into
+    # gap: rows between the end of a chunk and the start of a later one it may still reach into
+    gap = F.col("_tstart") - F.col("_end")
     reaches = (
         left.join(right, list(keys))
-        .where((F.col("_target") > F.col("_chunk")) & (F.col("_tstart") - F.col("_end") < reach))
-        .select(*keys, "_chunk", "_target", (F.col("_tstart") - F.col("_end")).alias("_gap"))
+        .where((F.col("_target") > F.col("_chunk")) & (gap < reach))
+        .select(*keys, "_chunk", "_target", gap.alias("_gap"))
     )
     backwards = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
     halo = (
@@ -142,10 +142,6 @@ def rolling(
         .where(F.col("_back") + F.col("_gap") <= reach)
         .withColumn("_chunk", F.col("_target"))
         .withColumn("_halo", F.lit(True))
-        .select(*chunked.columns)
+        .select(*parts.columns)
     )
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(-reach, Window.currentRow)
-    out = chunked.unionByName(halo)
-    for name, measure in measures.items():
-        out = out.withColumn(name, measure(w))
-    return out.where(~F.col("_halo")).drop("_halo", "_hot", "_chunk")
+    return measured(parts.unionByName(halo), [*keys, "_chunk"]).where(~F.col("_halo")).drop("_halo", "_hot", "_chunk")

@@ -13,6 +13,7 @@ from fleetlens.operators import skew
 from fleetlens.operators.topn import newest_then_filter
 
 FOLD_ROWS = 100_000
+STARTS_TYPE = "struct<state:string,starts:array<struct<_chunk:int,_start:string>>>"
 MOVES_TYPE = "struct<state:string,moves:array<struct<i:int,source:string,target:string>>>"
 
 
@@ -53,6 +54,25 @@ def _fold(events: Column, start: Column) -> Column:
     return F.aggregate(events, first.cast(MOVES_TYPE), step)
 
 
+def _entry_states(pieces: DataFrame, key: str, initial: str) -> DataFrame:
+    """(key, _chunk, _start): the state in which each piece of a hot key begins."""
+    exits = F.create_map(*[x for s in K.STATES for x in (F.lit(s), _fold(F.col("_e"), F.lit(s))["state"])])
+    chain = (
+        pieces.where("_hot").select(key, "_chunk", exits.alias("_exits")).groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_exits").alias("x")))).alias("_c"))
+    )
+    seed = F.struct(F.lit(initial).alias("state"), F.array().cast("array<struct<_chunk:int,_start:string>>").alias("starts"))
+
+    def chain_step(acc: Column, c: Column) -> Column:
+        begun = F.array(F.struct(c["_chunk"].alias("_chunk"), acc["state"].alias("_start")))
+        return F.struct(
+            F.map_from_entries(c["x"])[acc["state"]].alias("state"), F.concat(acc["starts"], begun).alias("starts")
+        ).cast(STARTS_TYPE)
+
+    starts = F.aggregate("_c", seed.cast(STARTS_TYPE), chain_step, lambda acc: acc["starts"])
+    return chain.select(key, F.inline(starts))
+
+
 def judged_events(
     events: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",), split_on: str | None = None,
     keep: Sequence[str] = (), initial: str = "proposed", hot_rows: int | None = None,
@@ -63,42 +83,29 @@ def judged_events(
     in ordered pieces: a piece maps each possible entry state to an exit state, the maps are chained
     (at most 512 per key), then each piece runs from its true entry state.
     """
-    chunked = skew.add_chunk(events, [key], split_on or order[0], hot_rows or FOLD_ROWS)
-    place = F.struct(*order, *[c for c in keep if c not in order], "trigger_name")
-    pieces = chunked.groupBy(key, "_chunk", "_hot").agg(F.array_sort(F.collect_list(place)).alias("_e"))
-    pieces = pieces.withColumn("_e", F.transform("_e", lambda e, i: F.struct(
-        i.alias("i"), *[e[c].alias(c) for c in (*order, *[k for k in keep if k not in order], "trigger_name")]
-    )))
-    exits = F.create_map(*[
-        x for s in K.STATES for x in (F.lit(s), _fold(F.col("_e"), F.lit(s))["state"])
-    ])
-    chain = (
-        pieces.where("_hot").select(key, "_chunk", exits.alias("_exits"))
-        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_exits").alias("x")))).alias("_c"))
-    )
-    state_type = "struct<state:string,starts:array<struct<_chunk:int,_start:string>>>"
-    seed = F.struct(
-        F.lit(initial).alias("state"), F.array().cast("array<struct<_chunk:int,_start:string>>").alias("starts")
-    ).cast(state_type)
-    starts = F.aggregate(
-        "_c", seed,
-        lambda acc, c: F.struct(
-            F.map_from_entries(c["x"])[acc["state"]].alias("state"),
-            F.concat(acc["starts"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["state"].alias("_start")))).alias("starts"),
-        ).cast(state_type),
-        lambda acc: acc["starts"],
-    )
-    entries = chain.select(key, F.inline(starts))
-    run = pieces.join(F.broadcast(entries), [key, "_chunk"], "left").withColumn(
-        "_start", F.coalesce("_start", F.lit(initial))
-    ).withColumn("_m", _fold(F.col("_e"), F.col("_start"))["moves"])
+    names = [*order, *[k for k in keep if k not in order], "trigger_name"]
+
+    def gathered(rows: DataFrame, by: list[str]) -> DataFrame:
+        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_e"))
+        return listed.withColumn("_e", F.transform("_e", lambda e, i: F.struct(
+            i.alias("i"), *[e[c].alias(c) for c in names]
+        )))
+
+    parts = skew.chunked(events, [key], split_on or order[0], hot_rows or FOLD_ROWS)
+    if parts is None:
+        run = gathered(events, [key]).withColumn("_start", F.lit(initial))
+    else:
+        pieces = gathered(parts, [key, "_chunk", "_hot"])
+        run = pieces.join(F.broadcast(_entry_states(pieces, key, initial)), [key, "_chunk"], "left").withColumn(
+            "_start", F.coalesce("_start", F.lit(initial))
+        )
+    run = run.withColumn("_m", _fold(F.col("_e"), F.col("_start"))["moves"])
 
     def judge(e: Column) -> Column:
         before = F.filter("_m", lambda m: m["i"] < e["i"])
         hit = F.filter("_m", lambda m: m["i"] == e["i"])
         source = F.coalesce(F.get(before, F.size(before) - 1)["target"], F.col("_start"))
         target = F.get(hit, F.lit(0))["target"]
-        names = (*order, *[k for k in keep if k not in order], "trigger_name")
         return F.struct(
             *[e[c].alias(c) for c in names], source.alias("from_state"),
             F.coalesce(target, source).alias("to_state"), target.isNotNull().alias("legal"),

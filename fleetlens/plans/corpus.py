@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import constants as K
-from fleetlens.functions.common import bind, fixed_text
+from fleetlens.functions.common import bind, fixed_text, is_json
 
 # Field of a plan document -> (column, type, default)
 FIELDS = [
@@ -86,7 +86,7 @@ def parse_plans(df: DataFrame, doc: str = "plan_json") -> DataFrame:
     `parse_error`.
     """
     text = F.col(doc)
-    broken = F.try_parse_json(text).isNull()
+    broken = ~is_json(text)
     head = F.when(F.trim(text).startswith("["), F.get_json_object(text, "$[0]")).otherwise(text)
     root = F.coalesce(F.get_json_object(F.col("_doc"), "$.Plan"), F.lit("{}"))
     # No branch is deeper than the number of child lists in the document.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.constants import FORECAST_DEFAULT
 from fleetlens.operators import abtest, forecast, quantiles, reconcile, rollups, workflow
 from fleetlens.plans import corpus
+from fleetlens.session import spread
 from suite.health import AS_OF, QPS, _rated, rounded
 from suite.views import table, view, with_views
 
@@ -45,7 +46,7 @@ def _parsed(spark, sf):
     i, j = F.col("plan_id"), F.col("plan_json")
     doc = F.when(i % 13 == 0, F.concat(F.lit("["), j, F.lit("]"))).when(
         i % 17 == 0, F.substring(j, F.lit(2), F.length(j))).otherwise(j)
-    return corpus.parse_plans(view(spark, sf, "plan_docs").select("plan_id", doc.alias("plan_json")))
+    return corpus.parse_plans(spread(view(spark, sf, "plan_docs")).select("plan_id", doc.alias("plan_json")))
 
 
 @query(PLANS + """ SELECT plan_id, path, parent_path, CAST(depth AS INTEGER) AS depth, node_type, relation_name, total_cost, plan_rows, actual_rows, loops,

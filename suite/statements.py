@@ -8,6 +8,7 @@ from fleetlens import constants as K
 from fleetlens.functions import sqltext, text
 from fleetlens.operators import conversation, lint, rollups, security, similarity, statements
 from fleetlens.plans import corpus
+from fleetlens.session import cut_lineage, spread
 from suite.health import rounded
 from suite.views import table, view, with_views
 
@@ -64,7 +65,11 @@ PATTERN = r"""CASE WHEN regexp_matches(normalized_sql, '^(CREATE|DROP|ALTER|TRUN
 
 
 def _log(spark, sf):
-    return view(spark, sf, "query_log")
+    return spread(view(spark, sf, "query_log"))
+
+
+def _prints(spark, sf):
+    return similarity.simhash_texts(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 # --- canonical text, fingerprints -----------------------------------------------------------------
@@ -86,8 +91,7 @@ DOCS = f"normed AS (SELECT doc_id, {normal('text')} AS normalized_sql FROM docum
 @query(f"WITH {DOCS} SELECT doc_id, {HEX} AS fingerprint FROM prints")
 def text_fingerprints(spark, sf):
     """Fingerprints of long texts, whole texts."""
-    out = similarity.simhash_texts(table(spark, sf, "documents"), "doc_id", "text")
-    return out.select("doc_id", sqltext.hex16(F.col("simhash")).alias("fingerprint"))
+    return _prints(spark, sf).select("doc_id", sqltext.hex16(F.col("simhash")).alias("fingerprint"))
 
 
 @query(with_views("query_log", more=NORMED + ", " + simhash("normed", "log_id", "normalized_sql")) + """,
@@ -112,8 +116,7 @@ near AS (SELECT x.fp AS a, y.fp AS b, CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER
 @query(f"WITH {NEAR} SELECT lower(lpad(hex(a), 16, '0')) AS first, lower(lpad(hex(b), 16, '0')) AS second, distance FROM near")
 def near_fingerprints(spark, sf):
     """Pairs of distinct fingerprints fewer than 8 bits apart."""
-    prints = similarity.simhash_texts(table(spark, sf, "documents"), "doc_id", "text")
-    pairs = similarity.near_pairs(prints)
+    pairs = similarity.near_pairs(_prints(spark, sf))
     a, b = sqltext.hex16(F.col("a")), sqltext.hex16(F.col("b"))
     return pairs.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"), "distance")
 
@@ -124,7 +127,7 @@ named AS (SELECT s AS fp, min(lower(lpad(hex(t), 16, '0'))) AS member, count(*)
 SELECT doc_id, members FROM prints JOIN named USING (fp)""")
 def similar_text_groups(spark, sf):
     """Connected groups of near fingerprints: how many distinct ones each text's group holds."""
-    prints = similarity.simhash_texts(table(spark, sf, "documents"), "doc_id", "text")
+    prints = cut_lineage(_prints(spark, sf), "prints")
     found = similarity.clusters(prints)
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     named = found.join(sizes, "cluster").select("simhash", "members")
@@ -241,7 +244,7 @@ scans AS (SELECT plan_id, CAST(json_extract(plan_json, '$.Plan.Plans[0]."Actual
 SELECT log_id, CAST(least(95, impact_score + CASE WHEN seq THEN 20 ELSE 0 END) AS INTEGER) AS impact_score FROM linted JOIN scans ON plan_id = log_id""")
 def lint_with_plans(spark, sf):
     """The statement's own plan adds a finding when it holds a reported sequential scan."""
-    plans = corpus.plan_summaries(corpus.parse_plans(view(spark, sf, "plan_docs"))).select(
+    plans = corpus.plan_summaries(corpus.parse_plans(spread(view(spark, sf, "plan_docs")))).select(
         F.col("plan_id").alias("log_id"), "has_seq_scan"
     )
     joined = _log(spark, sf).join(plans, "log_id", "left")
