@@ -70,7 +70,7 @@ def _entry_states(pieces: DataFrame, key: str, initial: str) -> DataFrame:
         ).cast(STARTS_TYPE)
 
     starts = F.aggregate("_c", seed.cast(STARTS_TYPE), chain_step, lambda acc: acc["starts"])
-    return chain.select(key, F.inline(starts))
+    return chain.select(key, F.inline_outer(starts))
 
 
 def judged_events(
@@ -111,7 +111,7 @@ def judged_events(
             F.coalesce(target, source).alias("to_state"), target.isNotNull().alias("legal"),
         )
 
-    return run.select(key, F.inline(F.transform("_e", judge)))
+    return run.select(key, F.inline_outer(F.transform("_e", judge)))
 
 
 def final_states(judged: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",)) -> DataFrame:

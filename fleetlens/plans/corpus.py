@@ -117,9 +117,10 @@ def is_seq_scan(n: Column) -> Column:
 
 def flatten_plans(parsed: DataFrame, key: str = "plan_id") -> DataFrame:
     """One row per node with its derived metrics; `root_cost` is the cost of the node's whole plan."""
-    flat = parsed.select(
-        key, F.get("nodes", F.lit(0))["total_cost"].alias("root_cost"), F.explode("nodes").alias("n")
-    )
+    # The outer form keeps the optimizer from testing (and so building) the node array a second time.
+    flat = parsed.where(~F.col("parse_error")).select(
+        key, F.get("nodes", F.lit(0))["total_cost"].alias("root_cost"), F.explode_outer("nodes").alias("n")
+    ).where(F.col("n").isNotNull())
     n = F.col("n")
     error = estimate_error(n)
     problem = (
@@ -139,7 +140,7 @@ def flatten_plans(parsed: DataFrame, key: str = "plan_id") -> DataFrame:
 def plan_totals(parsed: DataFrame, key: str = "plan_id") -> DataFrame:
     """Whole-plan figures from the root node."""
     root = F.get("nodes", F.lit(0))
-    return parsed.where(F.size("nodes") > 0).select(
+    return parsed.where(~F.col("parse_error")).select(
         key, root["total_cost"].alias("total_cost"),
         (root["actual_time_ms"] * root["loops"]).alias("total_time_ms"),
         "planning_time_ms", "execution_time_ms",
@@ -165,7 +166,7 @@ def plan_findings(nodes: DataFrame) -> DataFrame:
         F.when(_bad_estimate(n), "bad_estimate"),
         F.when(F.col("total_cost") > F.col("root_cost") * 0.5, "high_cost"),
     ))
-    return nodes.withColumn("finding", F.explode(kinds))
+    return nodes.withColumn("finding", F.explode_outer(kinds)).where(F.col("finding").isNotNull())
 
 
 def filter_columns(condition: Column, fixed: bool = False) -> Column:
@@ -199,7 +200,7 @@ def candidate_rollup(candidates: DataFrame) -> DataFrame:
 def plan_summaries(parsed: DataFrame, key: str = "plan_id", fixed: bool = False) -> DataFrame:
     """A short text per plan, built inside the row from its own nodes."""
     nodes = F.col("nodes")
-    totals = parsed.where(F.size("nodes") > 0).select(
+    totals = parsed.where(~F.col("parse_error")).select(
         key, "planning_time_ms", "execution_time_ms",
         F.get(nodes, F.lit(0)).alias("root"),
         F.filter(nodes, _reported_scan).alias("scans"),

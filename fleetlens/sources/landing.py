@@ -15,8 +15,7 @@ def read_landed(
     """Landed files under a declared schema. `since`/`until` prune `date=` folders."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {sorted(FORMATS)}")
-    reader = spark.read.schema(schema if "date=" not in path else schema)
-    df = reader.format(fmt).options(**options).load(path)
+    df = spark.read.schema(schema).format(fmt).options(**options).load(path)
     if since is not None and "date" in df.columns:
         df = df.where(F.col("date") >= F.lit(since).cast("date"))
     if until is not None and "date" in df.columns:
@@ -25,14 +24,14 @@ def read_landed(
 
 
 def stream_landed(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 1000,
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int | None = 1000,
     **options: str,
 ) -> DataFrame:
     """The same files as a stream; `files_per_trigger` bounds a micro-batch."""
-    return (
-        spark.readStream.schema(schema).format(fmt)
-        .option("maxFilesPerTrigger", files_per_trigger).options(**options).load(path)
-    )
+    reader = spark.readStream.schema(schema).format(fmt).options(**options)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path)
 
 
 def read_database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -1,2 +1,157 @@
+"""Streaming jobs and the metric store, run to the end of the landed data and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetlens.session import scratch
+from fleetlens.sources import landing, store
+from fleetlens.streaming import jobs
+from suite.alerting import LAG, POOL, ROUTE, SCORED, SPREAD, _spread
+from suite.health import QPS, rounded
+from suite.statements import ENRICHED, _slow
+from suite.views import VIEWS, table, view, with_views
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+SLICES, SLICE_ROWS = 3, 2_000_000
+
+
+def query(oracle: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            ORACLE[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def _feed(df, order: str, start) -> None:
+    """Land the table slice by slice in the order of `order` and let the stream catch up after each.
+
+    Every run resumes from the checkpoint of the one before. A slice is one micro-batch, so slices
+    are added as the table grows: none holds more than a few million rows.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "landed")
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    slices = max(SLICES, rows // SLICE_ROWS + 1)
+    step = (high - low) / slices
+    for i in range(slices):
+        piece = F.col(order) <= (high if i == slices - 1 else low + step * (i + 1))
+        if i:
+            piece = piece & (F.col(order) > low + step * i)
+        df.where(piece).write.mode("append").parquet(path)
+        start(landing.stream_landed(spark, path, df.schema, files_per_trigger=None)).awaitTermination()
+
+
+def _samples(stream):
+    """Health samples over a stream of events."""
+    stream.createOrReplaceTempView("events")
+    return stream.sparkSession.sql(VIEWS["health_metrics"])
+
+
+def _drain(df, order: str, job, mode: str = "append"):
+    """Feed a table through a streaming job and read what it wrote."""
+    spark = df.sparkSession
+    out, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
+    _feed(df, order, lambda stream: jobs.append_batches(job(stream), out, state, mode, once=True))
+    return spark.read.parquet(out)
+
+
+def _naive(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+@query(with_views("health_metrics") + """ SELECT database_id, date_trunc('hour', time) AS hour, round(avg(active_connections), 9) AS avg_connections,
+  round(avg(cache_hit_ratio), 9) AS avg_cache_hit_ratio, max(p99_latency_ms) AS max_p99_latency_ms, CAST(sum(deadlocks) AS BIGINT) AS total_deadlocks, count(*) AS samples
+FROM health_metrics GROUP BY 1, 2""")
+def live_hourly_rollup(spark, sf):
+    """Windows as the stream last updated them equal the batch rollup."""
+    updates = _drain(table(spark, sf, "events"), "event_id", lambda s: jobs.hourly_rollup(_samples(s)), "update")
+    out = jobs.latest_of(updates, ("database_id", "hour"))
+    return _naive(rounded(out, "avg_connections", "avg_cache_hit_ratio"), "hour")
+
+
+@query(with_views("health_metrics", more=QPS) + " SELECT event_id, database_id, time, qps FROM rated")
+def live_counter_rate(spark, sf):
+    out = _drain(table(spark, sf, "events"), "event_id", lambda s: jobs.counter_rate(_samples(s)))
+    return _naive(out.select("event_id", "database_id", "time", "qps"), "time")
+
+
+@query(with_views("health_metrics", more=SCORED) + " SELECT event_id, database_id, time, metric, value, round(zscore, 6) AS zscore FROM spikes")
+def live_zscore_spikes(spark, sf):
+    out = _drain(table(spark, sf, "events"), "event_id", lambda s: jobs.rolling_zscore(_samples(s)))
+    return _naive(rounded(out.drop("batch"), "zscore", digits=6), "time")
+
+
+@query(with_views("health_metrics") + f", raised AS ({POOL} UNION ALL {LAG}) SELECT database_id, severity, anomaly_type, title, metric_value, detected_at, {ROUTE} AS route FROM raised")
+def live_alert_routes(spark, sf):
+    """Alerts of each micro-batch in one folder per route."""
+    out, state = scratch(spark, "routes"), scratch(spark, "routes-state")
+    _feed(table(spark, sf, "events"), "event_id", lambda s: jobs.route_alerts(
+        jobs.threshold_alerts(_samples(s)), out, state, once=True))
+    return spark.read.parquet(out).select("database_id", "severity", "anomaly_type", "title", "metric_value", "detected_at", "route")
+
+
+@query(with_views("statement_stats", more=ENRICHED) + """ SELECT fingerprint, database_id, normalized_sql, sample_sql, access_pattern, call_count,
+  round(mean_time_ms, 9) AS mean_time_ms, round(total_time_ms, 9) AS total_time_ms, CAST(poll_date AS VARCHAR) AS last_seen FROM merged""")
+def live_query_snapshots(spark, sf):
+    """The snapshot table after all micro-batches were merged equals one batch merge."""
+    path, state = scratch(spark, "snapshots"), scratch(spark, "snapshots-state")
+    polls = _slow(spark, sf).withColumn("day", F.datediff("poll_time", F.lit("1970-01-01").cast("date")))
+    _feed(polls, "day", lambda s: jobs.upsert_statements(s, path, state, once=True))
+    out = store.read_snapshots(spark, path).withColumn("last_seen", F.col("last_seen_at").cast("string"))
+    return rounded(out.drop("first_rank", "last_rank", "queryid", "last_seen_at"), "mean_time_ms", "total_time_ms")
+
+
+@query(f"WITH {SPREAD} SELECT date_trunc('hour', detected_at) AS hour, count(*) AS n FROM spread WHERE {ROUTE} = 'digest' GROUP BY 1")
+def live_digest(spark, sf):
+    updates = _drain(_spread(spark, sf), "event_id", jobs.hourly_digest, "update")
+    return _naive(jobs.latest_of(updates, ("hour",)), "hour")
+
+
+@query("SELECT event_id, user_id, ts AS time FROM events")
+def live_deduplication(spark, sf):
+    """Every sample lands twice and comes out once."""
+    events = table(spark, sf, "events")
+    twice = events.unionByName(events).select("event_id", "user_id", F.col("ts").alias("time"))
+    twice = twice.withColumn("database_id", F.col("user_id"))
+    out = _drain(twice, "event_id", jobs.deduplicated)
+    return _naive(out.select("event_id", "user_id", "time"), "time")
+
+
+# --- store ----------------------------------------------------------------------------------------
+
+DATES = "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS date, count(*) AS n, CAST(sum(active_connections) AS BIGINT) AS connections FROM health_metrics"
+
+
+def _stored(spark, sf):
+    path = scratch(spark, "health")
+    store.append(view(spark, sf, "health_metrics"), path)
+    return path
+
+
+def _by_date(spark, path):
+    rows = spark.read.parquet(path)
+    return rows.groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("active_connections").alias("connections"))
+
+
+@query(with_views("health_metrics") + f" {DATES} GROUP BY 1")
+def stored_health(spark, sf):
+    """Append, then compact all dates older than two days: same rows, fewer files."""
+    path = _stored(spark, sf)
+    store.compact(spark, path, "2024-01-31")
+    return _by_date(spark, path)
+
+
+@query(with_views("health_metrics") + f" {DATES} WHERE time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+def retained_health(spark, sf):
+    """Seven days remain after retention."""
+    path = _stored(spark, sf)
+    store.retain(spark, path, store.RETENTION_DAYS["health_metrics"], "2024-01-31")
+    return _by_date(spark, path)
