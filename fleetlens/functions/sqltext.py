@@ -45,31 +45,11 @@ LANES = 0x0000000100000001
 LOW_LANE = 0xFFFFFFFF
 
 
-def majority_bits(lanes: list[Column] | Column, total: Column) -> Column:
-    """64-bit value whose bit is set where more than half of `total` hashes have it."""
-    def low(lane: Column) -> Column:
-        return lane.bitwiseAND(F.lit(LOW_LANE)) * 2 > total
-
-    def high(lane: Column) -> Column:
-        return F.shiftrightunsigned(lane, 32) * 2 > total
-
-    def bit(on: Column, at) -> Column:
-        place = F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
-        return F.when(on, place).otherwise(F.lit(0).cast("bigint"))
-
-    if isinstance(lanes, list):
-        out = F.lit(0).cast("bigint")
-        for j, lane in enumerate(lanes):
-            out = out.bitwiseOR(bit(low(lane), F.lit(j))).bitwiseOR(bit(high(lane), F.lit(j + 32)))
-        return out
-    pairs = F.transform(
-        lanes, lambda lane, j: bit(low(lane), j).bitwiseOR(bit(high(lane), j + F.lit(32)))
-    )
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-
-
 def simhash64(normalized: Column) -> Column:
-    """SimHash of a canonical statement as a signed long; repeated tokens count each time."""
+    """SimHash of a canonical statement as a signed long; repeated tokens count each time.
+
+    A bit is set where more than half of the token hashes have it.
+    """
     def lanes(hashes: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.lit(31)),
@@ -80,10 +60,30 @@ def simhash64(normalized: Column) -> Column:
             ),
         )
 
-    return bind(
-        F.transform(tokens(normalized), token_hash),
-        lambda hashes: majority_bits(lanes(hashes), F.size(hashes).cast("bigint")),
-    )
+    def bit(ones: Column, total: Column, at: Column) -> Column:
+        place = F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+        return F.when(ones * 2 > total, place).otherwise(F.lit(0).cast("bigint"))
+
+    def bits(hashes: Column) -> Column:
+        n = F.size(hashes).cast("bigint")
+        pairs = F.transform(lanes(hashes), lambda lane, j: bit(lane.bitwiseAND(F.lit(LOW_LANE)), n, j).bitwiseOR(
+            bit(F.shiftrightunsigned(lane, 32), n, j + F.lit(32))
+        ))
+        return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+
+    return bind(F.transform(tokens(normalized), token_hash), bits)
+
+
+def lane_sums(hashed: str = "_h") -> list[str]:
+    """SQL aggregates _l0 … _l31 over token hash rows: 32 sums that hold 64 bit counters."""
+    return [f"sum(shiftright({hashed}, {j}) & {LANES}L) AS _l{j}" for j in range(32)]
+
+
+def lane_bits(total: str = "_n") -> str:
+    """SQL expression of the SimHash over columns _l0 … _l31 and the number of hashes."""
+    low = [f"if((_l{j} & {LOW_LANE}L) * 2 > {total}, shiftleft(1L, {j}), 0L)" for j in range(32)]
+    high = [f"if(shiftrightunsigned(_l{j}, 32) * 2 > {total}, shiftleft(1L, {j + 32}), 0L)" for j in range(32)]
+    return " | ".join(low + high)
 
 
 def hex16(fingerprint: Column) -> Column:
@@ -99,9 +99,12 @@ def similar(a: Column, b: Column, threshold: int = 8) -> Column:
     return hamming(a, b) < threshold
 
 
-def access_pattern(normalized: Column, fallback: Column | None = None) -> Column:
-    """First rule that applies; `fallback` (a model's answer) replaces "unknown" where given."""
-    sql = F.upper(strip(normalized))
+def access_pattern(normalized: Column, fallback: Column | None = None, canonical: bool = False) -> Column:
+    """First rule that applies; `fallback` (a model's answer) replaces "unknown" where given.
+
+    `canonical` says that the text comes from `normalize_sql` and is trimmed and in capitals already.
+    """
+    sql = normalized if canonical else F.upper(strip(normalized))
     many_values = occurrences(sql, "(?) ") > 5
     point = (
         sql.rlike(K.POINT_HEAD) & sql.rlike(K.WHERE_WORD)

@@ -47,12 +47,7 @@ def rolling_zscore(
     """
     order = _order(tie)
     slim = df.select("database_id", *order, *[F.col(m).cast("double").alias(m) for m in metrics])
-    measures = {}
-    for m in metrics:
-        measures[f"mean_{m}"] = lambda w, m=m: F.avg(m).over(w)
-        measures[f"dev_{m}"] = lambda w, m=m: F.stddev_samp(m).over(w)
-    measures["_seen"] = lambda w: F.count(F.lit(1)).over(w)
-    scored = skew.rolling(slim, ["database_id"], order, frame, measures, hot_rows)
+    scored = skew.rolling_moments(slim, ["database_id"], order, frame, metrics, hot_rows)
     long = scored.where(F.col("_seen") >= min_rows).select(
         "database_id", *order,
         F.inline(F.array(*[

@@ -19,12 +19,9 @@ def simhash_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     words = df.select(key, F.explode_outer(T.tokens(T.normalize_sql(F.col(text)))).alias("_t"))
     hashed = words.select(key, T.token_hash(F.col("_t")).alias("_h"))
-    sums = [
-        F.sum(F.shiftright("_h", j).bitwiseAND(F.lit(T.LANES))).alias(f"_l{j}") for j in range(32)
-    ]
-    counted = hashed.groupBy(key).agg(F.count("_h").alias("_n"), *sums)
-    lanes = [F.coalesce(f"_l{j}", F.lit(0).cast("bigint")) for j in range(32)]
-    return counted.select(key, T.majority_bits(lanes, F.col("_n")).alias("simhash"))
+    counted = hashed.groupBy(key).agg(F.count("_h").alias("_n"), *[F.expr(x) for x in T.lane_sums()])
+    # A text without tokens has no sums; every comparison with NULL is false, which leaves 0.
+    return counted.selectExpr(key, f"{T.lane_bits()} AS simhash")
 
 
 def _bands(value: Column, used: int, width: int, count: int) -> list[Column]:

@@ -103,24 +103,14 @@ def previous(
     )
 
 
-def rolling(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: int,
-    measures: dict[str, Callable[[WindowSpec], Column]], hot_rows: int | None = None,
-) -> DataFrame:
-    """Add measures over the last `frame` rows of the key, the current one included.
-
-    Chunks of hot keys are preceded by a halo: the last `frame - 1` rows before them, however many
-    earlier chunks that takes.
-    """
-    reach = frame - 1
-
-    def measured(rows: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-reach, Window.currentRow)
-        return rows.select("*", *[measure(w).alias(name) for name, measure in measures.items()])
-
+def _with_halo(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int, hot_rows: int | None
+) -> tuple[DataFrame, list[str]]:
+    """Rows and the columns to window them by. Chunks of hot keys come with a halo (`_halo`): the last
+    `reach` rows before them, however many earlier chunks that takes."""
     parts = chunked(df, keys, order[0], hot_rows)
     if parts is None:
-        return measured(df, list(keys))
+        return df.withColumn("_halo", F.lit(False)), list(keys)
     parts = parts.withColumn("_halo", F.lit(False))
     hot = parts.where("_hot")
     sizes = hot.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
@@ -144,4 +134,66 @@ def rolling(
         .withColumn("_halo", F.lit(True))
         .select(*parts.columns)
     )
-    return measured(parts.unionByName(halo), [*keys, "_chunk"]).where(~F.col("_halo")).drop("_halo", "_hot", "_chunk")
+    return parts.unionByName(halo), [*keys, "_chunk"]
+
+
+def _without_halo(df: DataFrame) -> DataFrame:
+    return df.where(~F.col("_halo")).drop("_halo", "_hot", "_chunk")
+
+
+def rolling(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: int,
+    measures: dict[str, Callable[[WindowSpec], Column]], hot_rows: int | None = None,
+) -> DataFrame:
+    """Add measures over the last `frame` rows of the key, the current one included.
+
+    Spark computes each frame anew, `frame` steps a row; moments have `rolling_moments`.
+    """
+    rows, by = _with_halo(df, keys, order, frame - 1, hot_rows)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - frame, Window.currentRow)
+    return _without_halo(rows.select("*", *[measure(w).alias(name) for name, measure in measures.items()]))
+
+
+def rolling_moments(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: int, columns: Sequence[str],
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Add `mean_<c>`, `dev_<c>` (sample deviation) and `_seen` over the last `frame` rows of the key.
+
+    Rows are cut into blocks of `frame`. A frame is the tail of one block and the head of the next:
+    running aggregates up and down each block give both, and their moments merge. A row costs a few
+    steps instead of `frame`, and nothing is ever subtracted, so no digits cancel.
+    """
+    rows, by = _with_halo(df, keys, order, frame - 1, hot_rows)
+    key, up, down = ", ".join(by), ", ".join(order), ", ".join(f"{c} DESC" for c in order)
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+    def moments(c: str, direction: str) -> str:
+        over = f"OVER (PARTITION BY {key}, _block ORDER BY {direction} {running})"
+        return f"named_struct('n', cast(count({c}) {over} AS double), 'm', avg({c}) {over}, 'v', var_pop({c}) {over})"
+
+    # Head and tail of the frame, missing parts as zeros.
+    def part(c: str, name: str, field: str) -> str:
+        return f"coalesce({name}{c}.{field}, 0D) AS {field}{1 if name == '_head_' else 2}_{c}"
+
+    rows = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {up}) - 1 AS _rn")
+    rows = rows.selectExpr("*", f"_rn div {frame} AS _block")
+    rows = rows.selectExpr("*", "named_struct('block', _block, " + ", ".join(f"'{c}', {moments(c, down)}" for c in columns) + ") AS _tail")
+    rows = rows.selectExpr("*", *[f"{moments(c, up)} AS _head_{c}" for c in columns])
+    rows = rows.selectExpr("* EXCEPT (_tail)", f"lag(_tail, {frame - 1}) OVER (PARTITION BY {key} ORDER BY {up}) AS _lag")
+    rows = rows.selectExpr("*", "CASE WHEN _lag.block <> _block THEN _lag END AS _tail")
+    rows = rows.selectExpr("*", *[
+        part(c, name, field) for c in columns for name in ("_head_", "_tail.") for field in ("n", "m", "v")
+    ])
+    out = rows.selectExpr(
+        "*", f"least(_rn + 1, {frame}) AS _seen",
+        *[f"try_divide(m1_{c} * n1_{c} + m2_{c} * n2_{c}, n1_{c} + n2_{c}) AS mean_{c}" for c in columns],
+        *[
+            f"sqrt(try_divide(v1_{c} * n1_{c} + v2_{c} * n2_{c}"
+            f" + coalesce(try_divide((m1_{c} - m2_{c}) * (m1_{c} - m2_{c}) * n1_{c} * n2_{c}, n1_{c} + n2_{c}), 0D),"
+            f" nullif(greatest(n1_{c} + n2_{c} - 1, 0D), 0D))) AS dev_{c}"
+            for c in columns
+        ],
+    )
+    added = ["_seen", *[f"{m}_{c}" for m in ("mean", "dev") for c in columns]]
+    return _without_halo(out).select(*[c for c in df.columns if c != "_halo"], *added)

@@ -11,6 +11,7 @@ from fleetlens.constants import ACCESS_PATTERNS
 from fleetlens.functions import sqltext as T
 from fleetlens.functions.common import or_default
 from fleetlens.operators.topn import top_n
+from fleetlens.session import cut_lineage
 
 
 def slow_statements(
@@ -46,7 +47,7 @@ def enrich(statements: DataFrame, sql: str = "query") -> DataFrame:
         .withColumn("normalized_sql", T.normalize_sql(F.col(sql)))
         .withColumn("simhash", T.simhash64(F.col("normalized_sql")))
         .withColumn("fingerprint", T.hex16(F.col("simhash")))
-        .withColumn("access_pattern", T.access_pattern(F.col("normalized_sql")))
+        .withColumn("access_pattern", T.access_pattern(F.col("normalized_sql"), canonical=True))
     )
 
 
@@ -102,8 +103,9 @@ def top_slow(snapshots: DataFrame, n: int = 20) -> DataFrame:
 def labelled_features(statements: DataFrame, sql: str, label: str) -> DataFrame:
     """Distinct feature rows with their frequency as weight: a log of any size trains on few rows."""
     names = T.FEATURES
-    rows = statements.select(
-        *T.features(T.normalize_sql(F.col(sql))), F.array_position(F.lit(ACCESS_PATTERNS), F.col(label)).alias("_l")
+    norm = statements.withColumn("_n", T.normalize_sql(F.col(sql)))
+    rows = norm.select(
+        *T.features(F.col("_n")), F.array_position(F.lit(ACCESS_PATTERNS), F.col(label)).alias("_l")
     ).where(F.col("_l") > 0)
     return rows.withColumn("label", (F.col("_l") - 1).cast("double")).groupBy(*names, "label").agg(
         F.count(F.lit(1)).cast("double").alias("weight")
@@ -111,7 +113,11 @@ def labelled_features(statements: DataFrame, sql: str, label: str) -> DataFrame:
 
 
 def fit_classifier(training: DataFrame, algorithm: str = "forest", trees: int = 100, depth: int = 4):
-    """A pipeline model over FEATURES: one multi-class forest, or boosted trees one-vs-rest."""
+    """A pipeline model over FEATURES: one multi-class forest, or boosted trees one-vs-rest.
+
+    Training reads its rows several times, so the few weighted rows are written down first.
+    """
+    training = cut_lineage(training, "training")
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -132,5 +138,5 @@ def classify_unknown(statements: DataFrame, sql: str, model) -> DataFrame:
     scored = model.transform(norm.select("*", *T.features(F.col("normalized_sql"))))
     guess = F.get(F.lit(ACCESS_PATTERNS), F.col("prediction").cast("int"))
     return scored.select(
-        *statements.columns, T.access_pattern(F.col("normalized_sql"), guess).alias("access_pattern")
+        *statements.columns, T.access_pattern(F.col("normalized_sql"), guess, canonical=True).alias("access_pattern")
     )
