@@ -9,7 +9,7 @@ from fleetlens.sources import landing, store
 from fleetlens.streaming import jobs
 from suite.alerting import LAG, POOL, ROUTE, SCORED, SPREAD, _spread
 from suite.health import QPS, rounded
-from suite.statements import ENRICHED, _slow
+from suite.statements import ENRICHED, _slow, _snapshots
 from suite.views import VIEWS, table, view, with_views
 
 QUERIES: dict = {}
@@ -35,6 +35,8 @@ def _feed(df, order: str, start) -> None:
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "landed")
     low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    if rows == 0:
+        return  # nothing lands, nothing runs
     slices = max(SLICES, rows // SLICE_ROWS + 1)
     step = (high - low) / slices
     for i in range(slices):
@@ -104,7 +106,10 @@ def live_query_snapshots(spark, sf):
     path, state = scratch(spark, "snapshots"), scratch(spark, "snapshots-state")
     polls = _slow(spark, sf).withColumn("day", F.datediff("poll_time", F.lit("1970-01-01").cast("date")))
     _feed(polls, "day", lambda s: jobs.upsert_statements(s, path, state, once=True))
-    out = store.read_snapshots(spark, path).withColumn("last_seen", F.col("last_seen_at").cast("string"))
+    stored = store.read_snapshots(spark, path)
+    if stored is None:  # no slow statement at all
+        stored = _snapshots(spark, sf)
+    out = stored.withColumn("last_seen", F.col("last_seen_at").cast("string"))
     return rounded(out.drop("first_rank", "last_rank", "queryid", "last_seen_at"), "mean_time_ms", "total_time_ms")
 
 

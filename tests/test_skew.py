@@ -1,0 +1,108 @@
+"""Hot keys cut into chunks give exactly what whole keys give."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetlens import constants as K
+from fleetlens.operators import detectors, skew, snapshots, workflow
+from suite.views import RULES, view
+
+HOT = 60
+
+
+@pytest.fixture(scope="module")
+def samples(spark, sf):
+    """One database holds most rows; counters have gaps."""
+    df = view(spark, sf, "health_metrics")
+    i = F.col("event_id")
+    return df.withColumn("database_id", F.when(i % 5 < 4, "hot").otherwise(F.col("database_id"))).withColumn(
+        "total_xacts", F.when(i % 11 != 0, F.col("total_xacts"))
+    )
+
+
+def rows(df, digits=9):
+    def tidy(v):
+        return round(v, digits) if isinstance(v, float) else v
+
+    return sorted(tuple(tidy(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+def test_hot_keys_are_cut(samples):
+    parts = skew.chunked(samples, ["database_id"], "time", HOT)
+    sizes = {(r.database_id, r["_chunk"]): r["count"] for r in parts.groupBy("database_id", "_chunk").count().collect()}
+    hot = [n for (d, _), n in sizes.items() if d == "hot"]
+    assert len(hot) > 5 and max(hot) < 4 * HOT
+    assert skew.chunked(samples, ["database_id"], "time", 10**6) is None
+
+
+def test_counter_rate(samples):
+    one, many = (
+        snapshots.counter_rate(samples, tie="event_id", hot_rows=h).select("event_id", "qps") for h in (10**6, HOT)
+    )
+    assert rows(one) == rows(many)
+
+
+def test_counter_rate_equals_a_loop(samples):
+    got = {r.event_id: r.qps for r in snapshots.counter_rate(samples, tie="event_id", hot_rows=HOT).collect()}
+    last = {}
+    for r in samples.orderBy("time", "event_id").collect():
+        want = 0.0
+        if r.total_xacts is not None:
+            if r.database_id in last:
+                t, n = last[r.database_id]
+                seconds = (r.time - t).total_seconds()
+                want = max(0.0, (r.total_xacts - n) / seconds) if seconds > 0 else 0.0
+            last[r.database_id] = (r.time, r.total_xacts)
+        assert abs(got[r.event_id] - want) <= 0.0051
+
+
+def test_ordinal(samples):
+    got = skew.ordinal(samples, ["database_id"], [F.asc("time"), F.asc("event_id")], "time", HOT)
+    assert rows(got.select("event_id", "_pos")) == rows(
+        skew.ordinal(samples, ["database_id"], [F.asc("time"), F.asc("event_id")], "time", 10**6).select("event_id", "_pos")
+    )
+
+
+@pytest.mark.parametrize("hot", [10**6, HOT, 20])
+def test_rolling_moments_equal_plain_frames(samples, hot):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("database_id").orderBy("time", "event_id").rowsBetween(-49, 0)
+    value = F.col("p50_latency_ms")
+    want = samples.select(
+        "event_id", F.avg(value).over(w).alias("mean_p50_latency_ms"), F.stddev_samp(value).over(w).alias("dev_p50_latency_ms"),
+        F.count(F.lit(1)).over(w).alias("_seen"),
+    )
+    got = skew.rolling_moments(samples, ["database_id"], ["time", "event_id"], 50, ["p50_latency_ms"], hot)
+    assert rows(got.select(*want.columns), 7) == rows(want, 7)
+
+
+def test_iqr_outliers(samples):
+    one, many = (detectors.rolling_iqr(samples, frame=100, tie="event_id", hot_rows=h) for h in (10**6, HOT))
+    assert rows(one) == rows(many)
+
+
+def test_sustained_breaches(samples):
+    from fleetlens.operators.alerts import sustained_breaches
+
+    one, many = (sustained_breaches(samples, RULES, tie="event_id", hot_rows=h) for h in (10**6, HOT))
+    text = lambda d: rows(d.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in d.columns]))
+    assert text(one) == text(many)
+
+
+def test_workflow_fold(spark, sf):
+    events = view(spark, sf, "proposal_events").withColumn(
+        "proposal_id", F.when(F.col("proposal_id") % 3 == 0, 0).otherwise(F.col("proposal_id"))
+    ).withColumn("spot", F.col("seq") * 1e12 + F.col("l_partkey"))
+    order = ["seq", "l_partkey", "l_extendedprice"]
+    names = ["proposal_id", *order, "trigger_name", "from_state", "to_state", "legal"]
+    one, many = (
+        workflow.judged_events(events, order=order, split_on="spot", hot_rows=h).select(*names) for h in (10**6, HOT)
+    )
+    assert rows(one) == rows(many)
+    state = {}
+    for r in sorted(one.collect(), key=lambda r: (r.proposal_id, r.seq, r.l_partkey, r.l_extendedprice)):
+        before = state.get(r.proposal_id, "proposed")
+        target = K.TRANSITIONS.get((before, r.trigger_name))
+        assert (r.from_state, r.to_state, r.legal) == (before, target or before, target is not None)
+        state[r.proposal_id] = target or before
