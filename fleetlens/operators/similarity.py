@@ -1,4 +1,4 @@
-"""Fingerprint similarity: long texts, near pairs, clusters."""
+"""Fingerprint similarity: long texts, groups of near fingerprints."""
 
 from __future__ import annotations
 
@@ -91,33 +91,16 @@ def _swap(value: Column, used: int, width: int, slot: Column) -> Column:
     return F.when(slot == 0, value).otherwise(value.bitwiseXOR(flip))
 
 
-def near_pairs(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
-    """Pairs of distinct fingerprints less than `threshold` (at most 8) bits apart.
-
-    Equal fingerprints collapse first, so copies cost nothing, and are written once, because the
-    bands read them several times. Candidates meet on band keys; the
-    distance test runs inside the join and only true pairs leave it.
-    """
-    if threshold > BANDS:
-        raise ValueError(f"band keys are exact for thresholds up to {BANDS}")
-    nodes = cut_lineage(fingerprints.select("simhash").distinct(), "fingerprints")
-    keys = band_keys(nodes, hot_rows)
-    a = keys.select("band", F.col("simhash").alias("a"))
-    b = keys.select("band", F.col("simhash").alias("b"))
-    return (
-        a.join(b, "band")
-        .where((F.col("a") < F.col("b")) & T.similar(F.col("a"), F.col("b"), threshold))
-        .select("a", "b").distinct()
-        .withColumn("distance", T.hamming(F.col("a"), F.col("b")))
-    )
-
-
 def linking_pairs(nodes: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
-    """Enough near pairs (a, b) of distinct fingerprints to connect whatever `near_pairs` connects.
+    """Near pairs (a, b) of distinct fingerprints, just enough to connect all that are near.
 
     Each band elects its smallest member. Members near it link to it alone; pairs among them would
-    add nothing and are never formed. Only members that are not near it meet the whole band.
+    connect nothing new and are never formed, so a crowd of near copies costs one row per member.
+    Members that are not near it meet their band, which `band_keys` keeps small; the distance test
+    runs inside that join and only true pairs leave it.
     """
+    if threshold > BANDS:
+        raise ValueError(f"band keys are exact for thresholds up to {BANDS}")
     keys = band_keys(nodes, hot_rows)
     led = keys.join(keys.groupBy("band").agg(F.min("simhash").alias("_head")), "band")
     near = T.similar(F.col("simhash"), F.col("_head"), threshold)

@@ -108,23 +108,17 @@ def fingerprint_distances(spark, sf):
     return rows.select("log_id", sqltext.hamming(a, b).alias("distance"), sqltext.similar(a, b).alias("similar"))
 
 
-NEAR = DOCS + """, distinct_prints AS (SELECT DISTINCT fp FROM prints),
+NEAR = """, distinct_prints AS (SELECT DISTINCT fp FROM prints),
 near AS (SELECT x.fp AS a, y.fp AS b, CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER) AS distance FROM distinct_prints x JOIN distinct_prints y
   ON x.fp < y.fp AND bit_count(xor(x.fp, y.fp)) < 8)"""
 
 
-@query(f"WITH {NEAR} SELECT lower(lpad(hex(a), 16, '0')) AS first, lower(lpad(hex(b), 16, '0')) AS second, distance FROM near")
-def near_fingerprints(spark, sf):
-    """Pairs of distinct fingerprints fewer than 8 bits apart."""
-    pairs = similarity.near_pairs(_prints(spark, sf))
-    a, b = sqltext.hex16(F.col("a")), sqltext.hex16(F.col("b"))
-    return pairs.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"), "distance")
+GROUPED = NEAR + """, links AS (SELECT a AS s, b AS t FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT fp AS s, fp AS t FROM distinct_prints UNION SELECT r.s, l.t FROM reach r JOIN links l ON l.s = r.t),
+named AS (SELECT s AS fp, count(*) AS members FROM reach GROUP BY s)"""
 
 
-@query(f"""WITH RECURSIVE {NEAR}, links AS (SELECT a AS s, b AS t FROM near UNION ALL SELECT b, a FROM near),
-reach AS (SELECT fp AS s, fp AS t FROM distinct_prints UNION SELECT r.s, l.t FROM reach r JOIN links l ON l.s = r.t),
-named AS (SELECT s AS fp, min(lower(lpad(hex(t), 16, '0'))) AS member, count(*) AS members FROM reach GROUP BY s)
-SELECT doc_id, members FROM prints JOIN named USING (fp)""")
+@query(f"WITH RECURSIVE {DOCS}{GROUPED} SELECT doc_id, members FROM prints JOIN named USING (fp)")
 def similar_text_groups(spark, sf):
     """Connected groups of near fingerprints: how many distinct ones each text's group holds."""
     prints = cut_lineage(_prints(spark, sf), "prints")
@@ -134,6 +128,18 @@ def similar_text_groups(spark, sf):
     return prints.join(named, "simhash").select("doc_id", "members")
 
 
+# The SQL for these groups takes minutes; tests check them against brute force.
+@query()
+def similar_statement_groups(spark, sf):
+    """Statement shapes, how often each was seen, and how many near shapes its group holds."""
+    seen = statements.enrich(_log(spark, sf), "sql_text").groupBy("simhash").agg(F.count(F.lit(1)).alias("statements"))
+    seen = cut_lineage(seen, "shapes")
+    found = similarity.clusters(seen)
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    return seen.join(found.join(sizes, "cluster"), "simhash").select(
+        sqltext.hex16(F.col("simhash")).alias("fingerprint"), "members", "statements")
+
+
 def _count(word: str, c: str = "normalized_sql") -> str:
     return f"CAST((length({c}) - length(replace({c}, '{word}', ''))) / {len(word)} AS DOUBLE)"
 

@@ -33,15 +33,25 @@ def distance(a, b):
 
 
 @pytest.mark.parametrize("hot", [4096, 12, 2])
-def test_pairs_equal_brute_force(spark, values, hot):
-    df = spark.createDataFrame([(v,) for v in values * 2], "simhash bigint")
-    want = {(a, b) for a in values for b in values if a < b and distance(a, b) < 8}
-    got = similarity.near_pairs(df, hot_rows=hot).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
-    assert all(r.distance == distance(r.a, r.b) for r in got)
+def test_near_values_share_a_band(spark, values, hot):
+    df = spark.createDataFrame([(v,) for v in values], "simhash bigint")
+    keys = {}
+    for r in similarity.band_keys(df, hot).collect():
+        keys.setdefault(r.simhash, set()).add(r.band)
+    near = [(a, b) for a in values for b in values if a < b and distance(a, b) < 8]
+    assert near and all(keys[a] & keys[b] for a, b in near)
+
 
+def test_a_crowd_of_copies_stays_linear(spark):
+    base = random.Random(1).getrandbits(63)
+    crowd = sorted({base ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(i)})
+    df = spark.createDataFrame([(v,) for v in crowd], "simhash bigint")
+    assert similarity.linking_pairs(df).count() < 12 * len(crowd)
+    assert similarity.clusters(df).select("cluster").distinct().count() == 1
 
-def test_clusters_equal_union_find(spark, values):
+
+@pytest.mark.parametrize("hot", [4096, 12, 2])
+def test_clusters_equal_union_find(spark, values, hot):
     parent = {v: v for v in values}
 
     def find(v):
@@ -55,7 +65,7 @@ def test_clusters_equal_union_find(spark, values):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     df = spark.createDataFrame([(v,) for v in values], "simhash bigint")
-    got = {r.simhash: r.cluster for r in similarity.clusters(df, hot_rows=12).collect()}
+    got = {r.simhash: r.cluster for r in similarity.clusters(df, hot_rows=hot).collect()}
     assert got == {v: find(v) for v in values}
 
 
