@@ -64,12 +64,19 @@ def fixed_text(value: Column, digits: int) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise(""), text)
 
 
-def is_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value.
+END_MARK = "end-of-fleetlens-document"
 
-    The parser stops after a first complete value. Inside brackets and inside braces, whatever
-    follows that value breaks one of the two.
+
+def whole_json(text: Column) -> Column:
+    """The text as a VARIANT if all of it is one JSON value, else NULL.
+
+    The parser itself stops after a first complete value and ignores the rest. So the text is parsed
+    as the first of two entries, and only a parse that also reaches the second has read all of it.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.coalesce(listed & named & (F.trim(text) != ""), F.lit(False))
+    wrapped = F.try_parse_json(F.concat(F.lit('[{"v":'), text, F.lit('},"' + END_MARK + '"]')))
+
+    def value(v: Column) -> Column:
+        complete = F.try_variant_get(v, "$[1]", "string") == END_MARK
+        return F.when(complete, F.try_variant_get(v, "$[0].v", "variant"))
+
+    return bind(wrapped, value)

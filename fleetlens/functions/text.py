@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.common import is_json
+from fleetlens.functions.common import whole_json
 
 
 def json_text(raw: Column) -> Column:
@@ -19,8 +19,7 @@ def json_text(raw: Column) -> Column:
 
 def json_from_text(raw: Column) -> Column:
     """The JSON value inside free text as a VARIANT, NULL where none parses (keep the raw text then)."""
-    text = json_text(raw)
-    return F.when(is_json(text), F.try_parse_json(text))
+    return whole_json(json_text(raw))
 
 
 # Intent words in order of precedence.

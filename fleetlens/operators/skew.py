@@ -20,6 +20,11 @@ HOT_ROWS = 1_000_000
 MAX_CUTS = 512
 
 
+def row_limit(df: DataFrame, hot_rows: int | None) -> int:
+    """Rows a key may have before its work is split; the session may set its own bound."""
+    return hot_rows or int(df.sparkSession.conf.get("fleetlens.hotRows", str(HOT_ROWS)))
+
+
 def _order_value(df: DataFrame, split_on: str) -> Column:
     if df.schema[split_on].dataType.typeName().startswith("timestamp"):
         return F.unix_micros(F.col(split_on).cast("timestamp")).cast("double")
@@ -31,7 +36,7 @@ def chunked(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int | N
 
     Chunks follow the order of `split_on`; equal values always share one.
     """
-    limit = hot_rows or int(df.sparkSession.conf.get("fleetlens.hotRows", str(HOT_ROWS)))
+    limit = row_limit(df, hot_rows)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     if hot.isEmpty():
         return None

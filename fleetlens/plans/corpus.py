@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import constants as K
-from fleetlens.functions.common import bind, fixed_text, is_json
+from fleetlens.functions.common import bind, fixed_text, whole_json
 
 # Field of a plan document -> (column, type, default)
 FIELDS = [
@@ -34,75 +34,71 @@ FIELDS = [
     ("Filter", "filter_condition", "string", None),
     ("Rows Removed by Filter", "rows_removed_by_filter", "bigint", 0),
 ]
-NODE_JSON = ", ".join(f"`{name}` {kind}" for name, _, kind, _ in FIELDS)
-FRAME_TYPE = "struct<frontier:array<struct<path:array<int>,node:string>>,done:array<struct<path:array<int>,node:string>>>"
+ITEMS = "array<struct<path:array<int>,node:variant>>"
+FRAME_TYPE = f"struct<frontier:{ITEMS},done:{ITEMS}>"
 
 
 def _children(item: Column) -> Column:
-    """The child documents of one (path, node) with their paths."""
-    plans = F.from_json(item["node"], "`Plans` array<string>")["Plans"]
+    """The child nodes of one (path, node) with their paths."""
+    plans = F.try_variant_get(item["node"], "$.Plans", "array<variant>")
     return F.transform(
-        F.coalesce(plans, F.array().cast("array<string>")),
+        F.coalesce(plans, F.array().cast("array<variant>")),
         lambda child, i: F.struct(F.concat(item["path"], F.array(i)).alias("path"), child.alias("node")),
     )
 
 
 def _unfold(root: Column, levels: Column) -> Column:
-    """All (path, node) pairs below `root`, `levels` deep."""
-    start = F.array(F.struct(F.array(F.lit(0)).alias("path"), root.alias("node")))
+    """All (path, node) pairs from `root` on, `levels` deep."""
+    start = F.array(F.struct(F.array(F.lit(0)).alias("path"), root.alias("node"))).cast(ITEMS)
 
     def step(acc: Column, _: Column) -> Column:
         return bind(
             F.flatten(F.transform(acc["frontier"], _children)),
             lambda below: F.struct(below.alias("frontier"), F.concat(acc["done"], below).alias("done")),
-        )
+        ).cast(FRAME_TYPE)
 
     first = F.struct(start.alias("frontier"), start.alias("done")).cast(FRAME_TYPE)
-    return F.aggregate(F.sequence(F.lit(1), levels), first, lambda a, x: step(a, x).cast(FRAME_TYPE), lambda a: a["done"])
+    return F.aggregate(F.sequence(F.lit(1), levels), first, step, lambda a: a["done"])
 
 
 def _node(item: Column) -> Column:
-    raw = F.from_json(item["node"], NODE_JSON)
-
-    def build(n: Column) -> Column:
-        values = []
-        for name, column, kind, default in FIELDS:
-            value = n.getField(name)
-            values.append((F.coalesce(value, F.lit(default).cast(kind)) if default is not None else value).alias(column))
-        path = F.array_join(F.transform(item["path"], lambda p: p.cast("string")), ".")
-        parent = F.nullif(F.regexp_extract(path, r"^(.*)\.\d+$", 1), F.lit(""))
-        return F.struct(
-            item["path"].alias("place"), path.alias("path"), parent.alias("parent_path"),
-            (F.size(item["path"]) - 1).alias("depth"), *values,
-        )
-
-    return bind(raw, build)
+    values = []
+    for name, column, kind, default in FIELDS:
+        value = F.try_variant_get(item["node"], f"$['{name}']", kind)
+        values.append((F.coalesce(value, F.lit(default).cast(kind)) if default is not None else value).alias(column))
+    place = F.transform(item["path"], lambda p: p.cast("string"))
+    depth = F.size(item["path"]) - 1
+    parent = F.when(depth > 0, F.array_join(F.slice(place, F.lit(1), depth), "."))
+    return F.struct(
+        item["path"].alias("place"), F.array_join(place, ".").alias("path"), parent.alias("parent_path"),
+        depth.alias("depth"), *values,
+    )
 
 
 def parse_plans(df: DataFrame, doc: str = "plan_json") -> DataFrame:
     """Add `nodes` (in document order), `planning_time_ms`, `execution_time_ms`, `parse_error`.
 
-    A document is an object or a list whose first element counts. Broken JSON gives no nodes and
-    `parse_error`.
+    A document is an object or a list whose first element counts; it is parsed once. Broken JSON
+    gives no nodes and `parse_error`.
     """
-    text = F.col(doc)
-    broken = ~is_json(text)
-    head = F.when(F.trim(text).startswith("["), F.get_json_object(text, "$[0]")).otherwise(text)
-    root = F.coalesce(F.get_json_object(F.col("_doc"), "$.Plan"), F.lit("{}"))
+    listed = F.try_variant_get("_all", "$[0]", "variant")
+    empty = F.parse_json(F.lit("{}"))
+    root = F.coalesce(F.try_variant_get("_doc", "$.Plan", "variant"), empty)
     # No branch is deeper than the number of child lists in the document.
-    levels = F.greatest(F.lit(1), F.size(F.split(F.col("_doc"), '"Plans"')) - 1)
+    levels = F.greatest(F.lit(1), F.size(F.split(F.col(doc), '"Plans"')) - 1)
 
     def time(name: str) -> Column:
-        return F.coalesce(F.get_json_object(F.col("_doc"), f"$['{name}']").try_cast("double"), F.lit(0.0))
+        return F.coalesce(F.try_variant_get("_doc", f"$['{name}']", "double"), F.lit(0.0))
 
     return (
-        df.withColumn("parse_error", broken)
-        .withColumn("_doc", F.when(~broken, head))
-        .withColumn("_raw", F.when(F.col("_doc").isNotNull(), _unfold(root, levels)))
+        df.withColumn("_all", whole_json(F.col(doc)))
+        .withColumn("parse_error", F.col("_all").isNull())
+        .withColumn("_doc", F.when(F.trim(doc).startswith("["), listed).otherwise(F.col("_all")))
+        .withColumn("_raw", F.when(~F.col("parse_error"), _unfold(root, levels)))
         .withColumn("nodes", F.array_sort(F.transform("_raw", _node)))
         .withColumn("planning_time_ms", time("Planning Time"))
         .withColumn("execution_time_ms", time("Execution Time"))
-        .drop("_doc", "_raw")
+        .drop("_all", "_doc", "_raw")
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import snapshot, sqltext, text
@@ -95,10 +96,11 @@ def test_security_counts(spark):
     assert got == {q: n for q, n in cases.items() if n}
 
 
-def test_exclusive_percentiles(spark):
+@pytest.mark.parametrize("hot", [10**6, 20])
+def test_exclusive_percentiles(spark, hot):
     groups = {"a": [float(i) for i in range(1, 11)], "b": [3.0] * 50, "c": [1.0], "d": [(i * 37 % 101) / 7 - 3 for i in range(333)]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
-    got = {r.k: r for r in quantiles.exclusive_percentiles(df, ["k"], "v").collect()}
+    got = {r.k: r for r in quantiles.exclusive_percentiles(df, ["k"], "v", hot_rows=hot).collect()}
     assert abs(got["a"].p99 - 10.89) < 1e-12 and got["c"].p50 is None and got["b"].p95 == 3.0
     for k in "abd":
         cuts = statistics.quantiles(groups[k], n=100)
