@@ -30,9 +30,11 @@ def build_session(master: str | None = None, app: str = "fleetlens", **extra: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's spark.checkpoint.dir, a local one only without it."""
+    """Folder every executor can reach, named by spark.checkpoint.dir. A local session may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "fleetlens-" + spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
