@@ -80,6 +80,18 @@ def canonical_statements(spark, sf):
     return statements.enrich(_log(spark, sf), "sql_text").select("log_id", "normalized_sql", "access_pattern")
 
 
+@query(with_views("query_log", more=NORMED) + f" SELECT log_id, normalized_sql, {PATTERN} AS access_pattern FROM normed")
+def sql_functions(spark, sf):
+    """The same functions called from SQL."""
+    from fleetlens.functions.sqlfunctions import register
+
+    register(spark)
+    _log(spark, sf).createOrReplaceTempView("statements_seen")
+    return spark.sql("""
+        SELECT log_id, normalized_sql, access_pattern(normalized_sql) AS access_pattern
+        FROM (SELECT log_id, normalize_sql(sql_text) AS normalized_sql FROM statements_seen)""")
+
+
 @query(with_views("query_log", more=NORMED + ", " + simhash("normed", "log_id", "normalized_sql")) + f" SELECT log_id, {HEX} AS fingerprint FROM prints")
 def statement_fingerprints(spark, sf):
     return statements.enrich(_log(spark, sf), "sql_text").select("log_id", "fingerprint")
@@ -335,11 +347,10 @@ def top_slow_statements(spark, sf):
 
 
 @query(with_views("statement_stats", more=ENRICHED) + """ SELECT database_id, access_pattern, CAST(sum(call_count) AS BIGINT) AS calls,
-  round(sum(total_time_ms), 4) AS total_time_ms, count(*) AS statements,
+  round(sum(total_time_ms), 9) AS total_time_ms, count(*) AS statements,
   round(sum(total_time_ms) / sum(sum(total_time_ms)) OVER (PARTITION BY database_id), 9) AS time_share FROM merged GROUP BY 1, 2""")
 def workload_summary(spark, sf):
-    out = rounded(rollups.workload_summary(_snapshots(spark, sf)), "time_share")
-    return rounded(out, "total_time_ms", digits=4)
+    return rounded(rollups.workload_summary(_snapshots(spark, sf)), "time_share", "total_time_ms")
 
 
 @query(with_views("statement_stats", more=SLOW) + """ SELECT database_id, CAST(poll_date AS VARCHAR) AS poll, CAST((rn - 1) // 20 AS BIGINT) AS batch,

@@ -140,3 +140,15 @@ def test_registry(spark):
         ("postgresql", "h2", 5432, "y", "a"),
     }
     assert got["mysql", "h", 3306, "x", ""] == hashlib.sha256(b"mysql:h:3306:x").hexdigest()[:16]
+
+
+def test_sql_functions_equal_column_functions(spark):
+    from fleetlens.functions.sqlfunctions import register
+
+    register(spark)
+    spark.createDataFrame([(s,) for s in STATEMENTS], "s string").createOrReplaceTempView("seen")
+    for r in spark.sql("select s, normalize_sql(s) n, access_pattern(normalize_sql(s)) p from seen").collect():
+        assert r.n == canonical(r.s)
+        assert [r.p] == column(spark, [r.n], sqltext.access_pattern)
+    assert spark.sql("select fingerprint_distance(-1, 0), fingerprint_similar(5, 4), fingerprint_hex(255)").first()[:] == (
+        64, True, "00000000000000ff")
