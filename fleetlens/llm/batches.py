@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Text bytes a task works on at a time; one longer text is worked on alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def text_lengths(column: pa.Array) -> np.ndarray:

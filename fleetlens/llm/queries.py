@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, tokenfiles, wholetokens
+from fleetlens.llm import decontaminate, langid, linerules, secretledger, tokenfiles, wholetokens
+from fleetlens.llm.oracles import ORACLE  # noqa: F401
+from fleetlens.session import scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,5 +30,23 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op6_token_files, op7_token_counts)}
-ORACLE: dict[str, str] = {}
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
+
+
+def op5_line_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = linerules.judge(table(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
+
+
+def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger = secretledger.Ledger(spark, scratch(spark, "ledger"))
+    ledger.update(docs)
+    return secretledger.digest(ledger.of_paths(docs))
+
+
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op10_secret_scan)}

@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from fleetlens.llm.batches import pieces, strings
-from fleetlens.llm.wholetokens import Chunks, chunks, specials
+from fleetlens.llm.chunks import Memory, encode_chunks, library, specials, spread
 from fleetlens.session import scratch
 
 END = 0
@@ -37,24 +36,16 @@ FILE_BYTES = 64 << 20
 
 def encoder(path: str, end: int = END):
     """Function from texts to (values, lengths): all ids one after another, the end id after each text."""
-    t = Tokenizer.from_file(path)
-    marked = specials(t)
+    t = library(path)
+    stop = np.array([end], "<u4").tobytes()
 
-    def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(t.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4").tobytes() for x in texts]
 
-    tail = Chunks(lambda words: raw([" " + w for w in words]))
-    stop = np.array([end], "<u4").tobytes()
+    memory = Memory(lambda words: [x.tobytes() for x in encode_chunks(t, words)], {"": b"", "\n": whole(["\n"])[0]})
 
     def encode(texts: list[str]) -> tuple[bytes, list[int]]:
-        cut = [None if any(s in x for s in marked) else chunks(x) for x in texts]
-        whole = iter(raw([x for x, c in zip(texts, cut) if c is None]))
-        heads = iter(raw([c[0] for c in cut if c is not None]))
-        tail.learn([w for c in cut if c for w in c[1:]])
-        get = tail.__getitem__
-        made = [
-            next(whole) + stop if c is None else b"".join([next(heads), *map(get, c[1:]), stop]) for c in cut
-        ]
+        made = [b"".join([*x, stop]) for x in spread(texts, specials(t), memory, whole)]
         return b"".join(made), [len(x) // 4 for x in made]
 
     return encode

@@ -1,93 +1,39 @@
 """Token counts by the whole-token shortcut, for byte-level BPE vocabularies of the tokenizers library.
 
-Before merging, the library cuts a text into pre-tokens, and each is encoded alone. Offline, every
-vocabulary string is encoded once; those that come out as one token are the whole tokens. A text is
-then cut into chunks at blanks, which are always pre-token borders, a chunk that is a whole token
-counts 1 without any merging, and only the remaining distinct chunks go through the library.
-
-Why a blank after a non-blank is a border: no branch of the pre-tokeniser's pattern takes a blank
-after anything else, and every branch starts afresh at a border, so a chunk (blank run and what
-follows up to the next border) gives the same pre-tokens alone as inside its text. Texts with runs of
-white space, and texts that hold a special string or characters outside `PLAIN`, go through the
-library whole. So the shortcut never depends on two regular expression engines agreeing.
+Offline, every vocabulary string is encoded once; those that come out as one token are the whole
+tokens. Texts are cut into chunks that are encoded independently (`chunks`); a chunk that is a whole
+token counts 1 without any merging, and only the remaining distinct chunks go through the library.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from fleetlens.llm.batches import annotate, boolean, long, strings, text_lengths
+from fleetlens.llm.chunks import Memory, encode_chunks, library, specials, spread
 
-#: Chunks remembered by a Python worker; when full, the memory starts anew.
-REMEMBERED = 400_000
 LIMIT = 512
-#: Texts of these characters have one kind of blank and none whose white-space class is in doubt.
-PLAIN = re.compile(r"[\x21-\x7e\xa1-ɏ€‐-‧ \n]*").fullmatch
-DOUBLE = re.compile(r"[ \n][ \n]").search
 
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that the library encodes to exactly one token."""
-    t = Tokenizer.from_file(path)
+    t = library(path)
     texts = [x for x in (t.decode([i], skip_special_tokens=False) for i in range(t.get_vocab_size())) if x and "�" not in x]
     encoded = t.encode_batch_fast(texts, add_special_tokens=False)
     return frozenset(x for x, e in zip(texts, encoded) if len(e.ids) == 1)
 
 
-def specials(t: Tokenizer) -> tuple[str, ...]:
-    return tuple(a.content for a in t.get_added_tokens_decoder().values())
-
-
-class Chunks(dict):
-    """What `value` makes of the ids of a chunk, remembered up to a bound."""
-
-    def __init__(self, encode: Callable[[list[str]], list], first: dict | None = None):
-        super().__init__(first or {})
-        self.encode, self.first = encode, first or {}
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > REMEMBERED + len(self.first):
-            self.clear()
-            self.update(self.first)
-            new = [w for w in dict.fromkeys(words) if w not in self]
-        self.update(zip(new, self.encode(new)))
-
-
-def chunks(text: str) -> list[str] | None:
-    """The text as chunks, each but the first led by its blank; None if it must go through the library whole.
-
-    The blank is left off here: the words after the first stand for ` word`.
-    """
-    if DOUBLE(text) or not PLAIN(text) or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n"):
-        return None
-    return text.split(" ")
-
-
 def counter(path: str, shortcut: frozenset[str]) -> Callable[[list[str]], list[int]]:
     """Function from texts to their token counts."""
-    t = Tokenizer.from_file(path)
-    marked = specials(t)
-
-    def count(texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    tail = Chunks(lambda words: count([" " + w for w in words]), {w[1:]: 1 for w in shortcut if w[:1] == " " and " " not in w[1:]})
+    t = library(path)
 
-    def counts(texts: list[str]) -> list[int]:
-        cut = [None if any(s in x for s in marked) else chunks(x) for x in texts]
-        whole = iter(count([x for x, c in zip(texts, cut) if c is None]))
-        heads = iter(count([c[0] for c in cut if c is not None]))
-        tail.learn([w for c in cut if c for w in c[1:]])
-        get = tail.__getitem__
-        return [next(whole) if c is None else next(heads) + sum(map(get, c[1:])) for c in cut]
+    def whole(texts: list[str]) -> list[int]:
+        return [len(t.encode_batch_fast([x], add_special_tokens=False)[0].ids) for x in texts]
 
-    return counts
+    memory = Memory(lambda words: list(map(len, encode_chunks(t, words))), {w: 1 for w in shortcut} | {"": 0})
+    return lambda texts: list(map(sum, spread(texts, specials(t), memory, whole)))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT, keep: list[str] | None = None) -> DataFrame:
