@@ -86,15 +86,16 @@ def judge(docs: DataFrame, text: str = "text", kept_share: float = KEPT_SHARE) -
         F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
     )
-    measured = found.select(
-        *(c for c in found.columns if c not in ("_words", "_lines")),
-        F.size("_words").cast("bigint").alias("n_words"),
+    measures = F.struct(
+        "n_symbols", F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.length(F.array_join("_lines", "")).cast("bigint").alias("line_chars"),
         F.array_join(F.filter("_lines", good_line), "\n").alias("cleaned"),
     )
+    # Through a generator, so that no filter on a measure is pushed below it and computes it again.
+    measured = found.select(*(c for c in found.columns if c not in ("_words", "_lines", "n_symbols")), F.inline(F.array(measures)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept_chars = F.length(F.replace("cleaned", F.lit("\n"), F.lit(""))).cast("bigint")
     judged = measured.withColumn("base_failed", failed).withColumn("kept_chars", kept_chars)
