@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, langid, linerules, secretledger, tokenfiles, wholetokens
+from fleetlens.llm import decontaminate, jaccardjoin, langid, linerules, secretledger, tokenfiles, wholetokens
 from fleetlens.llm.oracles import ORACLE  # noqa: F401
 from fleetlens.session import scratch
 
@@ -30,6 +30,10 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccardjoin.join(table(spark, sf, "documents"), words=3, num=9, den=10)
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     held_out = langid.fold(F.col("doc_id"), 4) == 2
@@ -49,4 +53,4 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secretledger.digest(ledger.of_paths(docs))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op10_secret_scan)}
