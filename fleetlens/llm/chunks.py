@@ -21,7 +21,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks in each of the two generations that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 450_000
 #: Characters joined for one call of the library.
 CALL = 16 << 10
 
@@ -52,23 +52,51 @@ def specials(tokenizer) -> tuple[str, ...]:
     return tuple(a.content for a in tokenizer.get_added_tokens_decoder().values())
 
 
-def encode_chunks(tokenizer, words: list[str]) -> list[np.ndarray]:
-    """Ids of each chunk. Chunks (none of them empty or a line feed) are joined by line feeds, each an id of its own."""
+def encode_chunks(tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of each chunk as little-endian 32-bit integers.
+
+    Chunks (none of them empty or a line feed) are joined by line feeds, each an id of its own.
+    """
     feed = tokenizer.encode("\n", add_special_tokens=False).ids
     assert len(feed) == 1
-    out: list[np.ndarray] = []
+    out: list[bytes] = []
     start, size = 0, 0
     for i, w in enumerate(words):
         size += len(w) + 1
         if size >= CALL or i == len(words) - 1:
             ids = np.array(tokenizer.encode_batch_fast(["\n".join(words[start:i + 1])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == feed[0])
-            out += [ids[a:b] for a, b in zip([0, *(ends + 1)], [*ends, len(ids)])]
+            raw = ids.tobytes()
+            ends = (np.flatnonzero(ids == feed[0]) * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)])]
             start, size = i + 1, 0
     assert len(out) == len(words)
     return out
 
 
+class Cells(dict):
+    """Ids of chunks, in two generations of bounded size. A lookup of an unknown chunk gives a cell that `fill` fills."""
+
+    def __init__(self, value: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes]):
+        super().__init__(fixed)
+        self.value, self.fixed, self.old, self.missing = value, fixed, {}, {}
+
+    def __missing__(self, word: str) -> bytearray:
+        cell = self.old.get(word)
+        if cell is None:
+            cell = self.missing[word] = bytearray()
+        self[word] = cell
+        return cell
+
+    def fill(self) -> None:
+        for cell, ids in zip(self.missing.values(), self.value(list(self.missing))):
+            cell += ids
+        self.missing = {}
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.fixed)
+
+
 class Memory:
     """What is known of chunks: `fixed` for good, the rest in two generations of bounded size."""
 

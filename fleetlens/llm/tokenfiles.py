@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.batches import pieces, strings
-from fleetlens.llm.chunks import Memory, encode_chunks, library, specials, spread
+from fleetlens.llm.chunks import Cells, cut, encode_chunks, library, specials
 from fleetlens.session import scratch
 
 END = 0
@@ -42,10 +42,15 @@ def encoder(path: str, end: int = END):
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(t.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4").tobytes() for x in texts]
 
-    memory = Memory(lambda words: [x.tobytes() for x in encode_chunks(t, words)], {"": b"", "\n": whole(["\n"])[0]})
+    known = Cells(lambda words: encode_chunks(t, words), {"": b"", "\n": whole(["\n"])[0]})
+    marked = specials(t)
 
     def encode(texts: list[str]) -> tuple[bytes, list[int]]:
-        made = [b"".join([*x, stop]) for x in spread(texts, specials(t), memory, whole)]
+        get = known.__getitem__
+        parts = [None if any(s in x for s in marked) else cut(x) for x in texts]
+        cells = [whole([x]) if p is None else list(map(get, p)) for x, p in zip(texts, parts)]
+        known.fill()
+        made = [b"".join([*x, stop]) for x in cells]
         return b"".join(made), [len(x) // 4 for x in made]
 
     return encode

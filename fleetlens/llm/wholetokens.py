@@ -32,7 +32,7 @@ def counter(path: str, shortcut: frozenset[str]) -> Callable[[list[str]], list[i
     def whole(texts: list[str]) -> list[int]:
         return [len(t.encode_batch_fast([x], add_special_tokens=False)[0].ids) for x in texts]
 
-    memory = Memory(lambda words: list(map(len, encode_chunks(t, words))), {w: 1 for w in shortcut} | {"": 0})
+    memory = Memory(lambda words: [len(x) // 4 for x in encode_chunks(t, words)], {w: 1 for w in shortcut} | {"": 0})
     return lambda texts: list(map(sum, spread(texts, specials(t), memory, whole)))
 
 
