@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, jaccardjoin, langid, linerules, secretledger, tokenfiles, wholetokens
+from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, secretledger, sentencepieces, tokenfiles, wholetokens
 from fleetlens.llm.oracles import ORACLE  # noqa: F401
 from fleetlens.session import scratch
 
@@ -46,6 +46,18 @@ def op5_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
+def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "chats")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    chats.render(turns.unionByName(chats.attack(spark))).write.parquet(path)
+    return chats.digest(spark.read.parquet(path))
+
+
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
+
+
 def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     ledger = secretledger.Ledger(spark, scratch(spark, "ledger"))
@@ -53,4 +65,4 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secretledger.digest(ledger.of_paths(docs))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan)}
