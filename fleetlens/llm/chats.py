@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.batches import map_arrow
 from fleetlens.llm.templates import Template, unescape, unline
 
 PIECE_CHARS = 1 << 20
@@ -76,7 +77,7 @@ def render(turns: DataFrame, template: str = CHAT, names: dict | None = None) ->
         if pending:
             yield _pieces(pending)
 
-    return together(rows, "conv_id", "turn", "role", "text").mapInArrow(run, "conv_id bigint, piece int, text string, spans array<bigint>")
+    return map_arrow(together(rows, "conv_id", "turn", "role", "text"), run, "conv_id bigint, piece int, text string, spans array<bigint>")
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -121,7 +122,7 @@ def digest(pieces: DataFrame) -> DataFrame:
             close()
             yield _rows(done, names)
 
-    return together(pieces, "conv_id", "piece").mapInArrow(run, schema)
+    return map_arrow(together(pieces, "conv_id", "piece"), run, schema)
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import annotate, long, utf8
+from fleetlens.llm.batches import annotate, long, map_arrow, utf8
 from fleetlens.session import cut_lineage
 
 WORDS, NUM, DEN = 5, 8, 10
@@ -308,7 +308,7 @@ def links(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         if len(rows) > 1:
             yield _pairs(verified(rows, key[1], key[2], num, den))
 
-    return sent.select(names).mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_arrow(sent.select(names), run, "a bigint, b bigint").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:

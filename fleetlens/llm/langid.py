@@ -112,6 +112,17 @@ def identify(docs: DataFrame, model: dict[str, list[bytes]], text: str = "text",
     return annotate(docs, text, [string("lang_pred"), double("score"), boolean("rejected")], make, keep)
 
 
+def keep_identified(docs: DataFrame, model: dict[str, list[bytes]], text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """Documents whose language is not rejected, with the columns they came with."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        classify = classifier(shared.value, margin)
+        return lambda piece: ([not classify(x)[2] for x in strings(piece.column(text))], [])
+
+    return annotate(docs, text, [], make)
+
+
 def fold(doc: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null ids count as remainder 0."""
     return F.coalesce(F.crc32(doc.cast("string")) % folds, F.lit(0))

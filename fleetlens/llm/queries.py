@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, secretledger, sentencepieces, tokenfiles, wholetokens
+from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, secretledger, sentencepieces, tokenfiles, toxicity, wholetokens
 from fleetlens.llm.oracles import ORACLE  # noqa: F401
 from fleetlens.session import scratch
 
@@ -41,6 +41,16 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.language_model(docs)
+    weights, bias = toxicity.fit(docs, labels.where(~held_out), model)
+    scored = toxicity.score(docs, model, weights, bias, keep=["doc_id"])
+    return scored.withColumns({"held_out": held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op5_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = linerules.judge(table(spark, sf, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
@@ -65,4 +75,4 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secretledger.digest(ledger.of_paths(docs))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op4_toxicity, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan)}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import pieces, strings
+from fleetlens.llm.batches import map_arrow, pieces, strings
 from fleetlens.llm.chunks import Cells, cut, encode_chunks, library, specials
 from fleetlens.session import scratch
 
@@ -88,7 +88,7 @@ def write_tokens(
                 ], names=schema.names)
                 place += int(ends[-1])
 
-    writer = dealt.mapInArrow(run, schema).write.mode("overwrite")
+    writer = map_arrow(dealt, run, schema).write.mode("overwrite")
     writer.options(**{
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES),
         "parquet.page.size": str(PAGE_BYTES), "parquet.page.write-checksum.enabled": "false",
@@ -129,7 +129,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
+    return map_arrow(tokens.select("doc_id", "start", "n_tokens", "ids"), run, schema)
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str) -> DataFrame:
