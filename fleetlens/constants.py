@@ -100,7 +100,7 @@ DEFAULT_ROUTE = "digest"
 
 # Proposal event labels.
 PROPOSAL_MARKS = {
-    "created": "\U0001F50D", "approved": "✅", "deployed": "\U0001F680",
+    "created": "🔍", "approved": "✅", "deployed": "🚀",
     "rolled_back": "⏮️", "rejected": "❌",
 }
 DEFAULT_MARK = "ℹ️"

@@ -11,20 +11,37 @@ from fleetlens.operators import skew
 
 
 def batch_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], split_on: str, text: Column,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], split_on: str, text: Callable[[Column], Column],
     size: int = 20, hot_rows: int | None = None,
 ) -> DataFrame:
-    """Groups of `size` consecutive rows per key, joined into one numbered text."""
+    """Groups of `size` consecutive rows per key; `text` gets the number of a row within its group."""
     placed = skew.ordinal(df, keys, order, split_on, hot_rows)
     place = F.col("_pos") - 1
     numbered = placed.select(
         *keys, F.floor(place / size).cast("bigint").alias("batch"), (place % size + 1).cast("int").alias("_i"),
-        text.alias("_t"),
+        text((place % size + 1).cast("int").cast("string")).alias("_t"),
     )
     lines = F.array_sort(F.collect_list(F.struct("_i", "_t")))  # `size` entries at most
     return numbered.groupBy(*keys, "batch").agg(
         F.count(F.lit(1)).cast("int").alias("rows"),
-        F.array_join(F.transform(lines, lambda x: F.concat(x["_i"].cast("string"), F.lit(". "), x["_t"])), "\n").alias("body"),
+        F.array_join(F.transform(lines, lambda x: x["_t"]), "\n").alias("body"),
+    )
+
+
+def number_text(value: Column) -> Column:
+    """A positive double as its shortest decimal text, without an exponent."""
+    long_form = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"0{1,5}$", "")
+    return F.coalesce(F.when(value >= 1e7, long_form).otherwise(value.cast("string")), F.lit("?"))
+
+
+# The texts of a batch.
+QUERY_HEAD, QUERY_MEAN, QUERY_OPEN, QUERY_SHUT = "QUERY ", " (avg ", "ms):\n```sql\n", "\n```"
+
+
+def query_text(number: Column, mean_ms: Column, normalized: Column) -> Column:
+    """One statement of a batch."""
+    return F.concat(
+        F.lit(QUERY_HEAD), number, F.lit(QUERY_MEAN), number_text(mean_ms), F.lit(QUERY_OPEN), F.coalesce(normalized, F.lit("")), F.lit(QUERY_SHUT)
     )
 
 

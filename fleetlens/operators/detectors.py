@@ -146,50 +146,52 @@ def post_deploy_regressions(
     """Mean of a metric in the window before and after each deployment; worse ones are candidates
     for rollback.
 
-    Samples shrink to one sum and count per (database, hour) first. Only the hours that a window
-    edge cuts need single samples, so the join never pairs a hot database's rows with every
-    deployment.
+    Samples shrink to one sum and count per (database, hour). Within the three hours that an edge of a
+    window cuts, edges are merged among the samples in time order and read the running sum there, so
+    neither a hot hour nor many deployments in one hour multiply rows.
     """
     span = F.make_interval(hours=F.lit(hours))
     start, stop = F.col("deployed_at") - span, F.col("deployed_at") + span
-    hour = F.date_trunc("hour", F.col("time"))
-    whole = samples.groupBy("database_id", hour.alias("_hour")).agg(
-        F.sum(metric).alias("_sum"), F.count(metric).alias("_cnt")
-    )
     trunc = lambda c: F.date_trunc("hour", c)
-    hours_of = deployments.withColumn(
-        "_hour", F.explode(F.sequence(trunc(start), trunc(stop), F.expr("INTERVAL 1 HOUR")))
-    ).withColumn(
-        "_cut",
-        (F.col("_hour") == trunc(start)) | (F.col("_hour") == trunc(F.col("deployed_at")))
-        | (F.col("_hour") == trunc(stop)),
+    key = ["proposal_id", "database_id", "deployed_at"]
+    points = samples.select(
+        "database_id", trunc(F.col("time")).alias("_hour"), F.col("time").alias("_at"), F.lit(1).alias("_rank"),
+        F.col(metric).cast("double").alias("_v"), F.when(F.col(metric).isNotNull(), 1).otherwise(0).cast("bigint").alias("_c"),
     )
-    phase = F.when(F.col("_at") < F.col("deployed_at"), "before").otherwise("after")
-    inner = (
-        hours_of.where(~F.col("_cut")).join(whole, ["database_id", "_hour"])
-        .withColumn("_at", F.col("_hour"))
-        .select("proposal_id", "database_id", "deployed_at", phase.alias("_phase"), "_sum", "_cnt")
+    whole = points.groupBy("database_id", "_hour").agg(F.sum("_v").alias("_sum"), F.sum("_c").alias("_cnt"))
+    # What lies before an edge: samples up to `start` and `deployed_at` exclusive, up to `stop` inclusive.
+    edges = deployments.select(*key, F.explode(F.array(
+        F.struct(start.alias("_at"), F.lit(0).alias("_rank"), F.lit("start").alias("_edge")),
+        F.struct(F.col("deployed_at").alias("_at"), F.lit(0).alias("_rank"), F.lit("mid").alias("_edge")),
+        F.struct(stop.alias("_at"), F.lit(2).alias("_rank"), F.lit("stop").alias("_edge")),
+    )).alias("_e")).select(*key, "_e.*").withColumn("_hour", trunc(F.col("_at")))
+    so_far = Window.partitionBy("database_id", "_hour").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    read = (
+        points.unionByName(edges, allowMissingColumns=True)
+        .withColumns({"_sum": F.coalesce(F.sum("_v").over(so_far), F.lit(0.0)), "_cnt": F.coalesce(F.sum("_c").over(so_far), F.lit(0))})
+        .where(F.col("_edge").isNotNull()).select(*key, "_edge", "_sum", "_cnt")
     )
-    edges = (
-        hours_of.where("_cut")
-        .join(samples.select("database_id", "time", metric, hour.alias("_hour")), ["database_id", "_hour"])
-        .where((F.col("time") >= start) & (F.col("time") <= stop))
-        .withColumn("_at", F.col("time"))
-        .select(
-            "proposal_id", "database_id", "deployed_at", phase.alias("_phase"),
-            F.col(metric).alias("_sum"), F.when(F.col(metric).isNotNull(), 1).otherwise(0).cast("bigint").alias("_cnt"),
-        )
+    spans = deployments.select(*key, F.explode(F.array(
+        F.struct(trunc(start).alias("_from"), trunc(F.col("deployed_at")).alias("_to"), F.lit("before").alias("_edge")),
+        F.struct(trunc(F.col("deployed_at")).alias("_from"), trunc(stop).alias("_to"), F.lit("after").alias("_edge")),
+    )).alias("_e")).select(*key, "_e.*")
+    hour_before = F.col("_to") - F.expr("INTERVAL 1 HOUR")
+    hours_of = spans.where(F.col("_from") <= hour_before).select(
+        *key, "_edge", F.explode(F.sequence(F.col("_from"), hour_before, F.expr("INTERVAL 1 HOUR"))).alias("_hour")
     )
-    def mean(name: str) -> Column:
-        inside = F.col("_phase") == name
-        return F.try_divide(F.sum(F.when(inside, F.col("_sum"))), F.sum(F.when(inside, F.col("_cnt"))))
+    inner = hours_of.join(whole, ["database_id", "_hour"]).select(*key, "_edge", "_sum", "_cnt")
 
-    return (
-        inner.unionByName(edges)
-        .groupBy("proposal_id", "database_id", "deployed_at")
-        .agg(mean("before").alias("before_mean"), mean("after").alias("after_mean"))
-        .withColumn(
-            "rollback_candidate",
-            F.coalesce(F.col("after_mean") > F.col("before_mean") * (1 + worse_by), F.lit(False)),
-        )
+    def total(column: str, whole_hours: str, until: str, since: str) -> Column:
+        of = lambda edge: F.sum(F.when(F.col("_edge") == edge, F.col(column)).otherwise(F.lit(0)))
+        return of(whole_hours) + of(until) - of(since)
+
+    def mean(whole_hours: str, until: str, since: str) -> Column:
+        n = total("_cnt", whole_hours, until, since)
+        return F.when(n > 0, total("_sum", whole_hours, until, since) / n)
+
+    found = inner.unionByName(read).groupBy(*key).agg(
+        mean("before", "mid", "start").alias("before_mean"), mean("after", "stop", "mid").alias("after_mean"),
+        (total("_cnt", "before", "mid", "start") + total("_cnt", "after", "stop", "mid")).alias("_n"),
     )
+    worse = F.col("after_mean") > F.col("before_mean") * (1 + worse_by)
+    return found.where("_n > 0").drop("_n").withColumn("rollback_candidate", F.coalesce(worse, F.lit(False)))

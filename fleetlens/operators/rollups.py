@@ -19,9 +19,10 @@ def metric_name(name: str) -> str:
 def since(df: DataFrame, as_of: str, **interval: int) -> DataFrame:
     """Rows from the interval that ends at `as_of`; prunes `date` partitions where there are any."""
     [(unit, n)] = interval.items()
+    end = F.expr(f"TIMESTAMP_NTZ '{as_of}'")
     start = F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(n)} {unit}")
-    df = df.where(F.col("time") >= start)
-    return df.where(F.col("date") >= start.cast("date")) if "date" in df.columns else df
+    df = df.where(F.col("time").between(start, end))
+    return df.where(F.col("date").between(start.cast("date"), end.cast("date"))) if "date" in df.columns else df
 
 
 def bucketed(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.sqltext import safe_select
 
+#: Functions that reach into the JVM; no statement may name one.
+REACHING = re.compile(r"\b(reflect|try_reflect|java_method)\b", re.I)
+
 
 def run_readonly(spark: SparkSession, sql: str, args: dict | None = None, limit: int = 100) -> DataFrame:
     """Run one SELECT that passes the gate; at most `limit` rows come back."""
@@ -14,4 +19,12 @@ def run_readonly(spark: SparkSession, sql: str, args: dict | None = None, limit:
     safe = spark.range(1).select(safe_select(F.lit(sql), limit).alias("s")).first()["s"]
     if safe is None:
         raise ValueError("not a single read-only SELECT")
-    return spark.sql(safe, args=args or {}).limit(limit)
+    if REACHING.search(sql):
+        raise ValueError("functions that reach into the JVM are not allowed")
+    # Only registered tables may be read: a path in place of a name does not resolve.
+    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(safe, args=args or {}).limit(limit)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)

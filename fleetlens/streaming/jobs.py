@@ -146,9 +146,12 @@ def threshold_alerts(df: DataFrame) -> DataFrame:
 
 
 def upsert_statements(stats: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Enrich slow statements and merge every micro-batch into the snapshot table."""
+    """Enrich slow statements and merge every micro-batch into the snapshot table.
+
+    The checkpoint folder names the stream: another one counts its batches from 0 again.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        store.upsert_snapshots(S.snapshot_rows(S.enrich(batch)), path, version=number)
+        store.upsert_snapshots(S.snapshot_rows(S.enrich(batch)), path, stream=checkpoint, batch=number)
 
     return start(stats, checkpoint, "append", once).foreachBatch(write).start()
 

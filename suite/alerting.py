@@ -166,8 +166,8 @@ def alert_digest(spark, sf):
 
 @query("""WITH marks AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'created' WHEN 1 THEN 'approved' WHEN 2 THEN 'deployed'
   WHEN 3 THEN 'rolled_back' WHEN 4 THEN 'rejected' ELSE 'other' END AS event FROM events)
-SELECT event_id, event, CASE event WHEN 'created' THEN chr(128269) WHEN 'approved' THEN chr(9989) WHEN 'deployed' THEN chr(128640)
-  WHEN 'rolled_back' THEN chr(9198) || chr(65039) WHEN 'rejected' THEN chr(10060) ELSE chr(8505) || chr(65039) END AS mark FROM marks""")
+SELECT event_id, event, CASE event WHEN 'created' THEN '🔍' WHEN 'approved' THEN '✅' WHEN 'deployed' THEN '🚀'
+  WHEN 'rolled_back' THEN '⏮️' WHEN 'rejected' THEN '❌' ELSE 'ℹ️' END AS mark FROM marks""")
 def proposal_marks(spark, sf):
     names = F.array(*map(F.lit, ["created", "approved", "deployed", "rolled_back", "rejected", "other"]))
     event = F.get(names, (F.col("event_id") % 6).cast("int")).alias("event")

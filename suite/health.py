@@ -173,6 +173,14 @@ def metric_timeseries(spark, sf):
     return rounded(out, "value")
 
 
+@query(with_views("health_metrics") + """ SELECT database_id, time_bucket(INTERVAL 5 MINUTE, time) AS ts,
+  round(coalesce(avg(active_connections), 0), 9) AS value FROM health_metrics
+  WHERE time >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 24 HOUR AND time <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1, 2""")
+def timeseries_as_of(spark, sf):
+    """As of a moment inside the data, later samples stay out; an unknown metric means active connections."""
+    return rounded(rollups.bucketed(view(spark, sf, "health_metrics"), "no_such_metric", 300, "2024-01-15 12:00:00"), "value")
+
+
 @query(with_views("health_metrics") + """ SELECT database_id, time_bucket(INTERVAL 7 DAY, time) AS ts,
   round(avg(p99_latency_ms), 9) AS value FROM health_metrics GROUP BY 1, 2""")
 def weekly_timeseries(spark, sf):

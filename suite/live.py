@@ -107,8 +107,8 @@ def live_query_snapshots(spark, sf):
     polls = _slow(spark, sf).withColumn("day", F.datediff("poll_time", F.lit("1970-01-01").cast("date")))
     _feed(polls, "day", lambda s: jobs.upsert_statements(s, path, state, once=True))
     stored = store.read_snapshots(spark, path)
-    if stored is None:  # no slow statement at all
-        stored = _snapshots(spark, sf)
+    if stored is None:  # no slow statement at all: the same columns, no rows
+        stored = _snapshots(spark, sf).limit(0)
     out = stored.withColumn("last_seen", F.col("last_seen_at").cast("string"))
     return rounded(out.drop("first_rank", "last_rank", "queryid", "last_seen_at"), "mean_time_ms", "total_time_ms")
 

@@ -258,7 +258,10 @@ def statement_lint_spaced(spark, sf):
 
 
 @query(with_views("query_log", "plan_docs", more=LINTED.replace("COLUMN", quoted(K.LINT_COLUMN))) + """,
-scans AS (SELECT plan_id, CAST(json_extract(plan_json, '$.Plan.Plans[0]."Actual Rows"') AS BIGINT) > 500 AS seq FROM plan_docs)
+rows_of AS (SELECT plan_id, CAST(json_extract(plan_json, '$.Plan."Actual Rows"') AS BIGINT) AS root,
+  CAST(json_extract(plan_json, '$.Plan.Plans[0]."Actual Rows"') AS BIGINT) AS scan FROM plan_docs),
+scans AS (SELECT plan_id, contains(lower(concat_ws(chr(10), CASE WHEN scan > 500 THEN 'SEQ SCANS (1):' END,
+  CASE WHEN scan > 100 AND abs(scan - 20) / 20.0 > 10 THEN '  - Seq Scan on orders: estimated=20' END)), 'seq scan') AS seq FROM rows_of)
 SELECT log_id, CAST(least(95, impact_score + CASE WHEN seq THEN 20 ELSE 0 END) AS INTEGER) AS impact_score FROM linted JOIN scans ON plan_id = log_id""")
 def lint_with_plans(spark, sf):
     """The statement's own plan adds a finding when it holds a reported sequential scan."""
@@ -353,15 +356,17 @@ def workload_summary(spark, sf):
     return rounded(rollups.workload_summary(_snapshots(spark, sf)), "time_share", "total_time_ms")
 
 
-@query(with_views("statement_stats", more=SLOW) + """ SELECT database_id, CAST(poll_date AS VARCHAR) AS poll, CAST((rn - 1) // 20 AS BIGINT) AS batch,
+@query(with_views("statement_stats", more=SLOW + f""", texts AS (SELECT *, CAST(round(mean_time_ms, 9) AS VARCHAR) AS mean_text,
+  {normal('query')} AS normal FROM slow)""") + """ SELECT database_id, CAST(poll_date AS VARCHAR) AS poll, CAST((rn - 1) // 20 AS BIGINT) AS batch,
   CAST(count(*) AS INTEGER) AS rows, concat('Analyze these ', count(*), ' slow postgresql queries as a batch.', chr(10), chr(10),
-   string_agg(concat((rn - 1) % 20 + 1, '. ', query), chr(10) ORDER BY rn), chr(10), chr(10),
-   'Return a JSON array with one optimization object per query, same schema as single-query analysis.') AS body FROM slow GROUP BY 1, 2, 3""")
+   string_agg(concat('QUERY ', (rn - 1) % 20 + 1, ' (avg ', mean_text, 'ms):', chr(10), '```sql', chr(10), normal, chr(10), '```'), chr(10) ORDER BY rn), chr(10), chr(10),
+   'Return a JSON array with one optimization object per query, same schema as single-query analysis.') AS body FROM texts GROUP BY 1, 2, 3""")
 def query_batches(spark, sf):
     """Slow statements of a poll in numbered groups of 20."""
     slow = _slow(spark, sf).withColumn("poll", F.col("poll_time").cast("string")).withColumn("slowness", -F.col("mean_time_ms"))
     out = conversation.batch_rows(
-        slow, ["database_id", "poll"], [F.asc("slowness"), F.asc("queryid")], "slowness", F.col("query")
+        slow, ["database_id", "poll"], [F.asc("slowness"), F.asc("queryid")], "slowness",
+        lambda number: conversation.query_text(number, F.round("mean_time_ms", 9), sqltext.normalize_sql(F.col("query"))),
     )
     return out.withColumn("body", conversation.query_batch_text(F.col("rows"), F.col("body")))
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fleetlens.operators import reconcile, statements
@@ -15,11 +16,13 @@ from suite.views import table, view
 def test_append_retain_compact(spark, sf):
     path = scratch(spark, "health")
     samples = view(spark, sf, "health_metrics")
-    store.append(samples, path)
+    store.append(samples.where("event_id % 2 = 0"), path)
+    store.append(samples.where("event_id % 2 = 1"), path)
     before = spark.read.parquet(path).count()
     assert before == samples.count()
     assert store.compact(spark, path, "2024-01-31") > 20
     assert spark.read.parquet(path).count() == before
+    assert store.compact(spark, path, "2024-01-31") == 0  # nothing left to rewrite
     gone = store.retain(spark, path, 7, "2024-01-31")
     assert "2024-01-23" in gone and "2024-01-24" not in gone
     assert spark.read.parquet(path).agg(F.min("date").cast("string")).first()[0] == "2024-01-24"
@@ -38,9 +41,26 @@ def test_upsert_keeps_first_text_and_last_numbers(spark):
     got = {r.fingerprint: (r.sample_sql, r.call_count) for r in store.read_snapshots(spark, path).collect()}
     assert got == {"a": ("first", 7), "b": ("only", 9)}
     assert store.versions(spark, path) == [0, 1]
-    # A repeated batch changes nothing.
-    store.upsert_snapshots(spark.createDataFrame([snapshot("a", "third", 99, "2024-01-03")], names), path, version=1)
-    assert store.read_snapshots(spark, path).where("call_count = 99").isEmpty()
+
+
+def test_upsert_batches_of_streams(spark):
+    names = "fingerprint string, database_id string, normalized_sql string, sample_sql string, call_count bigint, " \
+            "mean_time_ms double, total_time_ms double, access_pattern string, last_seen_at string, queryid string"
+    path = scratch(spark, "upsert")
+
+    def put(calls, stream, batch):
+        row = snapshot("a", "text", calls, f"2024-01-{calls:02d}")
+        store.upsert_snapshots(spark.createDataFrame([row], names), path, stream, batch)
+        return store.read_snapshots(spark, path).first().call_count
+
+    assert put(1, "s", 0) == 1 and put(2, "s", 1) == 2
+    assert put(9, "s", 1) == 2  # a repeated batch changes nothing
+    assert put(3, "t", 0) == 3 and put(4, "t", 1) == 4  # a new stream counts from 0 again
+    for i in range(2, 2 + store.FOLD_AFTER):
+        assert put(5 + i, "t", i) == 5 + i
+    assert put(28, "s", 1) == 5 + i  # also known after deltas were folded
+    layers, note = store._layers(spark, path)
+    assert len(layers) < store.FOLD_AFTER and note["streams"] == {"s": 1, "t": 1 + store.FOLD_AFTER}
 
 
 def test_adhoc_gate(spark):
@@ -48,6 +68,12 @@ def test_adhoc_gate(spark):
     assert adhoc.run_readonly(spark, "select id from numbers where id >= :low;", {"low": 10}).count() == 100
     with pytest.raises(ValueError):
         adhoc.run_readonly(spark, "drop table numbers")
+    with pytest.raises(ValueError):
+        adhoc.run_readonly(spark, "select `reflect`('java.lang.System', 'getProperty', 'user.home')")
+    path = scratch(spark, "files")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(AnalysisException):
+        adhoc.run_readonly(spark, f"select * from parquet.`{path}`")
 
 
 def test_plans_of_any_depth(spark):
