@@ -27,9 +27,11 @@ def table_digest(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucket_digests(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """Digest per hash bucket of the key, to find where two copies part."""
+    """Digest per bucket of the key, to find where two copies part: by remainder for whole numbers, else by hash."""
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    place = F.pmod(F.col(key).cast("bigint") if whole else F.xxhash64(key), F.lit(buckets))
     columns = sorted(df.columns)
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).agg(
+    return df.groupBy(place.alias("bucket")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(_row_hash(columns, 1).cast("decimal(38,0)")).cast("string").alias("hash_sum"),
         F.bit_xor(_row_hash(columns, 2)).alias("hash_xor"),

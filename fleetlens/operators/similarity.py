@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import sqltext as T
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, map_arrow
 
 BANDS = 8
 
@@ -61,8 +65,7 @@ def band_keys(fingerprints: DataFrame, hot_rows: int = 4096) -> DataFrame:
 
     def split(level: DataFrame, used: int, width: int) -> tuple[DataFrame, DataFrame]:
         hot = level.groupBy("band").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows).select("band")
-        # At most rows / hot_rows bands are hot.
-        marked = level.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "band", "left")
+        marked = level.join(hot.withColumn("_hot", F.lit(True)), "band", "left")
         slices = F.array(*[b.cast("bigint") for b in _bands(F.col("_turned"), used, width, BANDS)])
         finer = marked.where("_hot").select(
             "simhash", "_turned", "band", F.posexplode(slices).alias("_b", "_v")
@@ -91,34 +94,66 @@ def _swap(value: Column, used: int, width: int, slot: Column) -> Column:
     return F.when(slot == 0, value).otherwise(value.bitwiseXOR(flip))
 
 
+def connected(values: list[int], blocks: list[int], first: int, second: int, threshold: int) -> list[tuple[int, int]]:
+    """(smallest, member) of each tree of near values; between blocks `first` and `second` if they differ."""
+    v, of = np.array(values, np.int64).view(np.uint64), np.array(blocks)
+    label = np.arange(len(v))
+    for i in range(len(v)):
+        if first != second and of[i] != first:
+            continue
+        near = np.bitwise_count(v ^ v[i]) < threshold
+        if first != second:
+            near &= of == second
+        met = np.unique(np.append(label[near], label[i]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    out = []
+    for tree in np.unique(label):
+        members = v[label == tree].view(np.int64)
+        low = int(members.min())
+        out += [(low, int(m)) for m in members if m != low]
+    return out
+
+
 def linking_pairs(nodes: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
-    """Near pairs (a, b) of distinct fingerprints, just enough to connect all that are near.
+    """Pairs (a, b) of distinct fingerprints that connect all that are near, a star for each tree of a band.
 
-    Each band elects its smallest member. Members near it link to it alone; pairs among them would
-    connect nothing new and are never formed, so a crowd of near copies costs one row per member.
-    Members that are not near it meet their band, which `band_keys` keeps small; the distance test
-    runs inside that join and only true pairs leave it.
+    All near values of a band are compared in one task, which gives out only what connects them: fewer
+    pairs than members, whichever value happens to be the smallest. A band that `band_keys` could not cut
+    below `hot_rows` is split into blocks that meet in pairs.
     """
     if threshold > BANDS:
         raise ValueError(f"band keys are exact for thresholds up to {BANDS}")
     keys = band_keys(nodes, hot_rows)
-    led = keys.join(keys.groupBy("band").agg(F.min("simhash").alias("_head")), "band")
-    near = T.similar(F.col("simhash"), F.col("_head"), threshold)
-    star = led.where(near & (F.col("simhash") != F.col("_head"))).select(
-        F.col("_head").alias("a"), F.col("simhash").alias("b")
-    )
-    apart = led.where(~near).select("band", F.col("simhash").alias("a"))
-    rest = (
-        apart.join(keys.select("band", F.col("simhash").alias("b")), "band")
-        .where((F.col("a") != F.col("b")) & T.similar(F.col("a"), F.col("b"), threshold))
-        .select("a", "b")
-    )
-    return star.unionByName(rest).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
-
-
-def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096, max_rounds: int = 64) -> DataFrame:
+    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    parts = F.ceil(F.col("_k") / max(hot_rows, 2)).cast("int")
+    dealt = keys.join(sizes, "band").select("band", "simhash", parts.alias("_p")).withColumns({
+        "block": F.pmod(F.xxhash64("simhash"), F.col("_p")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("_p") - 1)),
+    }).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "simhash")
+    names = ["band", "i", "j", "block", "simhash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            found = connected([r[1] for r in rows], [r[0] for r in rows], key[1], key[2], threshold) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for band, i, j, block, value in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (band, i, j) != key:
+                    if len(rows) > 1:
+                        yield pairs()
+                    key, rows = (band, i, j), []
+                rows.append((block, value))
+        if rows:
+            yield pairs()
+
+    together = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return map_arrow(together, run, "a bigint, b bigint").distinct()
+
+
+def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
     """(simhash, cluster): connected groups of near fingerprints, named by their smallest member.
 
     Labels shrink along pairs and jump to their label's label, so rounds grow with the logarithm of
@@ -128,7 +163,7 @@ def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096,
     pairs = linking_pairs(nodes, threshold, hot_rows)
     edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cluster-pairs")
     labels = nodes.withColumn("cluster", F.col("simhash"))
-    for _ in range(max_rounds):
+    while True:
         # Smallest label among the neighbours, combined in the map tasks.
         offered = (
             edges.join(labels.select(F.col("simhash").alias("b"), "cluster"), "b")
@@ -143,4 +178,3 @@ def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096,
         labels = stepped.select("simhash", "cluster")
         if stepped.where(F.col("_old") != F.col("cluster")).isEmpty():
             return labels
-    raise RuntimeError(f"clusters not settled after {max_rounds} rounds")

@@ -43,7 +43,7 @@ def chunked(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int | N
     value = _order_value(df, split_on)
     points = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
     cuts = (
-        df.join(F.broadcast(hot), list(keys))
+        df.join(hot, list(keys))
         .groupBy(*keys)
         .agg(
             F.array_distinct(F.percentile_approx(value, points, 10_000)).alias("_points"),
@@ -55,7 +55,7 @@ def chunked(df: DataFrame, keys: Sequence[str], split_on: str, hot_rows: int | N
     )
     position = F.size(F.filter("_cuts", lambda c: c <= value))
     return (
-        df.join(F.broadcast(cuts), list(keys), "left")
+        df.join(cuts, list(keys), "left")
         .withColumn("_hot", F.col("_cuts").isNotNull())
         .withColumn("_chunk", F.when(F.col("_hot"), position).otherwise(F.lit(0)))
         .drop("_cuts")
@@ -78,7 +78,7 @@ def ordinal(
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
         parts.withColumn("_rn", F.row_number().over(w))
-        .join(F.broadcast(before), [*keys, "_chunk"], "left")
+        .join(before, [*keys, "_chunk"], "left")
         .withColumn("_pos", F.col("_rn") + F.coalesce("_before", F.lit(0)))
         .drop("_rn", "_before", "_hot", "_chunk")
     )
@@ -102,7 +102,7 @@ def previous(
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         parts.withColumn("_in", F.last("_v", True).over(w))
-        .join(F.broadcast(carry), [*keys, "_chunk"], "left")
+        .join(carry, [*keys, "_chunk"], "left")
         .withColumn(out, F.coalesce("_in", "_carry"))
         .drop("_v", "_in", "_carry", "_hot", "_chunk")
     )
@@ -133,7 +133,7 @@ def _with_halo(
     halo = (
         hot.withColumn("_back", F.row_number().over(backwards))
         .where(F.col("_back") <= reach)
-        .join(F.broadcast(reaches), [*keys, "_chunk"])
+        .join(reaches, [*keys, "_chunk"])
         .where(F.col("_back") + F.col("_gap") <= reach)
         .withColumn("_chunk", F.col("_target"))
         .withColumn("_halo", F.lit(True))

@@ -132,6 +132,13 @@ def fit_classifier(training: DataFrame, algorithm: str = "forest", trees: int =
     return Pipeline(stages=[assembler, model]).fit(training)
 
 
+def model_patterns(statements: DataFrame, sql: str, model) -> DataFrame:
+    """`statements` with `guess`, the model's access pattern."""
+    norm = statements.withColumn("_n", T.normalize_sql(F.col(sql)))
+    scored = model.transform(norm.select("*", *T.features(F.col("_n"))))
+    return scored.select(*statements.columns, F.get(F.lit(ACCESS_PATTERNS), F.col("prediction").cast("int")).alias("guess"))
+
+
 def classify_unknown(statements: DataFrame, sql: str, model) -> DataFrame:
     """Access pattern by rule, by model where no rule applies."""
     norm = statements.withColumn("normalized_sql", T.normalize_sql(F.col(sql)))

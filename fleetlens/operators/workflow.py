@@ -96,7 +96,7 @@ def judged_events(
         run = gathered(events, [key]).withColumn("_start", F.lit(initial))
     else:
         pieces = gathered(parts, [key, "_chunk", "_hot"])
-        run = pieces.join(F.broadcast(_entry_states(pieces, key, initial)), [key, "_chunk"], "left").withColumn(
+        run = pieces.join(_entry_states(pieces, key, initial), [key, "_chunk"], "left").withColumn(
             "_start", F.coalesce("_start", F.lit(initial))
         )
     run = run.withColumn("_m", _fold(F.col("_e"), F.col("_start"))["moves"])

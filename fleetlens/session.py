@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,11 +54,28 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables up to this size may be spread.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than cores.
+    """Give every core a share of a small table that lies in a single row group.
 
-    Meant for heavy per-row work right above a scan of a few files. A large table has more splits
-    than cores and is left as it is.
+    Meant for heavy per-row work right above the scan. By the planner's own estimate of its size, a table
+    over `SPREAD_BYTES` is left as it is: it has splits enough, and is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+#: Where this package is; workers of a local session find it there, a cluster has it installed or shipped.
+HOME = str(Path(__file__).resolve().parents[1])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` with this package on the path of the Python workers."""
+    environment = df.sparkSession.sparkContext.environment
+    path = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in path:
+        environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, path)])
+    return df.mapInArrow(run, schema)

@@ -36,23 +36,34 @@ def deduplicated(df: DataFrame, keys: tuple[str, ...] = ("database_id", "time"),
     return event_time(df).withWatermark("time", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def hourly_rollup(df: DataFrame, late: str = LATE) -> DataFrame:
-    """Streaming form of `rollups.hourly`; sums and counts stay in state, one row per open window."""
+def rollup(df: DataFrame, window: str, late: str = LATE) -> DataFrame:
+    """Streaming form of `rollups.hourly` and `rollups.daily`; sums and counts stay in state, one row per open
+    window. Samples that carry `qps` also give its mean."""
+    means = {
+        "avg_connections": "active_connections", "avg_cache_hit_ratio": "cache_hit_ratio", "avg_p99_latency_ms": "p99_latency_ms",
+        "avg_replication_lag": "replication_lag_seconds", **({"avg_qps": "qps"} if "qps" in df.columns else {}),
+    }
     return (
         event_time(df).withWatermark("time", late)
-        .groupBy(F.window("time", "1 hour").alias("w"), "database_id")
+        .groupBy(F.window("time", window).alias("w"), "database_id")
         .agg(
-            F.avg("active_connections").alias("avg_connections"),
-            F.avg("cache_hit_ratio").alias("avg_cache_hit_ratio"),
+            *[F.avg(c).alias(n) for n, c in means.items()],
             F.max("p99_latency_ms").alias("max_p99_latency_ms"),
             F.sum("deadlocks").alias("total_deadlocks"),
             F.count(F.lit(1)).alias("samples"),
         )
-        .select(F.col("w.start").alias("hour"), "database_id", "avg_connections", "avg_cache_hit_ratio",
-                "max_p99_latency_ms", "total_deadlocks", "samples")
+        .select(F.col("w.start").alias("start"), "database_id", *means, "max_p99_latency_ms", "total_deadlocks", "samples")
     )
 
 
+def hourly_rollup(df: DataFrame, late: str = LATE) -> DataFrame:
+    return rollup(df, "1 hour", late).withColumnRenamed("start", "hour")
+
+
+def daily_rollup(df: DataFrame, late: str = LATE) -> DataFrame:
+    return rollup(df, "1 day", late).withColumnRenamed("start", "day")
+
+
 def append_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = False) -> StreamingQuery:
     """Write each micro-batch under `batch=`; a repeated batch replaces itself."""
     def write(batch: DataFrame, number: int) -> None:

@@ -388,7 +388,9 @@ def multiset_equivalence(spark, sf):
     return reconcile.result_difference(a, b, multiset=True)
 
 
-@query()
+@query("""WITH a AS (SELECT * FROM lineitem), b AS (SELECT * REPLACE (CASE WHEN l_orderkey % 1000 = 7 THEN l_tax + 0.01 ELSE l_tax END AS l_tax) FROM lineitem),
+apart AS (SELECT DISTINCT l_orderkey % 1024 AS bucket FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
+SELECT bucket, (SELECT count(*) FROM a WHERE a.l_orderkey % 1024 = bucket) AS live_rows, (SELECT count(*) FROM b WHERE b.l_orderkey % 1024 = bucket) AS restored_rows FROM apart""")
 def drifted_buckets(spark, sf):
-    """Hash buckets of the key in which two copies differ."""
+    """Buckets of the key in which two copies differ."""
     return reconcile.differing_buckets(table(spark, sf, "lineitem"), _damaged(spark, sf), "l_orderkey")

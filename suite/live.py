@@ -68,14 +68,23 @@ def _naive(df, *columns):
 # --- streams --------------------------------------------------------------------------------------
 
 
-@query(with_views("health_metrics") + """ SELECT database_id, date_trunc('hour', time) AS hour, round(avg(active_connections), 9) AS avg_connections,
-  round(avg(cache_hit_ratio), 9) AS avg_cache_hit_ratio, max(p99_latency_ms) AS max_p99_latency_ms, CAST(sum(deadlocks) AS BIGINT) AS total_deadlocks, count(*) AS samples
-FROM health_metrics GROUP BY 1, 2""")
+MEANS = ["avg_connections", "avg_cache_hit_ratio", "avg_p99_latency_ms", "avg_replication_lag"]
+ROLLED = """ SELECT database_id, date_trunc('UNIT', time) AS UNIT, round(avg(active_connections), 9) AS avg_connections,
+  round(avg(cache_hit_ratio), 9) AS avg_cache_hit_ratio, round(avg(p99_latency_ms), 9) AS avg_p99_latency_ms, round(avg(replication_lag_seconds), 9) AS avg_replication_lag,
+  max(p99_latency_ms) AS max_p99_latency_ms, CAST(sum(deadlocks) AS BIGINT) AS total_deadlocks, count(*) AS samples FROM health_metrics GROUP BY 1, 2"""
+
+
+@query(with_views("health_metrics") + ROLLED.replace("UNIT", "hour"))
 def live_hourly_rollup(spark, sf):
     """Windows as the stream last updated them equal the batch rollup."""
     updates = _drain(table(spark, sf, "events"), "event_id", lambda s: jobs.hourly_rollup(_samples(s)), "update")
-    out = jobs.latest_of(updates, ("database_id", "hour"))
-    return _naive(rounded(out, "avg_connections", "avg_cache_hit_ratio"), "hour")
+    return _naive(rounded(jobs.latest_of(updates, ("database_id", "hour")), *MEANS), "hour")
+
+
+@query(with_views("health_metrics") + ROLLED.replace("date_trunc('UNIT', time)", "CAST(date_trunc('day', time) AS TIMESTAMP)").replace("UNIT", "day"))
+def live_daily_rollup(spark, sf):
+    updates = _drain(table(spark, sf, "events"), "event_id", lambda s: jobs.daily_rollup(_samples(s)), "update")
+    return _naive(rounded(jobs.latest_of(updates, ("database_id", "day")), *MEANS), "day")
 
 
 @query(with_views("health_metrics", more=QPS) + " SELECT event_id, database_id, time, qps FROM rated")
