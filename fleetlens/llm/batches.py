@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Where this package is; workers of a local session find it there, a cluster has it installed or shipped.
-HOME = str(Path(__file__).resolve().parents[2])
+from fleetlens.session import map_arrow
+
 #: Text bytes a task works on at a time; one longer text is worked on alone.
 PIECE_BYTES = 1 << 20
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`mapInArrow` with this package on the path of the Python workers."""
-    environment = df.sparkSession.sparkContext.environment
-    path = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if HOME not in path:
-        environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, path)])
-    return df.mapInArrow(run, schema)
-
-
 def text_lengths(column: pa.Array) -> np.ndarray:
     """Bytes of each text, 0 for null."""
     raw = column.cast(pa.large_binary())
