@@ -135,6 +135,7 @@ STATES = [
     "proposed", "reviewed", "approved", "testing", "deploying", "monitoring", "completed",
     "rolled_back", "rejected",
 ]
+CLOSED_STATES = ["completed", "rolled_back", "rejected"]
 TRANSITIONS = {
     ("proposed", "review"): "reviewed",
     ("reviewed", "approve"): "approved",

@@ -120,6 +120,28 @@ def rule_samples(samples: DataFrame, rules: list[dict], tie: str | None = None)
     return samples.select("database_id", *order, F.inline(F.array(*one)))
 
 
+def rule_table_matches(samples: DataFrame, rules: DataFrame, tie: str | None = None) -> DataFrame:
+    """Breaches of rules that are rows (rule_id, metric, condition, threshold, severity, is_active).
+
+    Samples turn into one row per metric some active rule may name, and meet the rules on it; any number of
+    rules plans the same. Rules on a metric that samples lack match nothing.
+    """
+    order = ["time", tie] if tie else ["time"]
+    names = [c for c, kind in samples.dtypes if c not in ("database_id", *order) and kind in ("int", "bigint", "double", "float", "smallint")]
+    long = samples.select("database_id", *order, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
+        ["database_id", *order], names, "metric", "value"
+    )
+    met = long.join(rules.where(F.coalesce("is_active", F.lit(True))), "metric")
+    breach = F.coalesce(breaches(F.col("value"), F.col("condition"), F.col("threshold")), F.lit(False))
+    return met.where(breach).select("rule_id", "severity", "database_id", *order, "value")
+
+
+def rule_alerts(rules: DataFrame, alerts: DataFrame, time: str = "time") -> DataFrame:
+    """Every rule with how often it fired and when last, fired or not."""
+    fired = alerts.groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"), F.max(time).alias("last_alert_at"))
+    return rules.join(fired, "rule_id", "left").fillna(0, ["alerts"])
+
+
 def rule_matches(samples: DataFrame, rules: list[dict], tie: str | None = None) -> DataFrame:
     return rule_samples(samples, rules, tie).where("breach").drop("breach")
 

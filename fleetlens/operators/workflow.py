@@ -139,6 +139,38 @@ def lifecycle_stamps(judged: DataFrame, key: str = "proposal_id", time: str = "t
     )
 
 
+def lifecycle_people(
+    judged: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",), actor: str = "actor", comment: str = "comment",
+) -> DataFrame:
+    """Who took each lifecycle step last, and why: reviewer and comment, approver, rejecter and reason, reason of a rollback.
+
+    An approval's comment replaces the review's.
+    """
+    def last(column: str, *triggers: str) -> Column:
+        return F.max_by(column, F.when(F.col("legal") & F.col("trigger_name").isin(*triggers), F.struct(*order)))
+
+    return judged.groupBy(key).agg(
+        last(actor, "review").alias("reviewed_by"), last(comment, "review", "approve").alias("review_comment"),
+        last(actor, "approve").alias("approved_by"), last(actor, "reject").alias("rejected_by"),
+        last(comment, "reject").alias("rejection_reason"), last(comment, "rollback").alias("rollback_reason"),
+    )
+
+
+def open_proposals(proposals: DataFrame, states: DataFrame, closed: Sequence[str] = K.CLOSED_STATES, key: str = "proposal_id") -> DataFrame:
+    """Proposals of each database that have not come to an end."""
+    joined = proposals.select(key, "database_id").join(states.select(key, "state"), key, "left")
+    still = joined.where(F.coalesce(~F.col("state").isin(*closed), F.lit(True)))
+    return still.groupBy("database_id").agg(F.count(F.lit(1)).alias("open_proposals"))
+
+
+def proposal_audit(proposals: DataFrame, trail: DataFrame, key: str = "proposal_id", time: str = "ts") -> DataFrame:
+    """Every proposal with the size and span of its audit trail, also those without any entry."""
+    found = trail.groupBy(key).agg(
+        F.count(F.lit(1)).alias("entries"), F.min(time).alias("first_entry_at"), F.max(time).alias("last_entry_at")
+    )
+    return proposals.join(found, key, "left").fillna(0, ["entries"])
+
+
 def dwell_times(judged: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",), time: str = "ts") -> DataFrame:
     """Seconds between entering a state and leaving it, over all proposals, by state.
 

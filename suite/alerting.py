@@ -188,6 +188,38 @@ def rule_matches(spark, sf):
     return alerts.rule_matches(_health(spark, sf), RULES, tie="event_id")
 
 
+RULE_TABLE = """rules AS (SELECT n_nationkey AS rule_id, CASE n_nationkey % 4 WHEN 0 THEN 'active_connections' WHEN 1 THEN 'cache_hit_ratio' WHEN 2 THEN 'replication_lag_seconds' ELSE 'no_such_metric' END AS metric,
+  CASE n_nationkey % 3 WHEN 0 THEN 'gt' WHEN 1 THEN 'lt' ELSE 'eq' END AS condition, CAST(n_nationkey * 3 AS DOUBLE) AS threshold,
+  CASE WHEN n_nationkey < 9 THEN 'high' ELSE 'low' END AS severity, n_nationkey % 5 <> 4 AS is_active FROM nation),
+values_of AS (SELECT event_id, database_id, time, CAST(active_connections AS DOUBLE) AS active_connections, CAST(cache_hit_ratio AS DOUBLE) AS cache_hit_ratio,
+  CAST(replication_lag_seconds AS DOUBLE) AS replication_lag_seconds FROM health_metrics),
+longer AS (SELECT event_id, database_id, time, metric, value FROM values_of UNPIVOT (value FOR metric IN (active_connections, cache_hit_ratio, replication_lag_seconds))),
+fired AS (SELECT rule_id, severity, database_id, time, event_id, value FROM longer JOIN rules USING (metric)
+  WHERE is_active AND CASE condition WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold ELSE value = threshold END)"""
+
+
+def _rules(spark, sf):
+    k = F.col("n_nationkey")
+    names = F.array(*map(F.lit, ["active_connections", "cache_hit_ratio", "replication_lag_seconds", "no_such_metric"]))
+    return table(spark, sf, "nation").select(
+        k.alias("rule_id"), F.get(names, k % 4).alias("metric"), F.get(F.array(*map(F.lit, ["gt", "lt", "eq"])), k % 3).alias("condition"),
+        (k * 3).cast("double").alias("threshold"), F.when(k < 9, "high").otherwise("low").alias("severity"), (k % 5 != 4).alias("is_active"),
+    )
+
+
+@query(with_views("health_metrics", more=RULE_TABLE) + " SELECT * FROM fired")
+def rule_table_matches(spark, sf):
+    """Rules that are rows of a table, whatever their number."""
+    return alerts.rule_table_matches(_health(spark, sf), _rules(spark, sf), tie="event_id")
+
+
+@query(with_views("health_metrics", more=RULE_TABLE) + """ SELECT rules.rule_id, metric, condition, threshold, rules.severity, is_active, count(fired.event_id) AS alerts, max(time) AS last_alert_at
+FROM rules LEFT JOIN fired ON fired.rule_id = rules.rule_id GROUP BY ALL""")
+def rule_alerts(spark, sf):
+    rules = _rules(spark, sf)
+    return alerts.rule_alerts(rules, alerts.rule_table_matches(_health(spark, sf), rules, tie="event_id"))
+
+
 ISLANDS = JUDGED + """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY rule_id, database_id ORDER BY time, event_id)
   - row_number() OVER (PARTITION BY rule_id, database_id, breach ORDER BY time, event_id) AS run,

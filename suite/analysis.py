@@ -270,6 +270,43 @@ def lifecycle_stamps(spark, sf):
     return workflow.lifecycle_stamps(_judged(spark, sf))
 
 
+WHO = """, said AS (SELECT *, concat('dba', l_partkey % 9) AS actor, concat('because ', l_extendedprice) AS comment FROM judged WHERE legal)
+ SELECT proposal_id, max_by(actor, i) FILTER (trigger_name = 'review') AS reviewed_by, max_by(comment, i) FILTER (trigger_name IN ('review', 'approve')) AS review_comment,
+  max_by(actor, i) FILTER (trigger_name = 'approve') AS approved_by, max_by(actor, i) FILTER (trigger_name = 'reject') AS rejected_by,
+  max_by(comment, i) FILTER (trigger_name = 'reject') AS rejection_reason, max_by(comment, i) FILTER (trigger_name = 'rollback') AS rollback_reason
+ FROM (SELECT j.proposal_id, s.i, s.trigger_name, s.actor, s.comment FROM (SELECT DISTINCT proposal_id FROM judged) j LEFT JOIN said s USING (proposal_id)) GROUP BY 1"""
+
+
+@query(FLOW + WHO)
+def lifecycle_people(spark, sf):
+    """Reviewer, approver, rejecter, and the words that went with it."""
+    told = _judged(spark, sf).withColumns({
+        "actor": F.concat(F.lit("dba"), F.col("l_partkey") % 9), "comment": F.concat(F.lit("because "), F.col("l_extendedprice").cast("string")),
+    })
+    return workflow.lifecycle_people(told, order=PLACE)
+
+
+PROPOSALS = """proposals AS (SELECT o_orderkey AS proposal_id, concat('db-', CAST(o_custkey % 8 AS VARCHAR)) AS database_id FROM orders)"""
+
+
+def _proposals(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("proposal_id"), F.concat(F.lit("db-"), (F.col("o_custkey") % 8).cast("string")).alias("database_id"))
+
+
+@query(FLOW + f""", {PROPOSALS}, ended AS (SELECT proposal_id, max_by(to_state, i) AS state FROM judged GROUP BY 1)
+SELECT database_id, count(*) AS open_proposals FROM proposals LEFT JOIN ended USING (proposal_id)
+WHERE coalesce(state NOT IN ('completed', 'rolled_back', 'rejected'), true) GROUP BY 1""")
+def open_proposals(spark, sf):
+    return workflow.open_proposals(_proposals(spark, sf), workflow.final_states(_judged(spark, sf), order=PLACE))
+
+
+@query(with_views("proposal_events", more=PROPOSALS) + """ SELECT proposal_id, database_id, count(ts) AS entries, min(ts) AS first_entry_at, max(ts) AS last_entry_at
+FROM proposals LEFT JOIN proposal_events USING (proposal_id) GROUP BY 1, 2""")
+def proposal_audit(spark, sf):
+    return workflow.proposal_audit(_proposals(spark, sf), view(spark, sf, "proposal_events"))
+
+
 @query(FLOW + """, moves AS (SELECT *, epoch_ms(lead(ts) OVER (PARTITION BY proposal_id ORDER BY i)) // 1000 - epoch_ms(ts) // 1000 AS s FROM judged WHERE legal)
 SELECT to_state AS state, count(*) AS entered, count(s) AS "left", round(avg(s), 6) AS avg_seconds FROM moves GROUP BY 1""")
 def state_dwell(spark, sf):
