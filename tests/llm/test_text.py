@@ -67,11 +67,14 @@ def brute_measures(text):
             len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
-GOOD = "This is a line of ordinary words that ends as it should. " * 1
+def line(i):
+    return f"Line {i} holds ordinary{i} words like alpha{i} and beta{i} that end well."
+
+
 RULED = {
-    "good": "\n".join(f"{GOOD}Number {i}." for i in range(5)), "null": None, "empty": "", "blank": " \n\t\n ", "eight": "a b c d e f g h",
+    "good": "\n".join(map(line, range(5))), "null": None, "empty": "", "blank": " \n\t\n ", "eight": "a b c d e f g h",
     "menu": "\n".join(["home | news | about", "log in", "contact us"] * 12), "shout": "BUY!! NOW!! GO!! " * 30 + ".",
-    "mixed": "\n".join([f"{GOOD}Only number {i} here." for i in range(4)] + ["Home", "cookie policy."]), "repeat": "one two three four five six seven eight nine. " * 9,
+    "mixed": "\n".join([*map(line, range(4)), "Home", "cookie policy."]), "repeat": "one two three four five six seven eight nine. " * 9,
     "overlap": "a a a a a a a a a a a b c d e f g h i j k l m n o p", "é": "é😀 " * 30,
 }
 
