@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,7 +81,7 @@ class Model:
     remove_extra: bool
     escape: bool
 
-    @property
+    @cached_property
     def cuts(self) -> bool:
         """Whether texts may be cut before blanks and around line feeds."""
         plain = [p for p, _, kind in self.pieces if kind in (NORMAL, USER)]
@@ -186,7 +187,7 @@ class Codec:
         return out
 
     def cut(self, text: str) -> list[str] | None:
-        if not self.model.cuts or not text or "  " in text or "\n " in text or MARK in text or "\0" in text or text[0] in " \n":
+        if not self.model.cuts or not text or any(x in text for x in ("  ", " \n", "\n ", MARK, "\0")) or text[0] in " \n" or text[-1] == " ":
             return None
         return (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0").split("\0")
 
@@ -211,6 +212,12 @@ class Codec:
         return self.full.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, threads: int) -> Codec:
+    """A Python worker keeps its codec from one task to the next."""
+    return Codec(path, threads)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """`docs` with `n_tokens`, `ids_crc32`, `round_trip`, `mismatches` and, if asked, the `ids`, in one narrow pass."""
     threads = int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
@@ -218,7 +225,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
 
     def make():
-        codec = Codec(path, threads)
+        codec = codec_of(path, threads)
 
         def work(piece):
             texts = strings(piece.column(text))

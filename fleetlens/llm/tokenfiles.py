@@ -16,6 +16,7 @@ first; rows with equal ids are ordered by text, then as they come; an empty tabl
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,12 @@ PAGE_BYTES = 256 << 10
 FILE_BYTES = 64 << 20
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str, end: int = END):
-    """Function from texts to (values, lengths): all ids one after another, the end id after each text."""
+    """Function from texts to (values, lengths): all ids one after another, the end id after each text.
+
+    A Python worker keeps it, with the chunks it has met, from one task to the next.
+    """
     t = library(path)
     stop = np.array([end], "<u4").tobytes()
 

@@ -8,6 +8,7 @@ token counts 1 without any merging, and only the remaining distinct chunks go th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -25,8 +26,9 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(x for x, e in zip(texts, encoded) if len(e.ids) == 1)
 
 
+@lru_cache(maxsize=1)
 def counter(path: str, shortcut: frozenset[str]) -> Callable[[list[str]], list[int]]:
-    """Function from texts to their token counts."""
+    """Function from texts to their token counts; a Python worker keeps it from one task to the next."""
     t = library(path)
 
     def whole(texts: list[str]) -> list[int]:
