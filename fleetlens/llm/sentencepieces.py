@@ -25,10 +25,11 @@ from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import annotate, boolean, long, strings
+from fleetlens.llm.batches import annotate, boolean, long, map_arrow, strings
 from fleetlens.llm.chunks import Cells
 
 MARK = "▁"
@@ -141,7 +142,7 @@ def rebuild(model: Model, prefix: bool = True):
     if model.cuts:
         # Proven not to part what a piece could join; keeps the library's words, and its memory of them, short.
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+"), "isolated")
-    tail = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
+    tail = [decoders.Strip(" ", 1, 0)] if prefix and model.dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return t
 
@@ -159,6 +160,7 @@ class Codec:
         self.full, self.bare = rebuild(self.model), rebuild(self.model, prefix=False)
         self.truth = sentencepiece.SentencePieceProcessor(model_file=path)
         self.wrong: set[str] = set()
+        self.unlike: set[str] = set()
         self.known = Cells(self._chunks, {"": b""})
         if self.model.cuts:
             self.feed = self.bare.encode("\n", add_special_tokens=False).ids
@@ -184,6 +186,7 @@ class Codec:
             if right != out[i]:
                 self.wrong.add(w)
                 out[i] = right
+        self.unlike.update(w for w, back in zip(words, self._decode(self.bare, out)) if back != w.replace(MARK, " "))
         return out
 
     def cut(self, text: str) -> list[str] | None:
@@ -191,25 +194,34 @@ class Codec:
             return None
         return (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0").split("\0")
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """Ids of each text as little-endian 32-bit integers, and the mismatches that were put right in it."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool]]:
+        """For each text its ids as little-endian 32-bit integers, the mismatches put right, and whether it decodes to itself.
+
+        What a text decodes to is what its chunks decode to, one after another.
+        """
         get = self.known.__getitem__
         parts = [self.cut(x) for x in texts]
         cells = [None if p is None else list(map(get, p)) for p in parts]
         self.known.fill()
         whole = [x for x, p in zip(texts, parts) if p is None]
-        encoded = iter(zip(self.full.encode_batch_fast(whole, add_special_tokens=False), self.truth.encode(whole, num_threads=1)))
+        mine = [e.ids for e in self.full.encode_batch_fast(whole, add_special_tokens=False)]
+        right = [struct.pack(f"<{len(ids)}I", *ids) for ids in self.truth.encode(whole, num_threads=1)]
+        encoded = iter(zip(whole, mine, right, self.decode(right)))
         out = []
         for c, p in zip(cells, parts):
             if c is None:
-                mine, right = next(encoded)
-                out.append((struct.pack(f"<{len(right)}I", *right), int(mine.ids != right)))
+                text, ids, ours, back = next(encoded)
+                out.append((ours, int(struct.pack(f"<{len(ids)}I", *ids) != ours), text == back))
             else:
-                out.append((b"".join(c), sum(w in self.wrong for w in p) if self.wrong else 0))
+                out.append((b"".join(c), sum(w in self.wrong for w in p) if self.wrong else 0, not self.unlike or self.unlike.isdisjoint(p)))
         return out
 
+    @staticmethod
+    def _decode(tokenizer, ids: list[bytes]) -> list[str]:
+        return tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.full.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+        return self._decode(self.full, ids)
 
 
 @lru_cache(maxsize=1)
@@ -221,21 +233,35 @@ def codec_of(path: str, threads: int) -> Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """`docs` with `n_tokens`, `ids_crc32`, `round_trip`, `mismatches` and, if asked, the `ids`, in one narrow pass."""
     threads = int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
-    made = [long("n_tokens"), long("ids_crc32"), boolean("round_trip"), long("mismatches")]
-    made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    added = [long("n_tokens"), long("ids_crc32"), boolean("round_trip"), long("mismatches")]
+    added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
 
     def make():
         codec = codec_of(path, threads)
 
         def work(piece):
-            texts = strings(piece.column(text))
-            ids = codec.encode(texts)
-            back = codec.decode([x for x, _ in ids])
-            out = [
-                [len(x) // 4 for x, _ in ids], [zlib.crc32(x) for x, _ in ids], [a == b for a, b in zip(texts, back)], [n for _, n in ids],
-            ]
-            return out + ([[np.frombuffer(x, "<i4") for x, _ in ids]] if with_ids else [])
+            made = codec.encode(strings(piece.column(text)))
+            ids = [x for x, _, _ in made]
+            out = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [same for _, _, same in made], [n for _, n, _ in made]]
+            return out + ([[np.frombuffer(x, "<i4") for x in ids]] if with_ids else [])
 
         return work
 
-    return annotate(docs, text, made, make, keep)
+    return annotate(docs, text, added, make, keep)
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """`tokens` with `text` decoded from a list of ids, in one narrow pass; a null list gives a null text."""
+    threads = int(tokens.sparkSession.conf.get("spark.task.cpus", "1"))
+    kept = [c for c in tokens.columns if c != "text"]
+    schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(path, threads)
+        for batch in batches:
+            lists = batch.column(ids).to_pylist()
+            texts = codec.decode([np.array(x or [], "<u4").tobytes() for x in lists])
+            texts = [None if x is None else t for x, t in zip(lists, texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)
+
+    return map_arrow(tokens.select(*kept), run, schema)

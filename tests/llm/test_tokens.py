@@ -73,7 +73,10 @@ def test_sentencepiece_parity(docs):
 
     truth = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     df, texts = docs
-    for r in sentencepieces.encode(df, PIECES).collect():
+    made = sentencepieces.encode(df, PIECES)
+    back = {r.doc_id: r.text for r in sentencepieces.decode(made, PIECES).collect()}
+    assert all(back[i] == truth.decode(truth.encode(t or "")) for i, t in enumerate(texts))
+    for r in made.collect():
         right = truth.encode(texts[r.doc_id] or "")
         assert r.ids == right and r.n_tokens == len(right) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(right)}I", *right))
         assert r.mismatches == 0 or "\0" in texts[r.doc_id] or "▁" in texts[r.doc_id]
