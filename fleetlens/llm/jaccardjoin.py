@@ -16,10 +16,11 @@ A larger set may link to one in a lower band, so it is indexed under each band t
 link to. Bands widen by 1.4, so that is one or two.
 
 Work. Copies are collapsed within tasks, then by fingerprint. Entries with one set go. Buckets of the
-same sets are collapsed to one. The sets of the rest are read again from the texts, sent to their
-buckets, verified exactly there, and only a spanning forest of links leaves a bucket, so a crowd of near
-copies yields one row per member. A bucket over `BUCKET_BYTES` is split into blocks that meet in pairs.
-Components come from alternating star contraction.
+same sets are collapsed to one, and buckets that share sets form a family. A family of up to
+`FAMILY_BYTES` of sets is verified as a whole, so each set is read again from its text and sent just
+once; a larger one is verified bucket by bucket, and a bucket over `BUCKET_BYTES` is split into blocks that
+meet in pairs. Only a star for each tree of links leaves a group, so a crowd of near copies yields one row
+per member. Components come from alternating star contraction.
 
 Defined results: null, empty and blank texts have no shingles and link to nothing; a text with fewer
 words than a shingle has one shingle, the whole; rows with null ids take part, and a component without
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.batches import annotate, long, map_arrow, utf8
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, discard, scratch
 
 WORDS, NUM, DEN = 5, 8, 10
 BAND_RATIO = 1.4
@@ -50,6 +51,8 @@ BAND_RATIO = 1.4
 SHARED = 0.1
 #: Set bytes that one task holds at a time when it verifies a bucket.
 BUCKET_BYTES = 16 << 20
+#: Set bytes of a family that is verified as a whole.
+FAMILY_BYTES = 4 << 20
 #: Fingerprints of sets a task remembers in order to index copies once.
 REMEMBERED = 200_000
 
@@ -224,6 +227,21 @@ def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return tagged.join(first.select("entry"), "entry").select(F.col("entry").alias("bucket"), "rep", "n", "weight")
 
 
+def families(found: DataFrame) -> DataFrame:
+    """(kind, bucket, rep, weight): small families as one group of kind 0, the buckets of large ones as kind 1."""
+    low = found.groupBy("bucket").agg(F.min("rep").alias("low"))
+    edges = found.join(low, "bucket").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    roots = components(edges)
+    placed = found.select("rep", "n").distinct().join(roots, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("family"))
+    sizes = placed.groupBy("family").agg(F.sum("n").alias("whole"))
+    placed = cut_lineage(placed.join(sizes, "family"), "families")
+    small = F.col("whole") * 8 <= FAMILY_BYTES
+    whole = placed.where(small).select(F.lit(0).alias("kind"), F.col("family").alias("bucket"), "rep", F.col("whole").alias("weight"))
+    large = placed.where(~small).select("rep").join(found, "rep").select(F.lit(1).alias("kind"), "bucket", "rep", "weight")
+    return whole.unionByName(large)
+
+
 def read_sets(docs: DataFrame, doc: str, text: str, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, set) of the wanted classes (rep, doc_id, f1, f2, n), from the texts of their documents."""
     ids = wanted.select("doc_id").distinct()
@@ -244,7 +262,7 @@ def read_sets(docs: DataFrame, doc: str, text: str, wanted: DataFrame, words: in
 
 
 def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among (rep, block, set), between blocks `first` and `second` if they differ."""
+    """(member, smallest member) of each tree of links among (rep, block, set), between blocks `first` and `second` if they differ."""
     rows = list({rep: (rep, block, s) for rep, block, s in rows}.values())
     reps = [r for r, _, _ in rows]
     sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
@@ -262,7 +280,7 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    out, trees = [], len(rows)
+    trees = len(rows)
     for x in range(len(rows)):
         if trees == 1:
             break
@@ -281,32 +299,36 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
             if a != b:
                 parent[a] = b
                 trees -= 1
-                out.append((reps[x], reps[y]))
-    return out
+    roots = [root(x) for x in range(len(rows))]
+    low: dict[int, int] = {}
+    for r, rep in zip(roots, reps):
+        low[r] = min(low.get(r, rep), rep)
+    return [(rep, low[r]) for r, rep in zip(roots, reps) if rep != low[r]]
 
 
 def links(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes that span what each bucket links."""
+    """(a, b): stars over what the links of each group connect."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("weight") * 8 / BUCKET_BYTES)).cast("int")
     dealt = found.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block")
-    sent = dealt.join(sets, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    names = ["bucket", "i", "j", "rep", "block", "set"]
+    dealt = dealt.select("kind", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block")
+    keys = ["kind", "bucket", "i", "j"]
+    sent = dealt.join(sets, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    names = [*keys, "rep", "block", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             out = []
-            for bucket, i, j, rep, block, s in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (bucket, i, j) != key:
+            for kind, bucket, i, j, rep, block, s in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (kind, bucket, i, j) != key:
                     if len(rows) > 1:
-                        out += verified(rows, key[1], key[2], num, den)
-                    key, rows = (bucket, i, j), []
+                        out += verified(rows, key[2], key[3], num, den)
+                    key, rows = (kind, bucket, i, j), []
                 rows.append((rep, block, s))
             yield _pairs(out)
         if len(rows) > 1:
-            yield _pairs(verified(rows, key[1], key[2], num, den))
+            yield _pairs(verified(rows, key[2], key[3], num, den))
 
     return map_arrow(sent.select(names), run, "a bigint, b bigint").distinct()
 
@@ -339,13 +361,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable over links."""
-    rows = cut_lineage(index(docs, doc, text, words, num, den), "index")
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "index")
+    index(docs, doc, text, words, num, den).write.parquet(path)
+    full = spark.read.parquet(path)
+    rows = cut_lineage(full.drop("entries"), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
     )
-    found = cut_lineage(buckets(rows, classes), "buckets")
+    found = cut_lineage(buckets(full, classes), "buckets")
+    discard(spark, path)  # nothing that follows reads the entries
     wanted = classes.join(found.select("rep").distinct(), "rep")
-    edges = links(found, read_sets(docs, doc, text, wanted, words), num, den)
+    edges = links(families(found), read_sets(docs, doc, text, wanted, words), num, den)
     roots = components(edges)
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
