@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.common import bind
+from fleetlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,8 @@ class Ledger:
         """`versions` with `spans`, the findings of their blobs; empty where nothing was found."""
         kept = [c for c in versions.columns if c not in ("blob", "spans")]
         paths = versions.select(*kept, blob_of(F.col(text)).alias("blob"))
-        joined = paths.join(self.findings(), "blob", "left")
+        # Read from a table, both sides of the join are plain exchanges, and a blob that many paths share is split.
+        joined = paths.join(cut_lineage(self.findings(), "findings"), "blob", "left")
         empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
         return joined.select(*kept, F.coalesce("spans", empty).alias("spans"))
 
