@@ -1,8 +1,10 @@
 """Language identification by compression.
 
-For each language some raw text serves as zstandard dictionaries. A text is compressed with every
-language's dictionaries, and the language with the smallest total wins. Where the runner-up is nearly
-as small the answer is marked as rejected.
+For each language some raw text serves as zstandard dictionaries. A text is cut into even blocks of at most
+`BLOCK` bytes, each block is compressed on its own with every dictionary of every language, and the language
+with the smallest sum over the whole text wins. No block has earlier ones as history, so the last
+block counts like the first and the gap between languages grows with the text. Where the runner-up is
+nearly as small the answer is marked as rejected.
 
 The dictionaries are fitted on a bounded, documented sample: about `ROWS` labelled rows a language,
 chosen by a hash of id and text, and `PIECE` characters from the middle of each. Everything else runs
@@ -29,9 +31,11 @@ from fleetlens.llm.batches import annotate, boolean, double, strings, string
 ROWS = 600
 PIECE = 400
 DICTIONARY_BYTES = 16 << 10
-#: Dictionaries a language; long texts need only the first `LONG_SHARDS` of them to tell sizes apart.
-SHARDS, LONG_SHARDS, SHORT_BYTES = 8, 2, 512
-#: Put before short texts: it compresses well, so that the block is not stored as it is and each match shows.
+#: Dictionaries a language.
+SHARDS = 8
+#: Bytes of normalised text that are compressed at a time.
+BLOCK = 4 << 10
+#: Put before each block: it compresses well, so that the block is not stored as it is and each match shows.
 PAD = bytes(64) + b" "
 #: Rejected if the runner-up is not larger by this part of the smallest size.
 MARGIN = 0.002
@@ -50,6 +54,12 @@ def letters(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip(" ").encode()
 
 
+def blocks(raw: bytes, size: int = BLOCK) -> list[bytes]:
+    """All of a normalised text in even blocks of at most `size` bytes."""
+    n = -(-len(raw) // size)
+    return [raw[i * len(raw) // n:(i + 1) * len(raw) // n] for i in range(n)]
+
+
 def sample(docs: DataFrame, label: str, doc: str, text: str, rows: int = ROWS) -> DataFrame:
     """About `rows` labelled rows of each language, by hash; columns `lang`, `piece`."""
     labelled = docs.where(F.col(label).isNotNull() & (F.length(text) > 0))
@@ -88,10 +98,8 @@ def classifier(model: dict[str, list[bytes]], margin: float = MARGIN) -> Callabl
         raw = letters(text)
         if not raw or not languages:
             return UNKNOWN, 0.0, True
-        use = LONG_SHARDS
-        if len(raw) < SHORT_BYTES:
-            use, raw = SHARDS, PAD + raw + b" "
-        sizes = {lang: sum(len(z.compress(raw)) for z in zs[:use]) / use for lang, zs in languages.items()}
+        parts = [PAD + b + b" " for b in blocks(raw)]
+        sizes = {lang: sum(len(z.compress(b)) for z in zs for b in parts) / len(zs) for lang, zs in languages.items()}
         best = min(sizes, key=sizes.get)
         rest = [s for lang, s in sizes.items() if lang != best]
         # Sizes are code lengths: with equal priors a language's weight is 2 to minus its bits.

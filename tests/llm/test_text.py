@@ -26,6 +26,24 @@ def test_language_edge_cases(spark, docs_of):
     assert {r.doc_id for r in langid.keep_identified(docs, model).collect()} == {4, 5}
 
 
+def test_language_of_whole_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classify = langid.classifier(langid.fit(docs))
+    said = {lang: " ".join(r.text for r in docs.where((F.col("lang") == lang) & (F.length("text") > 200)).orderBy("doc_id").collect()) for lang in ("en", "de", "fr", "es")}
+
+    def text(lang, n):
+        return (said[lang] * (n // len(said[lang]) + 1))[:n]
+
+    for head, tail in (("en", "de"), ("fr", "es")):
+        assert classify(text(head, 20_000) + " " + text(tail, 100_000))[0] == tail
+        assert classify(text(head, 60_000) + " " + text(tail, 400_000))[0] == tail
+        assert classify(text(head, 100_000) + " " + text(tail, 20_000))[0] == head
+    for lang in said:
+        assert classify(text(lang, 2_000_000))[::2] == (lang, False)
+    whole = b"".join([b"a", b"bc" * 5000])
+    assert b"".join(langid.blocks(whole)) == whole and max(map(len, langid.blocks(whole))) <= langid.BLOCK
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op4_toxicity(spark, sf).join(queries.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
