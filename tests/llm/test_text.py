@@ -76,6 +76,14 @@ def test_toxicity_edge_cases(spark, docs_of, english):
     assert toxicity.score(docs.limit(0), english, weights, bias).count() == 0
 
 
+def test_toxicity_features_do_not_depend_on_splits(spark, docs_of, english):
+    # "harmless" is in every eighth text of either label, the positive ones in a few splits only.
+    rows = [(i, ("you idiot" if i < 320 else "good day") + (" harmless" if i % 8 == 0 else "") + f" word{i % 7}") for i in range(640)]
+    labels = spark.createDataFrame([(i, int(i < 320)) for i in range(640)], "doc_id bigint, toxic int")
+    one, many = (toxicity.fit(docs_of(rows).repartitionByRange(n, "doc_id"), labels, english)[0] for n in (1, 64))
+    assert one and set(one) == set(many) and not any("harm" in g for g in many)
+
+
 def brute_measures(text):
     w = re.findall("[^\x20\x09-\x0D]+", text or "")
     seen = Counter(tuple(w[i:i + 8]) for i in range(len(w) - 7))
