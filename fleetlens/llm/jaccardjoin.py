@@ -359,8 +359,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut_lineage(small.union(down.select("a", "m")).distinct(), "edges")
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable over links."""
+def place(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, f1, f2 of every row, and if it has shingles the `root` of its component and the smallest doc_id in it."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "index")
     index(docs, doc, text, words, num, den).write.parquet(path)
     full = spark.read.parquet(path)
@@ -375,21 +375,39 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int =
     roots = components(edges)
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = placed.select("f1", "f2", "n", "root").join(smallest, "root").drop("root")
-    out = rows.select("doc_id", "n", "f1", "f2").join(known, ["f1", "f2", "n"], "left")
+    known = placed.select("f1", "f2", "n", "root").join(smallest, "root")
+    return rows.select("doc_id", "n", "f1", "f2").join(known, ["f1", "f2", "n"], "left")
+
+
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable over links."""
+    out = place(docs, doc, text, words, num, den)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The document with the smallest id of each component, in the columns of `docs`.
+    """One row of each component, in the columns of `docs`: the smallest by id (null ids last), text and place.
 
-    Of rows with one id the one with the smallest text stays; rows without an id cannot be told apart
-    and stay only if their component has no id at all.
+    Rows are told apart by id and set, so unlinked texts under one id, or without an id, do not touch each
+    other. Rows without shingles link to nothing and stay.
     """
-    placed = join(docs, doc, text, words, num, den)
-    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs[doc].eqNullSafe(first["_kept"]), "left_semi")
-    order = Window.partitionBy(doc).orderBy(text)
-    once = kept.where(F.col(doc).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return once.select(*docs.columns).union(kept.where(F.col(doc).isNull()).select(*docs.columns))
+    placed = place(docs, doc, text, words, num, den).where("root IS NOT NULL")
+    # A component without any id has a null component_id, so only there null ids are heads.
+    heads = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_doc"), F.col("n").alias("_m"), F.col("f1").alias("_g1"), F.col("f2").alias("_g2"), F.col("root").alias("_root")).distinct()
+
+    def make():
+        def work(piece: pa.RecordBatch) -> list:
+            sets = [shingles(x, words) for x in utf8(piece.column(text))]
+            prints = [fingerprint(s) for s in sets]
+            return [[len(s) for s in sets], [a for a, _ in prints], [b for _, b in prints]]
+
+        return work
+
+    printed = annotate(docs, text, [long("_n"), long("_f1"), long("_f2")], make)
+    same = printed[doc].eqNullSafe(heads["_doc"]) & (F.col("_n") == F.col("_m")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2"))
+    kept = printed.join(heads, same, "left").where("_n = 0 OR _root IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
+    group = ["_root", F.when(F.col("_n") == 0, F.col("_row")).alias("_alone")]
+    once = kept.groupBy(*group).agg(F.min_by(F.struct(*docs.columns), F.struct(text, "_row")).alias("_kept"))
+    return once.select("_kept.*")

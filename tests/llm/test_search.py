@@ -141,6 +141,15 @@ def test_one_of_each_group_stays(docs_of):
     assert jaccardjoin.keep_one(docs.limit(0)).count() == 0
 
 
+def test_a_group_loses_its_other_members_only(docs_of):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = b + " more"
+    rows = [(1, a), (1, b), (2, near), (2, c), (None, c), (None, d), (None, d), (None, d.upper()), (7, ""), (7, ""), (7, None), (None, None), (3, near), (3, b)]
+    kept = [(r.doc_id, r.text) for r in jaccardjoin.keep_one(docs_of(rows).repartition(3)).collect()]
+    wanted = [(1, a), (1, b), (2, c), (None, d.upper()), (7, ""), (7, ""), (7, None), (None, None)]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
 def test_stars_reach_the_smallest_node(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55)], "a bigint, b bigint")
     got = {r.node: r.root for r in jaccardjoin.components(edges).collect()}
