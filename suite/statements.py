@@ -181,6 +181,19 @@ def pattern_classifier(spark, sf):
     )
 
 
+# What the model answers has no SQL; tests hold the counts by rule against DuckDB and the rest against its properties.
+@query()
+def statement_patterns(spark, sf):
+    """Every statement of the log by its answer: how many the rules decided, and how many the model where no rule applies."""
+    log = statements.enrich(_log(spark, sf), "sql_text").select("log_id", "sql_text", F.col("access_pattern").alias("rule"))
+    model = statements.fit_classifier(statements.labelled_features(log.where("rule <> 'unknown'"), "sql_text", "rule"))
+    answered = statements.classify_unknown(log, "sql_text", model)
+    by_rule = F.col("rule") != "unknown"
+    return answered.groupBy("access_pattern").agg(
+        F.count(F.lit(1)).alias("statements"), F.count_if(by_rule).alias("by_rule"), F.count_if(~by_rule).alias("by_model")
+    )
+
+
 # --- security -------------------------------------------------------------------------------------
 
 INJECTION = " UNION ALL ".join(

@@ -9,7 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from suite.views import TABLES
+from fleetlens.operators import statements
+from suite.statements import NORMED, PATTERN
+from suite.views import TABLES, with_views
 from tools.check_oracle import compare
 
 SAMPLE = [
@@ -48,3 +50,21 @@ def test_contract(spark):
     assert set(ORACLE) <= set(queries)
     df = entry.entry(spark)
     assert df.count() > 0 and "alerts" in df.columns
+
+
+def test_every_statement_is_answered(spark, sf, duck):
+    rows = {r.access_pattern: r for r in entry.queries()["statement_patterns"](spark, sf).collect()}
+    ruled = dict(duck.execute(with_views("query_log", more=NORMED) + f" SELECT {PATTERN}, count(*) FROM normed WHERE coalesce(sql_text, '') <> '' GROUP BY 1").fetchall())
+    unknown = ruled.pop("unknown", 0)
+    assert unknown > 0 and {k: r.by_rule for k, r in rows.items() if r.by_rule} == ruled
+    assert sum(r.by_model for r in rows.values()) == unknown and "unknown" not in rows
+    assert all(r.statements == r.by_rule + r.by_model for r in rows.values())
+
+
+def test_boosted_trees_answer_what_no_rule_covers(spark):
+    said = [("SELECT a FROM t WHERE id = 1", "oltp_point"), ("DROP TABLE t", "ddl"), ("SELECT a, count(*) FROM t GROUP BY a", "olap_scan")]
+    taught = spark.createDataFrame(said * 5, "sql_text string, access_pattern string")
+    model = statements.fit_classifier(statements.labelled_features(taught, "sql_text", "access_pattern"), "boosted", trees=2, depth=2)
+    asked = spark.createDataFrame([*[(s,) for s, _ in said], ("SELECT a FROM t",)], "sql_text string")
+    got = {r.sql_text: r.access_pattern for r in statements.classify_unknown(asked, "sql_text", model).collect()}
+    assert all(got[s] == p for s, p in said) and got["SELECT a FROM t"] in ("oltp_point", "ddl", "olap_scan")
