@@ -2,7 +2,8 @@
 
 Only DataFrame functions, one narrow pass, no shuffle. A line fails if it
 * lacks an end mark (`END_MARKS`),
-* is navigation or boilerplate (`BOILERPLATE`),
+* holds filler text (`FILLER`), or is short (`SHORT_LINE` words at most) and holds a phrase of navigation or boilerplate
+  (`BOILERPLATE`), both as whole words; longer lines that only mention such a phrase are prose,
 * is made of symbols: over one of `[#*$%&|<>]` in ten words,
 * shouts: over one `!!` in three words.
 Blank lines neither fail nor count. A document is kept if it passes the base rules (20 words, and not
@@ -28,10 +29,13 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 END_MARKS = [".", "!", "?", "…", "\"", "”", "»", ":", ")"]
-BOILERPLATE = (
-    r"(?i)javascript|cookie policy|cookie settings|terms of use|terms of service|privacy policy|all rights reserved|"
-    r"lorem ipsum|skip to content|sign in|log in|subscribe to our|share this|read more|click here|back to top"
+WHOLE = r"(?i)(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
+FILLER = WHOLE % "lorem ipsum"
+BOILERPLATE = WHOLE % (
+    "javascript|cookie policy|cookie settings|terms of use|terms of service|privacy policy|all rights reserved|"
+    "skip to content|sign in|log in|subscribe to our|share this|read more|click here|back to top"
 )
+SHORT_LINE = 15
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -69,7 +73,8 @@ def good_line(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     return (
         F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(END_MARKS)
-        & ~line.rlike(BOILERPLATE)
+        & ~line.rlike(FILLER)
+        & ~((n <= SHORT_LINE) & line.rlike(BOILERPLATE))
         & (F.regexp_count(line, F.lit(SYMBOLS)) * 10 <= n)
         & (F.regexp_count(line, F.lit("!!")) * 3 <= n)
     )

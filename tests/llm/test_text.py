@@ -114,3 +114,14 @@ def test_line_rules(spark):
     cleaned = {r.doc_id: r.text for r in linerules.clean(docs).collect()}
     assert cleaned["good"] == RULED["good"] and "Home" not in cleaned["mixed"] and "cookie" not in cleaned["mixed"]
     assert linerules.judge(docs.limit(0)).count() == 0
+
+
+def test_long_lines_may_mention_boilerplate_phrases(spark):
+    essay = " ".join(f"Part {i} says why we design in{i} steps, blog in spring{i}, read more, share this{i} and have a privacy policy at {i}." for i in range(60))
+    told = " ".join(f"Part {i} tells how to sign in{i} or sign in, click here{i}, log in or use javascript{i} or javascript without its privacy policy {i}." for i in range(60))
+    rows = {"essay": essay, "told": told, "filler": told + " Lorem ipsum dolor.", "words": "\n".join(f"They{i} assign in a catalog{i} in dialog in turn." for i in range(5)),
+            "menu": "\n".join([*map(line, range(4)), "Sign in.", "Please log in to read more!", "We like JavaScript."])}
+    got = {r.doc_id: r for r in linerules.judge(spark.createDataFrame(list(rows.items()), "doc_id string, text string")).collect()}
+    assert all(got[k].kept and got[k].cleaned == rows[k] for k in ("essay", "told", "words"))
+    assert not got["filler"].kept and got["filler"].cleaned == ""
+    assert got["menu"].kept and got["menu"].cleaned == "\n".join(map(line, range(4)))
