@@ -60,6 +60,16 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that `df` reads, by the planner's statistics; nothing is run for it.
+
+    Leaves the planner knows no size of, such as local rows, count nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(size for size in sizes if size < 1 << 60)
+
+
 #: Tables up to this size may be spread.
 SPREAD_BYTES = 128 << 20
 
