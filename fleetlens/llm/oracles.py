@@ -115,4 +115,33 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (doc_id)"""
 
-ORACLE = {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op5_line_rules": OP5, "op8_chat_format": OP8, "op10_secret_scan": OP10}
+# CRC-32 of a string, bit by bit, lowest bit of each byte first; the strings are decimal numbers or one-byte letters and two-byte ones.
+CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(range(1, octet_length(encode({0})) + 1),
+    lambda i: list_transform(range(0, 8), lambda b: (('0x' || hex(encode({0})[i:i]))::UBIGINT >> b) & 1::UBIGINT)))),
+    lambda x, bit: xor(x >> 1, 3988292384::UBIGINT * (xor(x, bit) & 1)))"""
+
+OP13 = rf"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, CAST(xor({CRC32.format("CAST(c AS VARCHAR)")}, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM own)),
+rebuilt AS (
+  SELECT convs.c, own.pos, role, text FROM convs JOIN own ON own.c = convs.c - convs.c % 100 WHERE own.pos <= h
+  UNION ALL SELECT c, pos, role, text FROM convs JOIN own USING (c) WHERE pos > h),
+turns AS (SELECT c, list(md5(role || chr(10) || text) ORDER BY pos) AS seq, list(length(text) ORDER BY pos) AS chars FROM rebuilt GROUP BY c),
+whole AS (SELECT c, coalesce(seq, []) AS seq, coalesce(chars, []) AS chars FROM convs LEFT JOIN turns USING (c)),
+members AS (SELECT c, CAST(d AS BIGINT) AS d, seq[1:d] AS key, seq[1:d - 1] AS up, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS last, len(seq) = d AS over FROM whole, unnest(range(0, len(seq) + 1)) AS u(d)),
+nodes AS (
+  SELECT d, key, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(last) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (over), '')) AS ends FROM members GROUP BY d, key),
+kids AS (SELECT up AS key, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (d, key)),
+below AS (
+  SELECT key[1:e] AS key, CAST(e AS BIGINT) AS d, sum(saved) AS saved, count(*) FILTER (k = 0) AS leaves
+  FROM known, unnest(range(0, d + 1)) AS u(e) GROUP BY ALL)
+SELECT known.c AS conv_id, known.d AS depth, p.c AS parent_conv_id, known.n AS n_convs, known.k AS n_children,
+  below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, known.ends AS ends_sha256
+FROM known JOIN below USING (d, key) LEFT JOIN nodes p ON known.d > 0 AND p.d = known.d - 1 AND p.key = known.up"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op5_line_rules": OP5, "op8_chat_format": OP8, "op10_secret_scan": OP10, "op13_prefix_trie": OP13}

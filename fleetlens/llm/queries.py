@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, secretledger, sentencepieces, tokenfiles, toxicity, wholetokens
+from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, prefixtrie, secretledger, sentencepieces, tokenfiles, toxicity, wholetokens
 from fleetlens.llm.oracles import ORACLE  # noqa: F401
-from fleetlens.session import scratch
+from fleetlens.session import cut_lineage, scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,4 +75,10 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secretledger.digest(ledger.of_paths(docs))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op4_toxicity, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan)}
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = prefixtrie.numbered(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = cut_lineage(turns, "numbered")
+    return prefixtrie.trie(prefixtrie.rebuilt(turns), prefixtrie.conversations(turns))
+
+
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op4_toxicity, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan, op13_prefix_trie)}
