@@ -144,4 +144,30 @@ SELECT known.c AS conv_id, known.d AS depth, p.c AS parent_conv_id, known.n AS n
   below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, known.ends AS ends_sha256
 FROM known JOIN below USING (d, key) LEFT JOIN nodes p ON known.d > 0 AND p.d = known.d - 1 AND p.key = known.up"""
 
-ORACLE = {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op5_line_rules": OP5, "op8_chat_format": OP8, "op10_secret_scan": OP10, "op13_prefix_trie": OP13}
+OP12 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format('text')}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, k, coalesce(CAST(xor({CRC32.format("(CAST(doc_id AS VARCHAR) || ':' || run)")}, 4294967295::UBIGINT) AS BIGINT), 1) AS h FROM runs),
+planted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM planted WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+places AS (SELECT word, n, i FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+masked AS (SELECT word, n, left(word, i - 1) || '_' || substr(word, i + 1) AS mask FROM places),
+shorter AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM masked a JOIN masked b USING (mask) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(struct_pack(other, m), struct_pack(minus := -m, other := encode(other))) AS top FROM near GROUP BY word, n),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.m >= 2 * words.n THEN top.other END AS form,
+    CASE WHEN top.m >= 2 * words.n THEN top.m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at, form AS next FROM formed
+  UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON chain.next = formed.word)
+SELECT formed.word, form, chain.at AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM formed JOIN chain ON chain.word = formed.word AND chain.next IS NULL"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op5_line_rules": OP5, "op8_chat_format": OP8, "op10_secret_scan": OP10, "op12_spelling_variants": OP12, "op13_prefix_trie": OP13}

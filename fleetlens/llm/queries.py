@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, prefixtrie, secretledger, sentencepieces, tokenfiles, toxicity, wholetokens
+from fleetlens.llm import chats, decontaminate, jaccardjoin, langid, linerules, nearestvectors, prefixtrie, secretledger, sentencepieces, spellings, tokenfiles, toxicity, wholetokens
 from fleetlens.llm.oracles import ORACLE  # noqa: F401
 from fleetlens.session import cut_lineage, scratch
 
@@ -75,10 +75,19 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secretledger.digest(ledger.of_paths(docs))
 
 
+def op11_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return nearestvectors.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.variants(table(spark, sf, "documents").select("doc_id", "text"), plant=True)
+
+
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     turns = prefixtrie.numbered(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
     turns = cut_lineage(turns, "numbered")
     return prefixtrie.trie(prefixtrie.rebuilt(turns), prefixtrie.conversations(turns))
 
 
-QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op4_toxicity, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan, op13_prefix_trie)}
+QUERIES = {q.__name__: q for q in (op1_decontaminate, op2_jaccard_join, op3_language, op4_toxicity, op5_line_rules, op6_token_files, op7_token_counts, op8_chat_format, op9_sentencepiece, op10_secret_scan, op11_nearest_vectors, op12_spelling_variants, op13_prefix_trie)}
