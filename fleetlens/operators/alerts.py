@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as K
 from fleetlens.functions.common import bucket_start
-from fleetlens.operators import skew
+from fleetlens.operators import scan
 from fleetlens.operators.topn import newest_then_filter, top_n
 
 
@@ -147,7 +147,7 @@ def rule_matches(samples: DataFrame, rules: list[dict], tie: str | None = None)
 
 
 def sustained_breaches(
-    samples: DataFrame, rules: list[dict], tie: str | None = None, hot_rows: int | None = None
+    samples: DataFrame, rules: list[dict], tie: str | None = None, pieces: int | None = None
 ) -> DataFrame:
     """Runs of breaching samples that last at least the rule's duration, with the time they ended.
 
@@ -157,7 +157,7 @@ def sustained_breaches(
     judged = rule_samples(samples, rules, tie)
     order = ["time", tie] if tie else ["time"]
     quiet = F.when(~F.col("breach"), F.struct(*order))
-    named = skew.previous(judged, ["rule_id", "database_id"], order, quiet, "_run", hot_rows)
+    named = scan.previous(judged, ["rule_id", "database_id"], order, quiet, "_run", pieces)
     runs = named.groupBy("rule_id", "severity", "duration_seconds", "database_id", "_run").agg(
         F.min(F.when(F.col("breach"), F.col("time"))).alias("fired_at"),
         F.max(F.when(F.col("breach"), F.col("time"))).alias("last_breach_at"),

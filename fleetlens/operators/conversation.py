@@ -7,15 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators import skew
+from fleetlens.operators import scan
 
 
 def batch_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], split_on: str, text: Callable[[Column], Column],
-    size: int = 20, hot_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: Callable[[Column], Column],
+    size: int = 20, pieces: int | None = None,
 ) -> DataFrame:
     """Groups of `size` consecutive rows per key; `text` gets the number of a row within its group."""
-    placed = skew.ordinal(df, keys, order, split_on, hot_rows)
+    placed = scan.ordinal(df, keys, order, pieces)
     place = F.col("_pos") - 1
     numbered = placed.select(
         *keys, F.floor(place / size).cast("bigint").alias("batch"), (place % size + 1).cast("int").alias("_i"),

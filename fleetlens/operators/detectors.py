@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.constants import ZSCORE_METRICS
 from fleetlens.functions.common import fixed_text
-from fleetlens.operators import skew
+from fleetlens.operators import scan
+from fleetlens.session import map_arrow
 
 ALERT_COLUMNS = [
     "database_id", "severity", "anomaly_type", "title", "description", "sql_sample", "client_ip",
@@ -39,7 +45,7 @@ def _order(tie: str | None) -> list[str]:
 
 def rolling_zscore(
     df: DataFrame, metrics: Sequence[str] = tuple(ZSCORE_METRICS), frame: int = 360, min_rows: int = 30,
-    threshold: float = 3.0, tie: str | None = None, hot_rows: int | None = None,
+    threshold: float = 3.0, tie: str | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Samples whose |z| against the last `frame` samples, themselves included, exceeds `threshold`.
 
@@ -47,7 +53,7 @@ def rolling_zscore(
     """
     order = _order(tie)
     slim = df.select("database_id", *order, *[F.col(m).cast("double").alias(m) for m in metrics])
-    scored = skew.rolling_moments(slim, ["database_id"], order, frame, metrics, hot_rows)
+    scored = scan.rolling_moments(slim, ["database_id"], order, frame, metrics, pieces)
     long = scored.where(F.col("_seen") >= min_rows).select(
         "database_id", *order,
         F.inline(F.array(*[
@@ -79,35 +85,62 @@ def zscore_alerts(scored: DataFrame, threshold: float = 3.0, keep: Sequence[str]
 
 def rolling_iqr(
     df: DataFrame, metrics: Sequence[str] = tuple(ZSCORE_METRICS), frame: int = 360, min_rows: int = 30,
-    width: float = 3.0, tie: str | None = None, hot_rows: int | None = None,
+    width: float = 3.0, tie: str | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Samples outside the quartiles of the last `frame` samples by `width` quartile ranges."""
     order = _order(tie)
-    slim = df.select("database_id", *order, *[F.col(m).cast("double").alias(m) for m in metrics])
-    # The frame bounds the collected list at `frame` values.
-    measures = {f"_f_{m}": (lambda w, m=m: F.collect_list(m).over(w)) for m in metrics}
-    framed = skew.rolling(slim, ["database_id"], order, frame, measures, hot_rows)
-    long = framed.select(
-        "database_id", *order,
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(m).alias("metric"), F.col(m).alias("value"),
-                F.array_sort(F.col(f"_f_{m}")).alias("sorted"),
-            )
-            for m in metrics
-        ])),
-    ).where(F.size("sorted") >= min_rows)
-    n = F.size("sorted")
-    quart = long.withColumn("q1", F.get("sorted", F.floor(n / 4).cast("int"))).withColumn(
-        "q3", F.get("sorted", F.floor(n * 3 / 4).cast("int"))
-    ).withColumn("iqr", F.col("q3") - F.col("q1")).drop("sorted")
-    outside = (F.col("value") > F.col("q3") + width * F.col("iqr")) | (
-        F.col("value") < F.col("q1") - width * F.col("iqr")
-    )
-    return quart.where((F.col("iqr") >= 0.001) & outside).select(
-        "database_id", *order, "metric", "value",
-        ((F.col("value") - F.col("q3")) / F.col("iqr")).alias("iqr_score"),
-    )
+    slim = df.select("database_id", *order, *[F.nanvl(F.col(m).cast("double"), F.lit(None)).alias(m) for m in metrics])
+    rows, by = scan.with_tails(slim, ["database_id"], order, frame - 1, pieces)
+    sent = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    found = map_arrow(sent, _Quartiles(by, ["database_id", *order], list(metrics), frame, min_rows, width), T.StructType(
+        [slim.schema[c] for c in ("database_id", *order)] + [T.StructField("metric", T.StringType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("value", "q1", "q3")]))
+    return found.select("database_id", *order, "metric", "value", ((F.col("value") - F.col("q3")) / (F.col("q3") - F.col("q1"))).alias("iqr_score"))
+
+
+@dataclass(frozen=True)
+class _Quartiles:
+    """Values outside the quartiles of their frame, from rows in order; a row inserts one value into a sorted window and takes one out."""
+
+    by: list[str]
+    keep: list[str]
+    metrics: list[str]
+    frame: int
+    min_rows: int
+    width: float
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in self.by)))
+            halo = batch.column("_halo").to_pylist()
+            values = [batch.column(m).to_pylist() for m in self.metrics]
+            at, metric, value, low, high = [], [], [], [], []
+            for i, now in enumerate(keys):
+                if now != key:
+                    key, windows = now, [(deque(), []) for _ in self.metrics]
+                for name, column, (recent, ranked) in zip(self.metrics, values, windows):
+                    v = column[i]
+                    recent.append(v)
+                    if v is not None:
+                        insort(ranked, v)
+                    if len(recent) > self.frame:
+                        old = recent.popleft()
+                        if old is not None:
+                            del ranked[bisect_left(ranked, old)]
+                    n = len(ranked)
+                    if v is None or halo[i] or n < self.min_rows:
+                        continue
+                    q1, q3 = ranked[n // 4], ranked[3 * n // 4]
+                    if q3 - q1 >= 0.001 and (v > q3 + self.width * (q3 - q1) or v < q1 - self.width * (q3 - q1)):
+                        at.append(i)
+                        metric.append(name)
+                        value.append(v)
+                        low.append(q1)
+                        high.append(q3)
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in self.keep]
+            made = [pa.array(metric, pa.string()), *(pa.array(x, pa.float64()) for x in (value, low, high))]
+            yield pa.RecordBatch.from_arrays([*taken, *made], names=[*self.keep, "metric", "value", "q1", "q3"])
 
 
 def pool_exhaustion(df: DataFrame, share: float = 0.9) -> DataFrame:
@@ -133,9 +166,9 @@ def replication_lag(
     )
 
 
-def health_alerts(df: DataFrame, tie: str | None = None, hot_rows: int | None = None) -> DataFrame:
+def health_alerts(df: DataFrame, tie: str | None = None, pieces: int | None = None) -> DataFrame:
     """All detectors' alerts in one table."""
-    spikes = zscore_alerts(rolling_zscore(df, tie=tie, hot_rows=hot_rows))
+    spikes = zscore_alerts(rolling_zscore(df, tie=tie, pieces=pieces))
     return spikes.unionByName(pool_exhaustion(df)).unionByName(replication_lag(df))
 
 

@@ -1,77 +1,41 @@
-"""Exact order statistics per group, also for groups no single task could sort.
+"""Exact order statistics per group, whatever the groups' sizes.
 
-Where no group is hot, one ranking window does it. For hot groups values are counted per group and
-magnitude band first (combined in the map tasks). The bands that hold a wanted rank are known from
-those counts, so only their values are ranked, a few thousandths of the group at a time.
+Equal values are counted first, combined in the map tasks. A running total of the counts, in the order of
+the values and cut into pieces, gives each value the ranks it covers; the value at a wanted rank is the one that covers it.
+Infinities are values like others, NaN is the largest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.skew import row_limit
-
-BANDS_PER_OCTAVE = 256
-
-
-def _band(value: Column) -> Column:
-    """A monotone step function of the value: its sign and a fine logarithm of its size."""
-    size = F.floor(F.log2(F.abs(value)) * BANDS_PER_OCTAVE).cast("int")
-    return F.when(value > 0, size + 1_000_000).when(value < 0, -size - 1_000_000).otherwise(0)
+from fleetlens.operators import scan
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], pieces: int | None = None
 ) -> DataFrame:
     """One row per group with `n` and, for each name in `ranks`, the value at that 1-based rank.
 
     A rank is an expression over `n`, the size of the group. Ranks outside 1..n give NULL.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    if sizes.where(F.col("_c") > row_limit(df, hot_rows)).isEmpty():
-        return _by_ranking(rows, keys, ranks)
-    return _by_bands(rows, keys, ranks)
-
-
-def _by_ranking(rows: DataFrame, keys: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(group.orderBy("_v"))).withColumn("n", F.count(F.lit(1)).over(group))
-    picks = [F.max(F.when(F.col("_r") == rank, F.col("_v"))).alias(name) for name, rank in ranks.items()]
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-
-
-def _by_bands(rows: DataFrame, keys: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
-    banded = rows.withColumn("_band", _band(F.col("_v")))
-    running = Window.partitionBy(*keys).orderBy("_band")
-    bands = (
-        banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_upto", F.sum("_size").over(running))
-        .withColumn("n", F.sum("_size").over(Window.partitionBy(*keys)))
-        .select("*", *[r.alias(f"_r_{name}") for name, r in ranks.items()])
-    )
-    first = F.col("_upto") - F.col("_size")
-    wanted = [F.col(f"_r_{name}") for name in ranks]
-    needed = F.exists(F.array(*wanted), lambda r: (r > first) & (r <= F.col("_upto")))
-    # The first band stays in any case, for groups whose ranks all miss.
-    slim = bands.where(needed | (first == 0)).select(*keys, "_band", first.alias("_first"), "n", *wanted)
-    counted = banded.groupBy(*keys, "_band", "_v").agg(F.count(F.lit(1)).alias("_c")).join(slim, [*keys, "_band"])
-    inside = Window.partitionBy(*keys, "_band").orderBy("_v")
-    ranked = counted.withColumn("_last", F.col("_first") + F.sum("_c").over(inside))
-    at = F.col("_last") - F.col("_c")
-    picks = [
-        F.max(F.when((F.col(f"_r_{n}") > at) & (F.col(f"_r_{n}") <= F.col("_last")), F.col("_v"))).alias(n)
-        for n in ranks
-    ]
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = scan.running(counted, keys, ["_v"], {"_last": ("sum", "_c")}, pieces)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.select(*keys, "n", *[rank.alias(f"_r_{name}") for name, rank in ranks.items()])
+    placed = scan.attach(ranked, wanted, keys)
+    first = F.col("_last") - F.col("_c")
+    picks = [F.max(F.when((F.col(f"_r_{n}") > first) & (F.col(f"_r_{n}") <= F.col("_last")), F.col("_v"))).alias(n) for n in ranks]
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
 def exclusive_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = (50, 95, 99),
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Percentiles by the exclusive method (rank p(n+1)/100); NULL with fewer than two values."""
     def place(p: int) -> Column:
@@ -83,7 +47,7 @@ def exclusive_percentiles(
     ranks = {}
     for p in percents:
         ranks[f"lo_{p}"], ranks[f"hi_{p}"] = place(p), place(p) + 1
-    stats = order_statistics(df, keys, value, ranks, hot_rows)
+    stats = order_statistics(df, keys, value, ranks, pieces)
 
     def blend(p: int) -> Column:
         delta = (F.col("n") + 1) * p - place(p) * 100
@@ -95,7 +59,7 @@ def exclusive_percentiles(
 
 def inclusive_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = (50, 95, 99),
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Percentiles by linear interpolation over rank p(n-1)/100 + 1."""
     def low(p: int) -> Column:
@@ -105,7 +69,7 @@ def inclusive_percentiles(
     for p in percents:
         ranks[f"lo_{p}"] = low(p) + 1
         ranks[f"hi_{p}"] = F.least(F.col("n"), low(p) + 2)
-    stats = order_statistics(df, keys, value, ranks, hot_rows)
+    stats = order_statistics(df, keys, value, ranks, pieces)
 
     def blend(p: int) -> Column:
         part = ((F.col("n") - 1) * p - low(p) * 100) / F.lit(100)

@@ -44,9 +44,8 @@ def earlier(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def attach(rows: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(rows: DataFrame, summaries: DataFrame, by: Sequence[str]) -> DataFrame:
     """`rows` with the columns of their summary; null keys have theirs too."""
-    by = ["_piece", *keys]
     renamed = summaries.withColumnsRenamed({c: f"_of_{c}" for c in by})
     same = [F.col(f"_at.{c}").eqNullSafe(F.col(f"_of_{c}")) for c in by]
     return rows.alias("_at").join(renamed, same, "left").drop(*[f"_of_{c}" for c in by])
@@ -57,7 +56,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], p
     laid = lay_out(df, keys, order, pieces)
     sizes = laid.groupBy("_piece", *keys).agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_piece", *keys, F.coalesce(F.sum("_size").over(earlier(keys)), F.lit(0)).alias("_before"))
-    numbered = attach(laid.withColumn("_rn", F.row_number().over(local(keys, order))), before, keys)
+    numbered = attach(laid.withColumn("_rn", F.row_number().over(local(keys, order))), before, ["_piece", *keys])
     return numbered.withColumn("_pos", F.col("_rn") + F.col("_before")).drop("_rn", "_before", "_piece")
 
 
@@ -68,7 +67,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Co
     ends = laid.groupBy("_piece", *keys).agg(F.max_by("_v", spot).alias("_last"))
     carry = ends.select("_piece", *keys, F.last("_last", True).over(earlier(keys)).alias("_carry"))
     w = local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = attach(laid.withColumn("_in", F.last("_v", True).over(w)), carry, keys)
+    joined = attach(laid.withColumn("_in", F.last("_v", True).over(w)), carry, ["_piece", *keys])
     return joined.withColumn(out, F.coalesce("_in", "_carry")).drop("_v", "_in", "_carry", "_piece")
 
 
@@ -91,7 +90,7 @@ def running(
     ])
     w = local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = laid.select("*", *[F.coalesce(TOTALS[kind][0](c).over(w), F.lit(TOTALS[kind][2])).alias(f"_i_{name}") for name, (kind, c) in totals.items()])
-    joined = attach(inside, carry, keys)
+    joined = attach(inside, carry, ["_piece", *keys])
     made = {name: TOTALS[kind][1](F.col(f"_c_{name}"), F.col(f"_i_{name}")) for name, (kind, _) in totals.items()}
     return joined.withColumns(made).drop("_piece", *[f"{x}{name}" for name in totals for x in ("_c_", "_i_")])
 
@@ -109,7 +108,7 @@ def with_tails(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach:
     if reach < 1:
         return rows, ["_piece", *keys]
     back = Window.partitionBy("_piece", *keys).orderBy(*[F.desc(c) for c in order])
-    tails = attach(laid.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= reach), spans, keys)
+    tails = attach(laid.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= reach), spans, ["_piece", *keys])
     tails = tails.withColumn("_p", F.col("_start") + F.col("_size") - F.col("_back"))
     tails = tails.withColumn("_block", F.explode(F.array(F.expr(f"_p div {reach}"), F.expr(f"_p div {reach} + 1"))))
     starts = spans.where("_start > 0").select(

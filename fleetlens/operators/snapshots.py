@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import snapshot as S
 from fleetlens.functions.common import or_default
-from fleetlens.operators import skew
+from fleetlens.operators import scan
 
 SNAPSHOT_COLUMNS = [
     "database_id", "time", "active_connections", "max_connections", "cache_hit_ratio", "qps",
@@ -29,7 +29,7 @@ def union_samples(postgres: DataFrame, mysql: DataFrame) -> DataFrame:
 
 def counter_rate(
     df: DataFrame, counter: str = "total_xacts", out: str = "qps", tie: str | None = None,
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Per-second growth of a cumulative counter against the previous non-null sample.
 
@@ -40,7 +40,7 @@ def counter_rate(
         F.col(counter).isNotNull(),
         F.struct(F.unix_micros(F.col("time").cast("timestamp")).alias("t"), F.col(counter).alias("n")),
     )
-    df = skew.previous(df, ["database_id"], order, seen, "_prev", hot_rows)
+    df = scan.previous(df, ["database_id"], order, seen, "_prev", pieces)
     seconds = (F.unix_micros(F.col("time").cast("timestamp")) - F.col("_prev.t")) / 1e6
     rate = (F.col(counter) - F.col("_prev.n")) / seconds
     value = F.when(F.col(counter).isNotNull() & (seconds > 0), F.greatest(F.lit(0.0), rate))

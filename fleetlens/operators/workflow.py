@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens import constants as K
-from fleetlens.functions.common import bind, json_string
-from fleetlens.operators import skew
+from fleetlens.functions.common import json_string
+from fleetlens.operators import scan
 from fleetlens.operators.topn import newest_then_filter
-
-FOLD_ROWS = 100_000
-STARTS_TYPE = "struct<state:string,starts:array<struct<_chunk:int,_start:string>>>"
-MOVES_TYPE = "struct<state:string,moves:array<struct<i:int,source:string,target:string>>>"
-
+from fleetlens.session import map_arrow
 
 def next_state(state: Column, trigger: Column) -> Column:
     """Target of a trigger, NULL where it is not allowed."""
@@ -33,85 +31,108 @@ def valid_triggers(state: Column) -> Column:
     return out
 
 
-def _fold(events: Column, start: Column) -> Column:
-    """Final state and the legal moves of an ordered event array.
+#: Transitions by number: row = state, and a number for each trigger.
+CODES = {state: i for i, state in enumerate(K.STATES)}
 
-    No path through the workflow repeats a state, so a run of any length has at most eight moves.
-    """
-    first = F.struct(start.alias("state"), F.array().cast("array<struct<i:int,source:string,target:string>>").alias("moves"))
-
-    def step(acc: Column, e: Column) -> Column:
-        return bind(
-            next_state(acc["state"], e["trigger_name"]),
-            lambda target: F.when(target.isNull(), acc).otherwise(F.struct(
-                target.alias("state"),
-                F.concat(acc["moves"], F.array(F.struct(
-                    e["i"].alias("i"), acc["state"].alias("source"), target.alias("target"),
-                ))).alias("moves"),
-            )),
-        ).cast(MOVES_TYPE)
-
-    return F.aggregate(events, first.cast(MOVES_TYPE), step)
-
-
-def _entry_states(pieces: DataFrame, key: str, initial: str) -> DataFrame:
-    """(key, _chunk, _start): the state in which each piece of a hot key begins."""
-    exits = F.create_map(*[x for s in K.STATES for x in (F.lit(s), _fold(F.col("_e"), F.lit(s))["state"])])
-    chain = (
-        pieces.where("_hot").select(key, "_chunk", exits.alias("_exits")).groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_exits").alias("x")))).alias("_c"))
-    )
-    seed = F.struct(F.lit(initial).alias("state"), F.array().cast("array<struct<_chunk:int,_start:string>>").alias("starts"))
 
-    def chain_step(acc: Column, c: Column) -> Column:
-        begun = F.array(F.struct(c["_chunk"].alias("_chunk"), acc["state"].alias("_start")))
-        return F.struct(
-            F.map_from_entries(c["x"])[acc["state"]].alias("state"), F.concat(acc["starts"], begun).alias("starts")
-        ).cast(STARTS_TYPE)
+class _Events:
+    """Runs over events in order of (piece, key): a fold of the transitions from a start state, a row at a time."""
+
+    def __init__(self, key: str, initial: str):
+        self.key, self.initial = key, initial
+
+    def groups(self, batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+        return zip(*(batch.column(c).to_pylist() for c in ("_piece", self.key, *columns)))
+
+
+class _Exits(_Events):
+    """(piece, key, exits): the state a piece ends in for each state it may begin in."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, states = None, []
+        for batch in batches:
+            done = []
+            for piece, key, trigger in self.groups(batch, "trigger_name"):
+                if (piece, key) != now:
+                    if now is not None:
+                        done.append((now, states))
+                    now, states = (piece, key), list(K.STATES)
+                states = [K.TRANSITIONS.get((s, trigger), s) for s in states]
+            yield self.rows(batch, done)
+        if now is not None:
+            yield self.rows(batch, [(now, states)])
 
-    starts = F.aggregate("_c", seed.cast(STARTS_TYPE), chain_step, lambda acc: acc["starts"])
-    return chain.select(key, F.inline_outer(starts))
+    def rows(self, like: pa.RecordBatch, done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([p for (p, _), _ in done], pa.int32()), pa.array([k for (_, k), _ in done], like.column(self.key).type),
+            pa.array([s for _, s in done], pa.list_(pa.string()))], names=["_piece", self.key, "_exits"])
+
+
+class _Starts(_Events):
+    """(piece, key, start) from exits in order of (key, piece)."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, self.initial
+        for batch in batches:
+            starts = []
+            for _, key, exits in self.groups(batch, "_exits"):
+                if now != (key,):
+                    now, state = (key,), self.initial
+                starts.append(state)
+                state = exits[CODES[state]]
+            yield pa.RecordBatch.from_arrays([batch.column("_piece"), batch.column(self.key), pa.array(starts, pa.string())], names=["_piece", self.key, "_start"])
+
+
+class _Judged(_Events):
+    """Events with the state before and after each and whether it was legal, from the start state of their piece."""
+
+    def __init__(self, key: str, initial: str, names: list[str]):
+        super().__init__(key, initial)
+        self.names = names
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, self.initial
+        for batch in batches:
+            before, after, legal = [], [], []
+            for piece, key, trigger, start in self.groups(batch, "trigger_name", "_start"):
+                if (piece, key) != now:
+                    now, state = (piece, key), start or self.initial
+                target = K.TRANSITIONS.get((state, trigger))
+                before.append(state)
+                state = target or state
+                after.append(state)
+                legal.append(target is not None)
+            made = [pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array(legal, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in self.names] + made, names=[*self.names, "from_state", "to_state", "legal"])
 
 
 def judged_events(
-    events: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",), split_on: str | None = None,
-    keep: Sequence[str] = (), initial: str = "proposed", hot_rows: int | None = None,
+    events: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",), keep: Sequence[str] = (),
+    initial: str = "proposed", pieces: int | None = None,
 ) -> DataFrame:
-    """Every event with the state before and after it and whether it was legal.
+    """Every event with the state before and after it and whether it was legal. An illegal trigger leaves the state unchanged.
 
-    An illegal trigger leaves the state unchanged. A key with more than `hot_rows` events is folded
-    in ordered pieces: a piece maps each possible entry state to an exit state, the maps are chained
-    (at most 512 per key), then each piece runs from its true entry state.
+    Events are laid out in ordered pieces, so many events of one proposal span several. Such a piece is first
+    folded into a map from each state it may begin in to the one it ends in, a row a piece; the maps are chained
+    in order, and every piece then runs from its true state. Events stream; none are gathered.
     """
     names = [*order, *[k for k in keep if k not in order], "trigger_name"]
-
-    def gathered(rows: DataFrame, by: list[str]) -> DataFrame:
-        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_e"))
-        return listed.withColumn("_e", F.transform("_e", lambda e, i: F.struct(
-            i.alias("i"), *[e[c].alias(c) for c in names]
-        )))
-
-    parts = skew.chunked(events, [key], split_on or order[0], hot_rows or FOLD_ROWS)
-    if parts is None:
-        run = gathered(events, [key]).withColumn("_start", F.lit(initial))
-    else:
-        pieces = gathered(parts, [key, "_chunk", "_hot"])
-        run = pieces.join(_entry_states(pieces, key, initial), [key, "_chunk"], "left").withColumn(
-            "_start", F.coalesce("_start", F.lit(initial))
-        )
-    run = run.withColumn("_m", _fold(F.col("_e"), F.col("_start"))["moves"])
-
-    def judge(e: Column) -> Column:
-        before = F.filter("_m", lambda m: m["i"] < e["i"])
-        hit = F.filter("_m", lambda m: m["i"] == e["i"])
-        source = F.coalesce(F.get(before, F.size(before) - 1)["target"], F.col("_start"))
-        target = F.get(hit, F.lit(0))["target"]
-        return F.struct(
-            *[e[c].alias(c) for c in names], source.alias("from_state"),
-            F.coalesce(target, source).alias("to_state"), target.isNotNull().alias("legal"),
-        )
-
-    return run.select(key, F.inline_outer(F.transform("_e", judge)))
+    laid = scan.lay_out(events.select(key, *names), [key], names, pieces)
+    met = laid.groupBy("_piece", key).agg(F.count(F.lit(1)).alias("_n"))
+    cut = met.groupBy(key).agg(F.count(F.lit(1)).alias("_pieces")).where("_pieces > 1").select(F.col(key).alias("_cut"))
+    spanning = laid.join(cut, F.col(key).eqNullSafe(F.col("_cut")), "left_semi").select("_piece", key, *names)
+    kind = laid.schema[key]
+    piece = T.StructField("_piece", T.IntegerType())
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.repartition("_piece", key).sortWithinPartitions("_piece", key, *names)
+
+    exits = map_arrow(placed(spanning), _Exits(key, initial), T.StructType([piece, kind, T.StructField("_exits", T.ArrayType(T.StringType()))]))
+    starts = map_arrow(exits.repartition(key).sortWithinPartitions(key, "_piece"), _Starts(key, initial), T.StructType([piece, kind, T.StructField("_start", T.StringType())]))
+    run = placed(scan.attach(laid, starts, ["_piece", key]))
+    schema = T.StructType([kind, *[laid.schema[c] for c in names]] + [
+        T.StructField("from_state", T.StringType()), T.StructField("to_state", T.StringType()), T.StructField("legal", T.BooleanType())])
+    return map_arrow(run, _Judged(key, initial, [key, *names]), schema)
 
 
 def final_states(judged: DataFrame, key: str = "proposal_id", order: Sequence[str] = ("seq",)) -> DataFrame:

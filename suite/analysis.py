@@ -246,8 +246,7 @@ PLACE = ["seq", "l_partkey", "l_extendedprice"]
 
 
 def _judged(spark, sf):
-    events = view(spark, sf, "proposal_events").withColumn("spot", F.col("seq") * 1e12 + F.col("l_partkey"))
-    return workflow.judged_events(events, order=PLACE, split_on="spot", keep=["ts"])
+    return workflow.judged_events(view(spark, sf, "proposal_events"), order=PLACE, keep=["ts"])
 
 
 @query(FLOW + " SELECT proposal_id, seq, l_partkey, l_extendedprice, ts, trigger_name, from_state, to_state, legal FROM judged")

@@ -211,10 +211,10 @@ SELECT database_id, date_trunc('hour', time) AS hour, CAST(coalesce(sum(d), 0) A
 def deadlock_growth(spark, sf):
     """New deadlocks per hour from the cumulative counter."""
     from fleetlens.functions.common import bucket_start
-    from fleetlens.operators import skew
+    from fleetlens.operators import scan
 
     df = view(spark, sf, "health_metrics")
-    seen = skew.previous(df, ["database_id"], ["time", "event_id"], F.col("deadlocks"), "prev")
+    seen = scan.previous(df, ["database_id"], ["time", "event_id"], F.col("deadlocks"), "prev")
     grown = F.greatest(F.lit(0), F.col("deadlocks") - F.col("prev"))
     return seen.withColumn("d", F.when(F.col("prev").isNotNull(), grown)).groupBy(
         "database_id", bucket_start(F.col("time"), 3600).alias("hour")

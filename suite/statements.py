@@ -383,7 +383,7 @@ def query_batches(spark, sf):
     """Slow statements of a poll in numbered groups of 20."""
     slow = _slow(spark, sf).withColumn("poll", F.col("poll_time").cast("string")).withColumn("slowness", -F.col("mean_time_ms"))
     out = conversation.batch_rows(
-        slow, ["database_id", "poll"], [F.asc("slowness"), F.asc("queryid")], "slowness",
+        slow, ["database_id", "poll"], [F.asc("slowness"), F.asc("queryid")],
         lambda number: conversation.query_text(number, F.round("mean_time_ms", 9), sqltext.normalize_sql(F.col("query"))),
     )
     return out.withColumn("body", conversation.query_batch_text(F.col("rows"), F.col("body")))

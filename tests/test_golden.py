@@ -96,11 +96,11 @@ def test_security_counts(spark):
     assert got == {q: n for q, n in cases.items() if n}
 
 
-@pytest.mark.parametrize("hot", [10**6, 20])
-def test_exclusive_percentiles(spark, hot):
+@pytest.mark.parametrize("pieces", [None, 1, 40])
+def test_exclusive_percentiles(spark, pieces):
     groups = {"a": [float(i) for i in range(1, 11)], "b": [3.0] * 50, "c": [1.0], "d": [(i * 37 % 101) / 7 - 3 for i in range(333)]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
-    got = {r.k: r for r in quantiles.exclusive_percentiles(df, ["k"], "v", hot_rows=hot).collect()}
+    got = {r.k: r for r in quantiles.exclusive_percentiles(df, ["k"], "v", pieces=pieces).collect()}
     assert abs(got["a"].p99 - 10.89) < 1e-12 and got["c"].p50 is None and got["b"].p95 == 3.0
     for k in "abd":
         cuts = statistics.quantiles(groups[k], n=100)
@@ -108,6 +108,17 @@ def test_exclusive_percentiles(spark, hot):
             assert abs(got[k][f"p{p}"] - cuts[p - 1]) < 1e-9
 
 
+def test_order_statistics_of_equal_and_nearly_equal_values(spark):
+    """A third each: one value, its neighbours a few bits away, infinities."""
+    df = spark.range(300_000).select(F.lit(None).cast("string").alias("k"), F.expr(
+        "CASE id % 3 WHEN 0 THEN 1D WHEN 1 THEN 1D + (id % 1000) * 2.220446049250313E-16D ELSE IF(id % 2 = 0, double('-Infinity'), double('Infinity')) END").alias("v"))
+    values = sorted(r.v for r in df.collect())
+    ranks = {f"r{i}": F.lit(i) for i in (1, 50_000, 50_001, 120_000, 250_000, 250_001, 300_000, 300_001)}
+    got = quantiles.order_statistics(df, ["k"], "v", ranks, pieces=7).first()
+    assert got.n == 300_000 and got.r300001 is None
+    assert all(got[f"r{i}"] == values[i - 1] for i in (1, 50_000, 50_001, 120_000, 250_000, 250_001, 300_000))
+
+
 def test_fixed_text_equals_python_format(spark):
     values = [0.25, 0.35, 115.25, 115.35, 2.675, 0.5, 1.5, 2.5, 84.5, -1.25, 1234567.005, 0.05, 99.95, 0.0]
     for digits in (0, 1, 2):
