@@ -19,7 +19,8 @@ question over its buckets in a bounded table before they leave, `TOP` + 1 of eac
 inner product in double precision, ties to the smaller id. What leaves a task grows with its questions, not with pairs.
 
 Uniformly random directions have no near neighbours: there nearly half of the buckets have to be visited for the promised recall,
-whatever the index. On clustered vectors d is small and few are.
+whatever the index. On clustered vectors d is small and few are. Buckets are large, so that a visit is worth the vector it sends:
+comparing with a few thousand rows costs less than sending the question once more.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
 id; shorter vectors count as filled up with zeros; identical rows count once; rows of one id with different vectors are
@@ -39,11 +40,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.batches import map_arrow
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, spread
 
 TOP, RECALL, TABLES = 20, 0.97, 2
 #: Vectors that a bucket should hold, and rows of a matrix that a task holds.
-BUCKET_ROWS, BLOCK_ROWS = 512, 4096
+BUCKET_ROWS, BLOCK_ROWS = 4096, 8192
 #: Of the sample for the distance d: vectors, questions among them, quantile.
 SAMPLE, ASKED, FAR = 8192, 512, 0.9
 #: Slot width, as a multiple of the deviation of the projections.
@@ -317,7 +318,7 @@ def search(vectors: DataFrame, questions: DataFrame, vec: str = "vec_id", embedd
     index = fit(rows, top)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    found = cut_lineage(candidates(indexed(rows, index), visits(asked, index), index, top).dropDuplicates(["question", "first"]), "candidates")
+    found = cut_lineage(candidates(indexed(rows, index), visits(spread(asked), index), index, top).dropDuplicates(["question", "first"]), "candidates")
     # what the probes leave short is compared with all, so an answer is only short if the table is
     n, ids = rows.agg(F.count(F.lit(1)), F.sum(F.size("ids"))).first()
     full = found.groupBy("question").agg(F.sum(F.size("ids")).alias("ids")).where(F.col("ids") >= min(top + 1, ids))
