@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.session import map_arrow
@@ -77,6 +78,24 @@ def annotate(
     return map_arrow(source, run, schema)
 
 
+def aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with the columns that bear one of the `taken` names renamed, and the new name of every column."""
+    taken = {c.lower() for c in taken}
+    used, names = taken | {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        fresh = c
+        while fresh.lower() in taken or fresh != c and fresh.lower() in used:
+            fresh += "_"
+        used.add(fresh.lower())
+        names[c] = fresh
+    return df.withColumnsRenamed({c: n for c, n in names.items() if c != n}), names
+
+
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that `aside` was given, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),

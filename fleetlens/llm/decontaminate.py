@@ -10,7 +10,8 @@ block the pass is written to the shared folder in between. No document is shuffl
 
 Defined results: null or wordless texts have no words and no hits; a null item text has no window; an
 item with null id takes part in hits but not in the list of items; items with equal ids are one item;
-repeated documents are each answered; an empty benchmark hits nothing; an empty table stays empty.
+repeated documents are each answered; an empty benchmark hits nothing; an empty table stays empty; very long texts are
+searched whole. `find_hits` replaces columns named as its own; `drop_contaminated` gives all columns back as they came.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import annotate, utf8
+from fleetlens.llm.batches import annotate, aside, named_back, utf8
 from fleetlens.session import cut_lineage
 
 WIDTH = 10
@@ -58,6 +59,7 @@ class Matcher:
     suffix: np.ndarray
     windows: list[bytes]
     items: list[tuple[int, ...]]
+    least: int
 
     def find(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, end, window) of every occurrence."""
@@ -79,10 +81,6 @@ class Matcher:
             at += 1
         return found
 
-    @property
-    def least(self) -> int:
-        return min(map(len, self.windows))
-
 
 def build(items: list[tuple[str | None, bytes]], width: int = WIDTH) -> list[Matcher]:
     """Matchers, one for each class of window lengths, over (item id, text)."""
@@ -118,7 +116,7 @@ def _matcher(windows: list[bytes], holders: dict[bytes, set[str | None]], block:
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     return Matcher(
         block, size - 1, bytes(shift), np.array(keys, np.int64)[order], [windows[i] for i in order],
-        [tuple(i for i in holders[windows[k]] if i is not None) for k in order],
+        [tuple(i for i in holders[windows[k]] if i is not None) for k in order], least,
     )
 
 
@@ -204,7 +202,7 @@ def find_hits(
 
 def _pass(source: DataFrame, text: str, fields: list[T.StructField], shared, carried: bool) -> DataFrame:
     if carried:
-        source = source.withColumnsRenamed({"hit_ranges": "_ranges", "hit_items": "_items"})
+        source = source.drop("_ranges", "_items").withColumnsRenamed({"hit_ranges": "_ranges", "hit_items": "_items"})
 
     def make():
         matchers = shared.value
@@ -237,5 +235,6 @@ def digest(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Documents without any benchmark window, with the columns they came with."""
-    return find_hits(docs, benchmark, text, width=width).where(F.size("hit_ranges") == 0).select(*docs.columns)
+    """Documents without any benchmark window, with the columns they came with, whatever their names."""
+    moved, names = aside(docs, ["n_words", "hit_ranges", "hit_items", "_ranges", "_items"])
+    return named_back(find_hits(moved, benchmark, names[text], width=width).where(F.size("hit_ranges") == 0), names)

@@ -24,7 +24,8 @@ per member. Components come from alternating star contraction.
 
 Defined results: null, empty and blank texts have no shingles and link to nothing; a text with fewer
 words than a shingle has one shingle, the whole; rows with null ids take part, and a component without
-any id has a null one; repeated rows are copies of each other.
+any id has a null one; repeated rows are copies of each other; texts are read whole; `join` ignores other columns, `keep_one`
+gives all back as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,10 +43,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import annotate, long, map_arrow, utf8
-from fleetlens.session import cut_lineage, discard, scratch
+from fleetlens.llm.batches import annotate, aside, long, map_arrow, named_back, utf8
+from fleetlens.session import cut_lineage, discard
 
 WORDS, NUM, DEN = 5, 8, 10
+#: Names that `keep_one` uses beside the columns of the documents; theirs are set aside meanwhile.
+OWN = ["_n", "_f1", "_f2", "_doc", "_m", "_g1", "_g2", "_root", "_many", "_rows", "_row", "_kept"]
 BAND_RATIO = 1.4
 #: Chance that a shingle of one document is also in an unrelated one, for the cost of a scheme.
 SHARED = 0.1
@@ -211,7 +214,7 @@ def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
     return annotate(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text", fields, make, ["doc_id"])
 
 
-def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def buckets(rows: DataFrame, classes: DataFrame, paths: list[str]) -> DataFrame:
     """(bucket, rep, n, weight): the sets behind entries that several share, one bucket for each group of sets."""
     held = rows.where(F.size("entries") > 0).select("row", F.explode("entries").alias("entry"))
     shared = held.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("entry"))).where("k > 1").drop("k")
@@ -222,20 +225,20 @@ def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "k": F.count(F.lit(1)).over(whole), "weight": F.sum("n").over(whole),
         "same1": F.sum(F.shiftright(F.xxhash64("rep"), 16)).over(whole), "same2": F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 16)).over(whole),
     }).where("k > 1")
-    tagged = cut_lineage(tagged, "met")
+    tagged = cut_lineage(tagged, "met", paths)
     first = tagged.groupBy("k", "weight", "same1", "same2").agg(F.min("entry").alias("entry"))
     return tagged.join(first.select("entry"), "entry").select(F.col("entry").alias("bucket"), "rep", "n", "weight")
 
 
-def families(found: DataFrame) -> DataFrame:
+def families(found: DataFrame, paths: list[str]) -> DataFrame:
     """(kind, bucket, rep, weight): small families as one group of kind 0, the buckets of large ones as kind 1."""
     low = found.groupBy("bucket").agg(F.min("rep").alias("low"))
     edges = found.join(low, "bucket").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    roots = components(edges)
+    roots = components(edges, paths)
     placed = found.select("rep", "n").distinct().join(roots, F.col("rep") == F.col("node"), "left")
     placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("family"))
     sizes = placed.groupBy("family").agg(F.sum("n").alias("whole"))
-    placed = cut_lineage(placed.join(sizes, "family"), "families")
+    placed = cut_lineage(placed.join(sizes, "family"), "families", paths)
     small = F.col("whole") * 8 <= FAMILY_BYTES
     whole = placed.where(small).select(F.lit(0).alias("kind"), F.col("family").alias("bucket"), "rep", F.col("whole").alias("weight"))
     large = placed.where(~small).select("rep").join(found, "rep").select(F.lit(1).alias("kind"), "bucket", "rep", "weight")
@@ -337,17 +340,20 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b): the smallest node it is connected to.
 
     Alternating large and small stars: each round links neighbours to the smallest node in sight, and
     the number of rounds grows with the logarithm of the size, whatever the shape.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    now, before = cut_lineage(now, "edges"), None
+    spark, own = edges.sparkSession, []
+    now, before = cut_lineage(now, "edges", own), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
         if state == before:
+            if paths is not None:
+                paths += own
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.union(now.select("b", "a"))
@@ -356,23 +362,24 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a > b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(small.union(down.select("a", "m")).distinct(), "edges")
+        now = cut_lineage(small.union(down.select("a", "m")).distinct(), "edges", own)
+        discard(spark, own.pop(0))
 
 
 def place(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n, f1, f2 of every row, and if it has shingles the `root` of its component and the smallest doc_id in it."""
-    spark, path = docs.sparkSession, scratch(docs.sparkSession, "index")
-    index(docs, doc, text, words, num, den).write.parquet(path)
-    full = spark.read.parquet(path)
+    spark, entries, used = docs.sparkSession, [], []
+    full = cut_lineage(index(docs, doc, text, words, num, den), "index", entries)
     rows = cut_lineage(full.drop("entries"), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
     )
-    found = cut_lineage(buckets(full, classes), "buckets")
-    discard(spark, path)  # nothing that follows reads the entries
+    found = cut_lineage(buckets(full, classes, entries), "buckets", used)
+    discard(spark, *entries)  # nothing that follows reads the entries
     wanted = classes.join(found.select("rep").distinct(), "rep")
-    edges = links(families(found), read_sets(docs, doc, text, wanted, words), num, den)
+    edges = links(families(found, used), read_sets(docs, doc, text, wanted, words), num, den)
     roots = components(edges)
+    discard(spark, *used)
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = placed.select("f1", "f2", "n", "root").join(smallest, "root")
@@ -390,12 +397,17 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: in
     """One row of each component, in the columns of `docs`: the smallest by id (null ids last), text and place.
 
     Rows are told apart by id and set, so unlinked texts under one id, or without an id, do not touch each
-    other. Rows without shingles link to nothing and stay.
+    other. Rows without shingles link to nothing and stay. What stays is decided on ids and fingerprints; texts move
+    once, to meet the decision, and only rows that share the head's id and component move again.
     """
+    docs, names = aside(docs, OWN)
+    doc, text = names[doc], names[text]
     placed = place(docs, doc, text, words, num, den).where("root IS NOT NULL")
     # A component without any id has a null component_id, so only there null ids are heads.
-    heads = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_doc"), F.col("n").alias("_m"), F.col("f1").alias("_g1"), F.col("f2").alias("_g2"), F.col("root").alias("_root")).distinct()
+    heads = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        F.col("doc_id").alias("_doc"), F.col("n").alias("_m"), F.col("f1").alias("_g1"), F.col("f2").alias("_g2"), F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_rows"))
+    several = heads.groupBy("_root").agg((F.sum("_rows") > 1).alias("_many"))
+    heads = cut_lineage(heads.join(several, "_root"), "heads").drop("_rows")
 
     def make():
         def work(piece: pa.RecordBatch) -> list:
@@ -407,7 +419,8 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: in
 
     printed = annotate(docs, text, [long("_n"), long("_f1"), long("_f2")], make)
     same = printed[doc].eqNullSafe(heads["_doc"]) & (F.col("_n") == F.col("_m")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2"))
-    kept = printed.join(heads, same, "left").where("_n = 0 OR _root IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
-    group = ["_root", F.when(F.col("_n") == 0, F.col("_row")).alias("_alone")]
-    once = kept.groupBy(*group).agg(F.min_by(F.struct(*docs.columns), F.struct(text, "_row")).alias("_kept"))
-    return once.select("_kept.*")
+    found = printed.join(heads, same, "left").where("_n = 0 OR _root IS NOT NULL").select(*docs.columns, "_root", "_many")
+    found = cut_lineage(found, "kept").withColumn("_row", F.monotonically_increasing_id())
+    alone = found.where("_many IS NULL OR NOT _many").select(*docs.columns)
+    first = F.min_by(F.struct(*docs.columns), F.struct(text, "_row")).alias("_kept")
+    return named_back(alone.unionByName(found.where("_many").groupBy("_root").agg(first).select("_kept.*")), names)

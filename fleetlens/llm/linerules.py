@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.common import bind
+from fleetlens.llm.batches import aside, named_back
 
 WIDTH = 8
 KEPT_SHARE = 0.5
@@ -109,5 +110,6 @@ def judge(docs: DataFrame, text: str = "text", kept_share: float = KEPT_SHARE) -
 
 def clean(docs: DataFrame, text: str = "text", kept_share: float = KEPT_SHARE) -> DataFrame:
     """The kept documents with their cleaned text, in the columns they came with."""
-    kept = judge(docs.withColumn("_text", F.col(text)), "_text", kept_share).where("kept")
-    return kept.withColumn(text, F.col("cleaned")).select(*docs.columns)
+    moved, names = aside(docs, [*MEASURES, "_words", "_lines"])
+    kept = judge(moved, names[text], kept_share).where("kept")
+    return named_back(kept.withColumn(names[text], F.col("cleaned")), names)

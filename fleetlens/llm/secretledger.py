@@ -125,7 +125,7 @@ class Ledger:
     def of_paths(self, versions: DataFrame, text: str = "text") -> DataFrame:
         """`versions` with `spans`, the findings of their blobs; empty where nothing was found."""
         kept = [c for c in versions.columns if c not in ("blob", "spans")]
-        paths = versions.select(*kept, blob_of(F.col(text)).alias("blob"))
+        paths = versions.select(*kept, blob_of(versions[text]).alias("blob"))
         # Read from a table, both sides of the join are plain exchanges, and a blob that many paths share is split.
         joined = paths.join(cut_lineage(self.findings(), "findings"), "blob", "left")
         empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")

@@ -64,4 +64,4 @@ def test_statement(spark, name):
 
 def test_registered():
     found = entry.queries()
-    assert "pipeline" in found and all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 11))
+    assert "pipeline" in found and all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 14))

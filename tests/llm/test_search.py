@@ -53,7 +53,10 @@ def test_hits_match_brute_force(spark, docs_of, block_bytes):
 def test_clean_documents_stay_with_their_columns(spark, docs_of):
     docs = docs_of([(1, "a b c d"), (2, None), (3, "say hello big world now")]).withColumn("n_words", F.lit("mine"))
     bench = spark.createDataFrame([(9, "hello big world")], "item_id bigint, text string")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("hit_items", "hit_ranges", "_ranges")})
     kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert all((r.n_words, r.hit_items, r.hit_ranges, r._ranges) == ("mine", f"hit_items{r.doc_id}", f"hit_ranges{r.doc_id}", f"_ranges{r.doc_id}") for r in kept.collect())
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} == {1, 2}
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 3
     assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
@@ -150,6 +153,24 @@ def test_a_group_loses_its_other_members_only(docs_of):
     assert sorted(kept, key=str) == sorted(wanted, key=str)
 
 
+def test_clashing_columns_come_back(spark, docs_of):
+    docs = docs_of([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y z")])
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("_n", "_f1", "_F2", "_root", "_kept", "_n_")}
+    kept = jaccardjoin.keep_one(docs.withColumns(extra))
+    assert kept.columns == [*docs.columns, *extra]
+    assert sorted(tuple(r[c] for c in extra) for r in kept.collect()) == [tuple(f"{c}{i}" for c in extra) for i in (1, 3)]
+
+
+def test_large_families_are_verified_by_bucket(docs_of, monkeypatch):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(50)}" for _ in range(30)] for _ in range(6)]
+    rows = [(i, " ".join(b if rng.random() > 0.03 else "zz" for b in base[i % 6])) for i in range(90)]
+    want = sorted((i, c) for i, _, c in (tuple(r) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()))
+    monkeypatch.setattr(jaccardjoin, "FAMILY_BYTES", 400)
+    monkeypatch.setattr(jaccardjoin, "BUCKET_BYTES", 1000)
+    assert sorted((r.doc_id, r.component_id) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()) == want
+
+
 def test_stars_reach_the_smallest_node(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55)], "a bigint, b bigint")
     got = {r.node: r.root for r in jaccardjoin.components(edges).collect()}

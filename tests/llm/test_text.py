@@ -114,6 +114,9 @@ def test_line_rules(spark):
     cleaned = {r.doc_id: r.text for r in linerules.clean(docs).collect()}
     assert cleaned["good"] == RULED["good"] and "Home" not in cleaned["mixed"] and "cookie" not in cleaned["mixed"]
     assert linerules.judge(docs.limit(0)).count() == 0
+    named = docs.withColumns({"n_words": F.lit("mine"), "cleaned": F.lit("own"), "_lines": F.lit(1)})
+    assert linerules.clean(named).columns == named.columns
+    assert {(r.kept, r.n_words, r.cleaned, r._lines) for r in linerules.clean(named).collect()} == {(7, "mine", "own", 1)}
 
 
 def test_long_lines_may_mention_boilerplate_phrases(spark):
