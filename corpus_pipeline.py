@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, jaccardjoin, langid, secretledger, sentencepieces
+from fleetlens.llm.batches import aside, named_back
 from fleetlens.session import cut_lineage, scratch
 
 
@@ -34,11 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, names = aside(docs, ["spans", "blob"])
     ledger = secretledger.Ledger(spark, scratch(spark, "ledger"))
     ledger.update(docs)
     clean = secretledger.redact(ledger.of_paths(docs))
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
-    return clean.withColumn("n_chars", n_chars).select(*docs.columns)
+    return named_back(clean.withColumn("n_chars", n_chars), names)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
