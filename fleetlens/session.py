@@ -47,17 +47,37 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so a lost executor never replays its history."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Write `df` as Parquet; the shuffle files of the write go with its end, nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def cut_lineage(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back, so a lost executor never replays its history.
+
+    The folder is noted in `paths`, for a caller that can `discard` it after the last use.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    save(df, path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder whose readers have all been written out."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders whose readers have all been written out."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -88,10 +108,15 @@ def spread(df: DataFrame) -> DataFrame:
 HOME = str(Path(__file__).resolve().parents[1])
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`mapInArrow` with this package on the path of the Python workers."""
-    environment = df.sparkSession.sparkContext.environment
+def show_package(spark: SparkSession) -> None:
+    """Put this package on the path of the Python workers."""
+    environment = spark.sparkContext.environment
     path = environment.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in path:
         environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, path)])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` with this package on the path of the Python workers."""
+    show_package(df.sparkSession)
     return df.mapInArrow(run, schema)

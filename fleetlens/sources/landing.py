@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FORMATS = {"parquet", "orc", "json", "csv"}
+from fleetlens.session import input_bytes
 
+#: Input bytes meant for one landed file.
+FILE_BYTES = 64 << 20
 
-def read_landed(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", since: str | None = None,
-    until: str | None = None, **options: str,
-) -> DataFrame:
-    """Landed files under a declared schema. `since`/`until` prune `date=` folders."""
-    if fmt not in FORMATS:
-        raise ValueError(f"format must be one of {sorted(FORMATS)}")
-    df = spark.read.schema(schema).format(fmt).options(**options).load(path)
-    if since is not None and "date" in df.columns:
-        df = df.where(F.col("date") >= F.lit(since).cast("date"))
-    if until is not None and "date" in df.columns:
-        df = df.where(F.col("date") < F.lit(until).cast("date"))
-    return df
+
+def land(df: DataFrame, path: str, order: str, files: int | None = None) -> None:
+    """Write `df` once, as files that follow each other in `order`, behind those that are there.
+
+    A file stream reads files by the time they were last changed. So the files get rising times, which only
+    touches their entries in the file system.
+    """
+    spark = df.sparkSession
+    parts = files or max(1, input_bytes(df) // FILE_BYTES)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def held() -> dict[str, int]:
+        found = fs.listStatus(place) if fs.exists(place) else []
+        return {f.getPath().getName(): f.getModificationTime() for f in found if f.getPath().getName().startswith("part-")}
+
+    before = held()
+    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.mode("append").parquet(path)
+    last = max(before.values(), default=0)
+    for i, name in enumerate(sorted(held().keys() - before.keys())):
+        last = max(last + 1000, 1_000_000_000_000)
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), last, -1)
 
 
 def stream_landed(

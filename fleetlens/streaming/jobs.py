@@ -1,20 +1,19 @@
-"""Structured Streaming jobs: rollups, counter rate, rolling scores, alert routes, upserts, digest."""
+"""Structured Streaming jobs: ingest, rollups, alerts with their routes, snapshot upserts, digest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetlens.constants import ZSCORE_METRICS
 from fleetlens.operators import alerts as A
 from fleetlens.operators import detectors as D
+from fleetlens.operators import security
 from fleetlens.operators import statements as S
+from fleetlens.operators.snapshots import SNAPSHOT_COLUMNS, normalize_snapshots
 from fleetlens.sources import store
+from fleetlens.streaming import ordered
 
 LATE = "10 minutes"
 TICK = "10 seconds"
@@ -39,13 +38,25 @@ def deduplicated(df: DataFrame, keys: tuple[str, ...] = ("database_id", "time"),
 def rollup(df: DataFrame, window: str, late: str = LATE) -> DataFrame:
     """Streaming form of `rollups.hourly` and `rollups.daily`; sums and counts stay in state, one row per open
     window. Samples that carry `qps` also give its mean."""
+    return _windows(event_time(df).withWatermark("time", late), window)
+
+
+def rated_rollup(df: DataFrame, window: str, tie: str = "event_id", late: str = LATE) -> DataFrame:
+    """Counter rates, then windows over them, in one query: samples leave the first state in the order of time, and the watermark
+    that released them closes the windows."""
+    return _windows(ordered.counter_rate(df, tie=tie, keep=ROLLED, late=late), window)
+
+
+ROLLED = ("active_connections", "cache_hit_ratio", "p99_latency_ms", "replication_lag_seconds", "deadlocks")
+
+
+def _windows(df: DataFrame, window: str) -> DataFrame:
     means = {
         "avg_connections": "active_connections", "avg_cache_hit_ratio": "cache_hit_ratio", "avg_p99_latency_ms": "p99_latency_ms",
         "avg_replication_lag": "replication_lag_seconds", **({"avg_qps": "qps"} if "qps" in df.columns else {}),
     }
     return (
-        event_time(df).withWatermark("time", late)
-        .groupBy(F.window("time", window).alias("w"), "database_id")
+        df.groupBy(F.window("time", window).alias("w"), "database_id")
         .agg(
             *[F.avg(c).alias(n) for n, c in means.items()],
             F.max("p99_latency_ms").alias("max_p99_latency_ms"),
@@ -57,11 +68,11 @@ def rollup(df: DataFrame, window: str, late: str = LATE) -> DataFrame:
 
 
 def hourly_rollup(df: DataFrame, late: str = LATE) -> DataFrame:
-    return rollup(df, "1 hour", late).withColumnRenamed("start", "hour")
+    return rated_rollup(df, "1 hour", late=late).withColumnRenamed("start", "hour")
 
 
 def daily_rollup(df: DataFrame, late: str = LATE) -> DataFrame:
-    return rollup(df, "1 day", late).withColumnRenamed("start", "day")
+    return rated_rollup(df, "1 day", late=late).withColumnRenamed("start", "day")
 
 
 def append_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = False) -> StreamingQuery:
@@ -78,66 +89,43 @@ def latest_of(batches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return batches.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-# --- state per database ---------------------------------------------------------------------------
-# A micro-batch bounds what one database brings at a time; state is two numbers or `frame` values.
-
-
-def counter_rate(df: DataFrame, counter: str = "total_xacts", tie: str = "event_id") -> DataFrame:
-    """Streaming form of `snapshots.counter_rate`: the previous time and counter are the state."""
-    def rate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["time", tie], kind="stable")
-        micros = rows["time"].astype("datetime64[us, UTC]" if rows["time"].dt.tz else "datetime64[us]").astype("int64")
-        known = rows[counter].notna()
-        t, n = micros.where(known), rows[counter].where(known).astype("float64")
-        before_t, before_n = t.ffill().shift(), n.ffill().shift()
-        if state.exists:
-            last_t, last_n = state.get
-            before_t, before_n = before_t.fillna(last_t), before_n.fillna(last_n)
-        seconds = (t - before_t) / 1e6
-        value = ((n - before_n) / seconds).where(seconds > 0, 0.0).clip(lower=0.0).fillna(0.0)
-        if known.any():
-            state.update((int(t[known].iloc[-1]), int(n[known].iloc[-1])))
-        yield pd.DataFrame({
-            "database_id": key[0], tie: rows[tie].to_numpy(), "time": rows["time"].to_numpy(),
-            "qps": value.to_numpy(),
-        })
-
-    slim = event_time(df).select("database_id", tie, "time", F.col(counter).cast("bigint").alias(counter))
-    return slim.groupBy("database_id").applyInPandasWithState(
-        rate, f"database_id string, {tie} bigint, time timestamp, qps double",
-        "t bigint, n bigint", "append", GroupStateTimeout.NoTimeout,
-    ).withColumn("qps", F.round("qps", 2))
-
-
-def rolling_zscore(
-    df: DataFrame, metrics: tuple[str, ...] = tuple(ZSCORE_METRICS), frame: int = 360, min_rows: int = 30,
-    threshold: float = 3.0, tie: str = "event_id",
-) -> DataFrame:
-    """Streaming form of `detectors.rolling_zscore`: the last `frame - 1` samples are the state."""
-    metrics = list(metrics)
-
-    def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["time", tie], kind="stable").reset_index(drop=True)
-        past = pd.DataFrame([list(r) for r in state.get[0]] if state.exists else [], columns=metrics, dtype="float64")
-        values = pd.concat([past, rows[metrics]], ignore_index=True)
-        window = values.rolling(frame, min_periods=min_rows)
-        mean, dev = window.mean(), window.std()
-        z = ((values - mean).abs() / dev).where(dev >= 0.001).iloc[len(past):].reset_index(drop=True)
-        state.update((values.tail(frame - 1).to_numpy().tolist(),))
-        out = rows[["database_id", tie, "time"]].join(z.rename(columns={m: "z_" + m for m in metrics}))
-        for m in metrics:
-            hits = out["z_" + m] > threshold
-            if hits.any():
-                yield pd.DataFrame({
-                    "database_id": key[0], tie: out.loc[hits, tie].to_numpy(), "time": out.loc[hits, "time"].to_numpy(),
-                    "metric": m, "value": rows.loc[hits, m].to_numpy(), "zscore": out.loc[hits, "z_" + m].to_numpy(),
-                })
-
-    slim = event_time(df).select("database_id", tie, "time", *[F.col(m).cast("double").alias(m) for m in metrics])
-    return slim.groupBy("database_id").applyInPandasWithState(
-        score, f"database_id string, {tie} bigint, time timestamp, metric string, value double, zscore double",
-        "recent array<array<double>>", "append", GroupStateTimeout.NoTimeout,
+def snapshots(raw: DataFrame, tie: str = "event_id", late: str = LATE) -> DataFrame:
+    """Raw samples of both engines (`db_type`) in the unified form, with `qps` from their counters, in the order of time."""
+    keep = ["db_type", *[c for c in SNAPSHOT_COLUMNS if c in raw.columns and c not in ("database_id", "time", "qps")]]
+    rated = ordered.counter_rate(raw, tie=tie, keep=keep, late=late)
+    return normalize_snapshots(rated)
+
+
+#: A raw sample as a line of JSON; numbers may be text, as one of the engines sends them.
+SAMPLE = T.StructType([T.StructField(c, T.StringType()) for c in (
+    "event_id", "time", "database_id", "db_type", "total_xacts", "active_connections", "max_connections", "cache_hit_ratio", "lock_waits", "deadlocks",
+    "replication_lag_seconds")])
+WHOLE = ("event_id", "total_xacts", "active_connections", "max_connections", "lock_waits", "deadlocks")
+ENGINES = ("postgresql", "mysql")
+
+
+def read_samples(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Raw samples from JSON lines, with `fault`: why a line is none, or null. No line stops the others."""
+    read = lines.select(line, F.from_json(line, T.StructType([*SAMPLE.fields, T.StructField("_broken", T.StringType())]), {"columnNameOfCorruptRecord": "_broken"}).alias("s")).select(line, "s.*")
+    typed = {c: F.col(c).try_cast("bigint" if c in WHOLE else "double") for c in SAMPLE.names if c in WHOLE or c in ("cache_hit_ratio", "replication_lag_seconds")}
+    fault = (
+        F.when(F.col("_broken").isNotNull() | F.col(line).isNull(), "unreadable")
+        .when(F.coalesce("database_id", F.lit("")) == "", "no database")
+        .when(F.col("time").try_cast("timestamp").isNull(), "no time")
+        .when(~F.coalesce(F.col("db_type").isin(*ENGINES), F.lit(False)), "unknown engine")
     )
+    return read.withColumn("fault", fault).withColumns(typed).withColumn("time", F.col("time").try_cast("timestamp")).drop("_broken")
+
+
+def ingest(lines: DataFrame, path: str, quarantine: str, checkpoint: str, once: bool = False) -> list[StreamingQuery]:
+    """Land samples: normalised and rated ones in `path`, lines that are no sample in `quarantine` with the reason.
+
+    Broken lines never reach the keyed state, so a database that only sends rubbish, or half of its rows, holds up no other.
+    """
+    read = read_samples(lines)
+    good = snapshots(read.where(F.col("fault").isNull()))
+    bad = read.where(F.col("fault").isNotNull()).select("line", "database_id", "fault")
+    return [append_batches(good, path, f"{checkpoint}/good", once=once), append_batches(bad, quarantine, f"{checkpoint}/bad", once=once)]
 
 
 # --- sinks ----------------------------------------------------------------------------------------
@@ -156,13 +144,33 @@ def threshold_alerts(df: DataFrame) -> DataFrame:
     return D.pool_exhaustion(df).unionByName(D.replication_lag(df))
 
 
-def upsert_statements(stats: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Enrich slow statements and merge every micro-batch into the snapshot table.
+def sample_alerts(df: DataFrame, tie: str = "event_id", late: str = LATE) -> DataFrame:
+    """All alerts of health samples: thresholds, and spikes against each database's own past."""
+    spikes = D.zscore_alerts(ordered.rolling_zscore(df, tie=tie, late=late))
+    return threshold_alerts(event_time(df)).unionByName(spikes)
+
+
+def write_statements(batch: DataFrame, number: int, snapshots: str, alerts: str, stream: str) -> None:
+    """One pass over a batch of slow statements for both of its sinks: the snapshot table and the routed security events.
+
+    A batch that comes again leaves the snapshots alone and replaces its own alerts.
+    """
+    enriched = S.enrich(batch).persist()
+    try:
+        store.upsert_snapshots(S.snapshot_rows(enriched), snapshots, stream=stream, batch=number)
+        events = A.route(security.scan_statements(enriched))
+        events.write.mode("overwrite").partitionBy("route").parquet(f"{alerts}/batch={number}")
+    finally:
+        enriched.unpersist()
+
+
+def watch_statements(stats: DataFrame, snapshots: str, alerts: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Slow statements into the snapshot table and, from the same pass, security events into the alert routes.
 
     The checkpoint folder names the stream: another one counts its batches from 0 again.
     """
     def write(batch: DataFrame, number: int) -> None:
-        store.upsert_snapshots(S.snapshot_rows(S.enrich(batch)), path, stream=checkpoint, batch=number)
+        write_statements(batch, number, snapshots, alerts, checkpoint)
 
     return start(stats, checkpoint, "append", once).foreachBatch(write).start()
 
