@@ -88,6 +88,36 @@ def valid_review(comment: Column) -> Column:
     return F.length(F.coalesce(comment, F.lit(""))) >= 10
 
 
+# Parameter -> (default, least, most) of each kind of request.
+PARAMETERS = {
+    "metrics": {"hours": (24, 1, 720)},
+    "capacity": {"lookahead_days": (28, 7, 90)},
+    "alerts": {"limit": (50, 1, 200)},
+    "queries": {"limit": (20, 1, 100)},
+}
+
+
+def valid_requests(requests: DataFrame, kind: str = "kind") -> DataFrame:
+    """Requests (kind and parameter columns) with defaults filled in and the list of what is wrong with each.
+
+    A parameter that its kind does not know is ignored; a request of an unknown kind is an error.
+    """
+    names = sorted({name for ranges in PARAMETERS.values() for name in ranges} & set(requests.columns))
+    filled = requests
+    for name in names:
+        default = F.lit(None)
+        for k, ranges in PARAMETERS.items():
+            if name in ranges:
+                default = F.when(F.col(kind) == k, ranges[name][0]).otherwise(default)
+        filled = filled.withColumn(name, F.coalesce(name, default.cast(requests.schema[name].dataType)))
+    wrong = [F.when(~F.coalesce(F.col(kind).isin(*PARAMETERS), F.lit(False)), "unknown kind")]
+    for k, ranges in PARAMETERS.items():
+        for name, (_, least, most) in ranges.items():
+            if name in names:
+                wrong.append(F.when((F.col(kind) == k) & ~F.col(name).between(least, most), f"{name} must be {least} to {most}"))
+    return filled.withColumn("errors", F.array_compact(F.array(*wrong)))
+
+
 def breaches(value: Column, condition: Column, threshold: Column) -> Column:
     return (
         F.when(condition == "gt", value > threshold)

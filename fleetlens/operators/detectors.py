@@ -179,31 +179,39 @@ def post_deploy_regressions(
     """Mean of a metric in the window before and after each deployment; worse ones are candidates
     for rollback.
 
-    Samples shrink to one sum and count per (database, hour). Within the three hours that an edge of a
-    window cuts, edges are merged among the samples in time order and read the running sum there, so
-    neither a hot hour nor many deployments in one hour multiply rows.
+    Samples shrink to one sum and count per (database, hour). Only hours that hold an edge of a window are looked
+    at closer: they have a sum per minute, and within the edge's own minute edges are merged among the samples in
+    time order and read the running sum there. So neither a hot hour nor many deployments in one hour multiply rows.
     """
     span = F.make_interval(hours=F.lit(hours))
     start, stop = F.col("deployed_at") - span, F.col("deployed_at") + span
     trunc = lambda c: F.date_trunc("hour", c)
     key = ["proposal_id", "database_id", "deployed_at"]
     points = samples.select(
-        "database_id", trunc(F.col("time")).alias("_hour"), F.col("time").alias("_at"), F.lit(1).alias("_rank"),
+        "database_id", F.col("time").alias("_at"), F.lit(1).alias("_rank"),
         F.col(metric).cast("double").alias("_v"), F.when(F.col(metric).isNotNull(), 1).otherwise(0).cast("bigint").alias("_c"),
-    )
+    ).withColumns({"_minute": F.date_trunc("minute", "_at"), "_hour": trunc(F.col("_at"))})
     whole = points.groupBy("database_id", "_hour").agg(F.sum("_v").alias("_sum"), F.sum("_c").alias("_cnt"))
     # What lies before an edge: samples up to `start` and `deployed_at` exclusive, up to `stop` inclusive.
     edges = deployments.select(*key, F.explode(F.array(
         F.struct(start.alias("_at"), F.lit(0).alias("_rank"), F.lit("start").alias("_edge")),
         F.struct(F.col("deployed_at").alias("_at"), F.lit(0).alias("_rank"), F.lit("mid").alias("_edge")),
         F.struct(stop.alias("_at"), F.lit(2).alias("_rank"), F.lit("stop").alias("_edge")),
-    )).alias("_e")).select(*key, "_e.*").withColumn("_hour", trunc(F.col("_at")))
-    so_far = Window.partitionBy("database_id", "_hour").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    )).alias("_e")).select(*key, "_e.*").withColumns({"_minute": F.date_trunc("minute", "_at"), "_hour": trunc(F.col("_at"))})
+    # Of the edge's hour: its whole minutes as sums, and its own minute by a running sum.
+    near = points.join(edges.select("database_id", "_hour").distinct(), ["database_id", "_hour"], "left_semi")
+    minutes = near.groupBy("database_id", "_minute").agg(F.sum("_v").alias("_sum"), F.sum("_c").alias("_cnt"))
+    minute_before = F.col("_minute") - F.expr("INTERVAL 1 MINUTE")
+    early = edges.where(F.col("_hour") <= minute_before).select(
+        *key, "_edge", F.explode(F.sequence(F.col("_hour"), minute_before, F.expr("INTERVAL 1 MINUTE"))).alias("_minute")
+    ).join(minutes, ["database_id", "_minute"]).select(*key, "_edge", "_sum", "_cnt")
+    own = near.join(edges.select("database_id", "_minute").distinct(), ["database_id", "_minute"], "left_semi")
+    so_far = Window.partitionBy("database_id", "_minute").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
     read = (
-        points.unionByName(edges, allowMissingColumns=True)
+        own.unionByName(edges, allowMissingColumns=True)
         .withColumns({"_sum": F.coalesce(F.sum("_v").over(so_far), F.lit(0.0)), "_cnt": F.coalesce(F.sum("_c").over(so_far), F.lit(0))})
         .where(F.col("_edge").isNotNull()).select(*key, "_edge", "_sum", "_cnt")
-    )
+    ).unionByName(early)
     spans = deployments.select(*key, F.explode(F.array(
         F.struct(trunc(start).alias("_from"), trunc(F.col("deployed_at")).alias("_to"), F.lit("before").alias("_edge")),
         F.struct(trunc(F.col("deployed_at")).alias("_from"), trunc(stop).alias("_to"), F.lit("after").alias("_edge")),

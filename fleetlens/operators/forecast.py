@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import constants as K
+from fleetlens.operators import quantiles
 
 SERIES = ["database_id", "metric"]
-# Two-sided 95 % bound of a normal distribution.
-Z_95 = 1.959963984540054
+#: Percentiles of the residuals between which a seasonal forecast's band lies.
+BAND = (2.5, 97.5)
 MIN_POINTS = 3
 TOO_SHORT = "Collecting data — a forecast will appear within a few minutes."
 
@@ -63,41 +66,60 @@ def linear_forecast(series: DataFrame, as_of: str, days: int = 28) -> DataFrame:
     )
 
 
-def seasonal_forecast(series: DataFrame, as_of: str, days: int = 28) -> DataFrame:
-    """Trend plus the mean deviation of each hour of the week, with a 95 % band from what is left.
-
-    The weekly shape has at most 168 rows per series, so it joins the grid on the same key.
-    """
-    trend = trends(series, as_of)
-    slim = trend.select(*SERIES, "first_ds", "slope", "intercept")
+def _slot(time: Column) -> Column:
+    """Hour of the week."""
+    return (F.dayofweek(time) - 1) * 24 + F.hour(time)
 
-    def slot(time: Column) -> Column:
-        return (F.dayofweek(time) - 1) * 24 + F.hour(time)
 
-    rest = series.where(F.col("y").isNotNull()).join(slim, SERIES).select(
-        *SERIES, slot(F.col("ds")).alias("slot"),
+def _shape(series: DataFrame, trend: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What is left of the points after the trend, and its mean for each hour of the week: at most 168 rows a series."""
+    slim = trend.select(*keys, "first_ds", "slope", "intercept")
+    rest = series.where(F.col("y").isNotNull()).join(slim, keys).select(
+        *keys, _slot(F.col("ds")).alias("slot"),
         (F.col("y") - F.col("slope") * _seconds(F.col("ds"), F.col("first_ds")) - F.col("intercept")).alias("r"),
     )
-    # Sums per slot give the shape and, without a second pass over points, the spread around it.
-    shape = rest.groupBy(*SERIES, "slot").agg(
-        F.avg("r").alias("seasonal"), F.count(F.lit(1)).alias("c"), F.var_pop("r").alias("v")
-    )
-    spread = shape.groupBy(*SERIES).agg(
-        F.sqrt(F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c"))).alias("noise")
-    )
-    grid = _grid(trend, days).withColumn("slot", slot(F.col("ds")))
+    return rest, rest.groupBy(*keys, "slot").agg(F.avg("r").alias("seasonal"))
+
+
+def seasonal_forecast(series: DataFrame, as_of: str, days: int = 28) -> DataFrame:
+    """Trend plus the mean deviation of each hour of the week, between the 2.5 and 97.5 percentiles of what neither explains."""
+    trend = trends(series, as_of)
+    rest, shape = _shape(series, trend, SERIES)
+    left = rest.join(shape, [*SERIES, "slot"]).withColumn("rest", F.col("r") - F.col("seasonal"))
+    band = quantiles.inclusive_percentiles(left, SERIES, "rest", BAND).select(*SERIES, F.col(f"`p{BAND[0]}`").alias("low"), F.col(f"`p{BAND[1]}`").alias("high"))
+    grid = _grid(trend, days).withColumn("slot", _slot(F.col("ds")))
     t = _seconds(F.col("last_ds"), F.col("first_ds")) + F.col("_h") * 3600
     y = F.col("slope") * t + F.col("intercept") + F.coalesce("seasonal", F.lit(0.0))
-    return (
-        grid.join(shape.select(*SERIES, "slot", "seasonal"), [*SERIES, "slot"], "left")
-        .join(spread, SERIES)
-        .select(
-            *SERIES, "ds", y.alias("yhat"), (y - Z_95 * F.col("noise")).alias("yhat_lower"),
-            (y + Z_95 * F.col("noise")).alias("yhat_upper"), "current_value",
-        )
+    return grid.join(shape, [*SERIES, "slot"], "left").join(band, SERIES).select(
+        *SERIES, "ds", y.alias("yhat"), (y + F.col("low")).alias("yhat_lower"), (y + F.col("high")).alias("yhat_upper"), "current_value",
     )
 
 
+def backtest(series: DataFrame, cuts: Sequence[str], horizon_days: int = 7) -> DataFrame:
+    """Errors of the seasonal forecast by days ahead, from rolling origins: (database_id, metric, horizon, points, mae, rmse, naive_mae).
+
+    Each origin in `cuts` is fitted on what lies before it and judged on the `horizon_days` after it; `naive_mae` is the error of
+    staying at the last value. A point counts for every origin at or after it, so all origins are fitted in one
+    pass, by sums per (series, origin). Series too short at an origin are left out there.
+    """
+    keys = [*SERIES, "cut"]
+    origins = F.array(*[F.lit(c).cast("timestamp_ntz") for c in cuts])
+    known = series.where(F.col("y").isNotNull()).select(*SERIES, "ds", "y", F.explode(origins).alias("cut"))
+    past = known.where(F.col("ds") < F.col("cut"))
+    t = _seconds(F.col("ds"), F.col("cut"))
+    fit = past.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("points"), F.max_by("y", "ds").alias("last_y"), F.regr_slope("y", t).alias("slope"),
+        F.regr_intercept("y", t).alias("intercept")).where(F.col("points") >= MIN_POINTS).withColumn("first_ds", F.col("cut"))
+    _, shape = _shape(past, fit, keys)
+    ahead = known.where((F.col("ds") >= F.col("cut")) & (F.col("ds") < F.col("cut") + F.make_interval(days=F.lit(horizon_days))))
+    judged = ahead.withColumn("slot", _slot(F.col("ds"))).join(fit.drop("points", "first_ds"), keys).join(shape, [*keys, "slot"], "left")
+    error = F.col("y") - (F.col("slope") * t + F.col("intercept") + F.coalesce("seasonal", F.lit(0.0)))
+    horizon = F.floor(t / 86400).cast("int") + 1
+    return judged.groupBy(*SERIES, horizon.alias("horizon")).agg(
+        F.count(F.lit(1)).alias("points"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.avg(F.abs(F.col("y") - F.col("last_y"))).alias("naive_mae"))
+
+
 def _threshold_columns(df: DataFrame) -> DataFrame:
     """Thresholds as literals: four fixed entries need no join."""
     def pick(i: int, kind: str) -> Column:

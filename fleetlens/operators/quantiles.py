@@ -58,21 +58,23 @@ def exclusive_percentiles(
 
 
 def inclusive_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = (50, 95, 99),
+    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float] = (50, 95, 99),
     pieces: int | None = None,
 ) -> DataFrame:
-    """Percentiles by linear interpolation over rank p(n-1)/100 + 1."""
-    def low(p: int) -> Column:
-        return F.floor((F.col("n") - 1) * p / F.lit(100)).cast("bigint")
+    """Percentiles by linear interpolation over rank p(n-1)/100 + 1, as columns `p<percent>`."""
+    def place(p: float) -> Column:
+        return (F.col("n") - 1) * F.lit(p) / F.lit(100)
+
+    def low(p: float) -> Column:
+        return F.floor(place(p)).cast("bigint")
 
     ranks = {}
-    for p in percents:
-        ranks[f"lo_{p}"] = low(p) + 1
-        ranks[f"hi_{p}"] = F.least(F.col("n"), low(p) + 2)
+    for i, p in enumerate(percents):
+        ranks[f"lo_{i}"] = low(p) + 1
+        ranks[f"hi_{i}"] = F.least(F.col("n"), low(p) + 2)
     stats = order_statistics(df, keys, value, ranks, pieces)
 
-    def blend(p: int) -> Column:
-        part = ((F.col("n") - 1) * p - low(p) * 100) / F.lit(100)
-        return (F.col(f"lo_{p}") + (F.col(f"hi_{p}") - F.col(f"lo_{p}")) * part).alias(f"p{p}")
+    def blend(i: int, p: float) -> Column:
+        return (F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * (place(p) - low(p))).alias(f"p{p}")
 
-    return stats.select(*keys, "n", *[blend(p) for p in percents])
+    return stats.select(*keys, "n", *[blend(i, p) for i, p in enumerate(percents)])

@@ -1,18 +1,24 @@
 """Corpora of EXPLAIN documents: nodes, totals, findings, index candidates, summaries.
 
-A document is one row, and so is its tree: nodes are unfolded level by level inside the row, so the
-whole analysis is a single narrow pass without a shuffle, whatever the depth.
+A document is one row, and so is its tree: one Arrow pass reads each document and walks its nodes with a stack, so
+the whole analysis is a single narrow pass without a shuffle, linear in the text.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens import constants as K
-from fleetlens.functions.common import bind, fixed_text, whole_json
+from fleetlens.functions.common import fixed_text
+from fleetlens.session import map_arrow
 
-# Field of a plan document -> (column, type, default)
+# Field of a plan document -> (column, type, default).
 FIELDS = [
     ("Node Type", "node_type", "string", "Unknown"),
     ("Relation Name", "relation_name", "string", None),
@@ -34,72 +40,123 @@ FIELDS = [
     ("Filter", "filter_condition", "string", None),
     ("Rows Removed by Filter", "rows_removed_by_filter", "bigint", 0),
 ]
-ITEMS = "array<struct<path:array<int>,node:variant>>"
-FRAME_TYPE = f"struct<frontier:{ITEMS},done:{ITEMS}>"
-
-
-def _children(item: Column) -> Column:
-    """The child nodes of one (path, node) with their paths."""
-    plans = F.try_variant_get(item["node"], "$.Plans", "array<variant>")
-    return F.transform(
-        F.coalesce(plans, F.array().cast("array<variant>")),
-        lambda child, i: F.struct(F.concat(item["path"], F.array(i)).alias("path"), child.alias("node")),
-    )
-
-
-def _unfold(root: Column, levels: Column) -> Column:
-    """All (path, node) pairs from `root` on, `levels` deep."""
-    start = F.array(F.struct(F.array(F.lit(0)).alias("path"), root.alias("node"))).cast(ITEMS)
-
-    def step(acc: Column, _: Column) -> Column:
-        return bind(
-            F.flatten(F.transform(acc["frontier"], _children)),
-            lambda below: F.struct(below.alias("frontier"), F.concat(acc["done"], below).alias("done")),
-        ).cast(FRAME_TYPE)
-
-    first = F.struct(start.alias("frontier"), start.alias("done")).cast(FRAME_TYPE)
-    return F.aggregate(F.sequence(F.lit(1), levels), first, step, lambda a: a["done"])
-
-
-def _node(item: Column) -> Column:
-    values = []
-    for name, column, kind, default in FIELDS:
-        value = F.try_variant_get(item["node"], f"$['{name}']", kind)
-        values.append((F.coalesce(value, F.lit(default).cast(kind)) if default is not None else value).alias(column))
-    place = F.transform(item["path"], lambda p: p.cast("string"))
-    depth = F.size(item["path"]) - 1
-    parent = F.when(depth > 0, F.array_join(F.slice(place, F.lit(1), depth), "."))
-    return F.struct(
-        item["path"].alias("place"), F.array_join(place, ".").alias("path"), parent.alias("parent_path"),
-        depth.alias("depth"), *values,
-    )
-
-
-def parse_plans(df: DataFrame, doc: str = "plan_json") -> DataFrame:
+#: Fields that findings, index candidates and summaries read.
+FOR_FINDINGS = ("node_type", "relation_name", "total_cost", "plan_rows", "actual_rows")
+FOR_CANDIDATES = ("node_type", "relation_name", "actual_rows", "rows_removed_by_filter", "filter_condition")
+FOR_SUMMARIES = tuple(dict.fromkeys((*FOR_FINDINGS, *FOR_CANDIDATES, "shared_hit_blocks", "shared_read_blocks")))
+#: Text bytes of documents that a task works on at a time; one longer document is worked on alone.
+PIECE_BYTES = 4 << 20
+ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType()}
+
+
+def _text(v) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+
+def _double(v) -> float | None:
+    try:
+        return None if v is None or isinstance(v, (bool, dict, list)) else float(v)
+    except (ValueError, OverflowError):
+        return None
+
+
+def _whole(v) -> int | None:
+    try:
+        n = None if v is None or isinstance(v, (bool, dict, list)) else int(v)
+    except (ValueError, OverflowError):
+        return None
+    return n if n is None or -(1 << 63) <= n < 1 << 63 else None
+
+
+READ = {"string": _text, "double": _double, "bigint": _whole}
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+class _Walk:
+    """Nodes of each document in document order, each visited once with a stack of its own; a row is one document."""
+
+    def __init__(self, doc: str, kept: list[str], fields: list[tuple]):
+        self.doc, self.kept, self.fields = doc, kept, fields
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, size = 0, 0
+            texts = batch.column(self.doc).to_pylist()
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size > PIECE_BYTES and i > start:
+                    yield self.piece(batch.slice(start, i - start), texts[start:i])
+                    start, size = i, len(text or "")
+            yield self.piece(batch.slice(start), texts[start:])
+
+    def piece(self, batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+        ends, paths, parents, depths = [0], [], [], []
+        values = [[] for _ in self.fields]
+        planning, execution, broken = [], [], []
+        readers = [(name, READ[kind], default, column.append) for (name, _, kind, default), column in zip(self.fields, values)]
+        for text in texts:
+            try:
+                whole = json.loads(text, parse_constant=_no_number) if text is not None else None
+            except (ValueError, RecursionError):
+                text = None
+            broken.append(text is None)
+            if text is None:
+                planning.append(None)
+                execution.append(None)
+                ends.append(len(paths))
+                continue
+            if isinstance(whole, list):
+                whole = whole[0] if whole else None
+            top = whole if isinstance(whole, dict) else {}
+            times = [_double(top.get(name)) for name in ("Planning Time", "Execution Time")]
+            planning.append(times[0] or 0.0)
+            execution.append(times[1] or 0.0)
+            stack = [("0", None, 0, top.get("Plan"))]
+            while stack:
+                path, parent, depth, node = stack.pop()
+                if not isinstance(node, dict):
+                    node = {}
+                paths.append(path)
+                parents.append(parent)
+                depths.append(depth)
+                for name, read, default, add in readers:
+                    v = read(node.get(name))
+                    add(default if v is None else v)
+                below = node.get("Plans")
+                if isinstance(below, list):
+                    stack += [(f"{path}.{i}", path, depth + 1, below[i]) for i in range(len(below) - 1, -1, -1)]
+            ends.append(len(paths))
+        columns = {"path": pa.array(paths, pa.string()), "parent_path": pa.array(parents, pa.string()), "depth": pa.array(depths, pa.int32())}
+        columns |= {column: pa.array(v, ARROW[kind]) for (_, column, kind, _), v in zip(self.fields, values)}
+        nodes = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)), mask=pa.array(broken, pa.bool_()))
+        made = [nodes, pa.array(planning, pa.float64()), pa.array(execution, pa.float64()), pa.array(broken, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in self.kept), *made], names=[*self.kept, *MADE])
+
+
+MADE = ["nodes", "planning_time_ms", "execution_time_ms", "parse_error"]
+
+
+def parse_plans(df: DataFrame, doc: str = "plan_json", fields: Sequence[str] | None = None) -> DataFrame:
     """Add `nodes` (in document order), `planning_time_ms`, `execution_time_ms`, `parse_error`.
 
-    A document is an object or a list whose first element counts; it is parsed once. Broken JSON
-    gives no nodes and `parse_error`.
+    A document is an object or a list whose first element counts; it is parsed once and each of its nodes is visited once,
+    so the work grows with the document, however deep or wide it is. Only `fields` (columns of `FIELDS`, all by
+    default) are read. Broken JSON gives no nodes and `parse_error`.
     """
-    listed = F.try_variant_get("_all", "$[0]", "variant")
-    empty = F.parse_json(F.lit("{}"))
-    root = F.coalesce(F.try_variant_get("_doc", "$.Plan", "variant"), empty)
-    # No branch is deeper than the number of child lists in the document.
-    levels = F.greatest(F.lit(1), F.size(F.split(F.col(doc), '"Plans"')) - 1)
-
-    def time(name: str) -> Column:
-        return F.coalesce(F.try_variant_get("_doc", f"$['{name}']", "double"), F.lit(0.0))
-
-    return (
-        df.withColumn("_all", whole_json(F.col(doc)))
-        .withColumn("parse_error", F.col("_all").isNull())
-        .withColumn("_doc", F.when(F.trim(doc).startswith("["), listed).otherwise(F.col("_all")))
-        .withColumn("_raw", F.when(~F.col("parse_error"), _unfold(root, levels)))
-        .withColumn("nodes", F.array_sort(F.transform("_raw", _node)))
-        .withColumn("planning_time_ms", time("Planning Time"))
-        .withColumn("execution_time_ms", time("Execution Time"))
-        .drop("_all", "_doc", "_raw")
-    )
+    read = [f for f in FIELDS if fields is None or f[1] in fields]
+    kept = [c for c in df.columns if c not in MADE]
+    node = T.StructType([T.StructField("path", T.StringType()), T.StructField("parent_path", T.StringType()), T.StructField("depth", T.IntegerType())])
+    for _, column, kind, _ in read:
+        node.add(column, KINDS[kind])
+    schema = T.StructType([df.schema[c] for c in kept] + [
+        T.StructField("nodes", T.ArrayType(node)), T.StructField("planning_time_ms", T.DoubleType()), T.StructField("execution_time_ms", T.DoubleType()),
+        T.StructField("parse_error", T.BooleanType())])
+    return map_arrow(df.select(*kept), _Walk(doc, kept, read), schema)
 
 
 def estimate_error(n: Column) -> Column:
@@ -112,24 +169,24 @@ def is_seq_scan(n: Column) -> Column:
 
 
 def flatten_plans(parsed: DataFrame, key: str = "plan_id") -> DataFrame:
-    """One row per node with its derived metrics; `root_cost` is the cost of the node's whole plan."""
-    # The outer form keeps the optimizer from testing (and so building) the node array a second time.
-    flat = parsed.where(~F.col("parse_error")).select(
-        key, F.get("nodes", F.lit(0))["total_cost"].alias("root_cost"), F.explode_outer("nodes").alias("n")
-    ).where(F.col("n").isNotNull())
+    """One row per node with the metrics that the parsed fields allow; `root_cost` is the cost of the node's whole plan."""
+    costs = "total_cost" in {f.name for f in parsed.schema["nodes"].dataType.elementType.fields}
+    root = [F.get("nodes", F.lit(0))["total_cost"].alias("root_cost")] if costs else []
+    flat = parsed.where(~F.col("parse_error")).select(key, *root, F.explode("nodes").alias("n"))
     n = F.col("n")
-    error = estimate_error(n)
-    problem = (
-        is_seq_scan(n) | (error > 10) | (n["rows_removed_by_filter"] > 1000) | (n["shared_read_blocks"] > 1000)
-    )
+    have = {f.name for f in parsed.schema["nodes"].dataType.elementType.fields}
+    derived = {
+        "cost_score": (("total_cost", "loops"), lambda: n["total_cost"] * F.greatest(F.lit(1), n["loops"])),
+        "row_estimate_error": (("plan_rows", "actual_rows"), lambda: estimate_error(n)),
+        "is_seq_scan": (("node_type",), lambda: is_seq_scan(n)),
+        "is_problematic": (("node_type", "plan_rows", "actual_rows", "rows_removed_by_filter", "shared_read_blocks"), lambda: (
+            is_seq_scan(n) | (estimate_error(n) > 10) | (n["rows_removed_by_filter"] > 1000) | (n["shared_read_blocks"] > 1000))),
+    }
     return flat.select(
-        key, "root_cost",
+        key, *(["root_cost"] if "total_cost" in have else []),
         *[n[c].alias(c) for c in ("path", "parent_path", "depth")],
-        *[n[c].alias(c) for _, c, _, _ in FIELDS],
-        (n["total_cost"] * F.greatest(F.lit(1), n["loops"])).alias("cost_score"),
-        error.alias("row_estimate_error"),
-        is_seq_scan(n).alias("is_seq_scan"),
-        problem.alias("is_problematic"),
+        *[n[c].alias(c) for _, c, _, _ in FIELDS if c in have],
+        *[make().alias(name) for name, (needs, make) in derived.items() if have.issuperset(needs)],
     )
 
 

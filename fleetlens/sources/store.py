@@ -18,11 +18,10 @@ FILE_BYTES = 256 << 20
 
 
 def append(df: DataFrame, path: str, time: str = "time") -> None:
-    """Append rows under `date=` folders. One shuffle by date and database keeps files few; a hot
-    database is spread over salts so that no task writes it alone."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    out = df.withColumn("date", F.to_date(time)).withColumn("_salt", salt)
-    out.repartition("date", "database_id", "_salt").drop("_salt").write.mode("append").partitionBy("date").parquet(path)
+    """Append rows under `date=` folders. One shuffle by date and database keeps files few; it is rebalanced by
+    bytes, so a hot database is written by as many tasks as it fills and small ones share one."""
+    out = df.withColumn("date", F.to_date(time))
+    out.hint("rebalance", "date", "database_id").write.mode("append").partitionBy("date").parquet(path)
 
 
 def _folder(spark: SparkSession, path: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts, detectors
-from suite.health import AS_OF, rounded
+from suite.health import AS_OF, SKEWED, rounded, skewed
 from suite.views import RULES, table, view, with_views
 
 QUERIES: dict = {}
@@ -44,6 +44,12 @@ def zscore_spikes(spark, sf):
     return rounded(detectors.rolling_zscore(_health(spark, sf), tie="event_id"), "zscore")
 
 
+@query(SKEWED + "," + SCORED + " SELECT event_id, database_id, time, metric, value, round(zscore, 6) AS zscore FROM spikes")
+def skewed_zscore_spikes(spark, sf):
+    """Rolling scores where one database and one time stamp hold most rows."""
+    return rounded(detectors.rolling_zscore(skewed(spark, sf), tie="event_id"), "zscore", digits=6)
+
+
 @query(with_views("health_metrics", more="framed AS (" + " UNION ALL ".join(
     f"""SELECT event_id, database_id, time, '{m}' AS metric, CAST({m} AS DOUBLE) AS value,
   list_sort(list(CAST({m} AS DOUBLE)) {FRAME}) AS s FROM health_metrics""" for m in METRICS) + """),
@@ -267,6 +273,26 @@ def rule_validation(spark, sf):
     )
 
 
+@query("""WITH asked AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'metrics' WHEN 1 THEN 'capacity' WHEN 2 THEN 'alerts' WHEN 3 THEN 'queries' ELSE 'other' END AS kind,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 31) % 900 END AS hours, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 17) % 120 END AS days,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 13) % 250 END AS lim FROM events)
+SELECT event_id, CASE WHEN kind = 'metrics' THEN coalesce(hours, 24) ELSE hours END AS hours, CASE WHEN kind = 'capacity' THEN coalesce(days, 28) ELSE days END AS lookahead_days,
+  CASE kind WHEN 'alerts' THEN coalesce(lim, 50) WHEN 'queries' THEN coalesce(lim, 20) ELSE lim END AS "limit",
+  CASE WHEN kind = 'other' THEN 'unknown kind' WHEN kind = 'metrics' AND NOT coalesce(hours, 24) BETWEEN 1 AND 720 THEN 'hours must be 1 to 720'
+    WHEN kind = 'capacity' AND NOT coalesce(days, 28) BETWEEN 7 AND 90 THEN 'lookahead_days must be 7 to 90'
+    WHEN kind = 'alerts' AND NOT coalesce(lim, 50) BETWEEN 1 AND 200 THEN 'limit must be 1 to 200'
+    WHEN kind = 'queries' AND NOT coalesce(lim, 20) BETWEEN 1 AND 100 THEN 'limit must be 1 to 100' ELSE '' END AS errors FROM asked""")
+def request_validation(spark, sf):
+    """Requests with their defaults and what is out of range."""
+    i = F.col("event_id")
+    asked = table(spark, sf, "events").select(
+        "event_id", F.get(F.array(*map(F.lit, ["metrics", "capacity", "alerts", "queries", "other"])), (i % 5).cast("int")).alias("kind"),
+        *[F.when(i % 7 != 0, (i * k) % m).alias(c) for c, k, m in (("hours", 31, 900), ("lookahead_days", 17, 120), ("limit", 13, 250))],
+    )
+    out = alerts.valid_requests(asked)
+    return out.select("event_id", "hours", "lookahead_days", "limit", F.array_join("errors", "; ").alias("errors"))
+
+
 @query(with_views("databases", "health_metrics") + """ SELECT DISTINCT database_id FROM databases
 WHERE database_id NOT IN (SELECT database_id FROM health_metrics WHERE replication_lag_seconds > 30)""")
 def databases_without_alerts(spark, sf):

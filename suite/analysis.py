@@ -41,12 +41,12 @@ measured AS (SELECT *, total_cost * greatest(1, loops) AS cost_score, CASE WHEN
 PLANS = with_views("plan_docs", more=NODES).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _parsed(spark, sf):
+def _parsed(spark, sf, fields=None):
     """Documents as objects, as one-element lists and, some, broken."""
     i, j = F.col("plan_id"), F.col("plan_json")
     doc = F.when(i % 13 == 0, F.concat(F.lit("["), j, F.lit("]"))).when(
         i % 17 == 0, F.substring(j, F.lit(2), F.length(j))).otherwise(j)
-    return corpus.parse_plans(spread(view(spark, sf, "plan_docs")).select("plan_id", doc.alias("plan_json")))
+    return corpus.parse_plans(spread(view(spark, sf, "plan_docs")).select("plan_id", doc.alias("plan_json")), fields=fields)
 
 
 @query(PLANS + """ SELECT plan_id, path, parent_path, CAST(depth AS INTEGER) AS depth, node_type, relation_name, total_cost, plan_rows, actual_rows, loops,
@@ -76,7 +76,7 @@ FOUND = """found AS (SELECT *, unnest(list_filter([CASE WHEN is_seq_scan AND act
 
 @query(PLANS + f", {FOUND} SELECT plan_id, path, finding FROM found")
 def plan_findings(spark, sf):
-    return corpus.plan_findings(corpus.flatten_plans(_parsed(spark, sf))).select("plan_id", "path", "finding")
+    return corpus.plan_findings(corpus.flatten_plans(_parsed(spark, sf, corpus.FOR_FINDINGS))).select("plan_id", "path", "finding")
 
 
 WANTED = """wanted AS (SELECT plan_id, path, relation_name AS table_name, removed, list_slice(list_filter(
@@ -87,13 +87,13 @@ WANTED = """wanted AS (SELECT plan_id, path, relation_name AS table_name, remove
 
 @query(PLANS + f", {WANTED} SELECT plan_id, path, table_name, array_to_string(columns, ', ') AS columns, concat('Filter removes ', removed, ' rows') AS reason FROM wanted WHERE len(columns) > 0")
 def index_candidates(spark, sf):
-    out = corpus.index_candidates(corpus.flatten_plans(_parsed(spark, sf)))
+    out = corpus.index_candidates(corpus.flatten_plans(_parsed(spark, sf, corpus.FOR_CANDIDATES)))
     return out.withColumn("columns", F.array_join("columns", ", "))
 
 
 @query(PLANS + f", {WANTED} SELECT table_name, array_to_string(columns, ', ') AS columns, count(*) AS plans FROM wanted WHERE len(columns) > 0 GROUP BY 1, 2")
 def index_candidate_rollup(spark, sf):
-    return corpus.candidate_rollup(corpus.index_candidates(corpus.flatten_plans(_parsed(spark, sf))))
+    return corpus.candidate_rollup(corpus.index_candidates(corpus.flatten_plans(_parsed(spark, sf, corpus.FOR_CANDIDATES))))
 
 
 @query(PLANS + f""", {WANTED}, per AS (SELECT plan_id,
@@ -110,7 +110,7 @@ SELECT p.plan_id, concat('Execution time: ', printf('%.1f', CAST(j->>'$."Executi
   CASE WHEN wanted IS NOT NULL THEN concat(chr(10), chr(10), 'INDEX CANDIDATES:', chr(10), wanted) ELSE '' END) AS summary
 FROM per p JOIN good g ON g.plan_id = p.plan_id LEFT JOIN idx ON idx.plan_id = p.plan_id)""")
 def plan_summaries(spark, sf):
-    return corpus.plan_summaries(_parsed(spark, sf))
+    return corpus.plan_summaries(_parsed(spark, sf, corpus.FOR_SUMMARIES))
 
 
 # --- latency comparison ---------------------------------------------------------------------------
@@ -207,17 +207,35 @@ def capacity_share_breaches(spark, sf):
 
 @query(with_views("health_metrics", more=SERIES) + """,
 rest AS (SELECT s.database_id, s.metric, dayofweek(s.ds) * 24 + hour(s.ds) AS slot, s.y - f.slope * s.t - f.at_origin AS r FROM series s JOIN fit f USING (database_id, metric)),
-shape AS (SELECT database_id, metric, slot, avg(r) AS seasonal, count(*) AS c, var_pop(r) AS v FROM rest GROUP BY 1, 2, 3),
-spread AS (SELECT database_id, metric, sqrt(sum(v * c) / sum(c)) AS noise FROM shape GROUP BY 1, 2),
+shape AS (SELECT database_id, metric, slot, avg(r) AS seasonal FROM rest GROUP BY 1, 2, 3),
+spread AS (SELECT r.database_id, r.metric, quantile_cont(r.r - s.seasonal, 0.025) AS low, quantile_cont(r.r - s.seasonal, 0.975) AS high FROM rest r JOIN shape s USING (database_id, metric, slot) GROUP BY 1, 2),
 full_line AS (SELECT l.database_id, l.metric, l.ds, l.current_value, l.y + coalesce(s.seasonal, 0) AS y FROM line l LEFT JOIN shape s ON s.database_id = l.database_id AND s.metric = l.metric
   AND s.slot = dayofweek(l.ds) * 24 + hour(l.ds))
-SELECT database_id, metric, ds, round(y, 6) AS yhat, round(y - 1.959963984540054 * noise, 6) AS yhat_lower, round(y + 1.959963984540054 * noise, 6) AS yhat_upper,
+SELECT database_id, metric, ds, round(y, 6) AS yhat, round(y + low, 6) AS yhat_lower, round(y + high, 6) AS yhat_upper,
   round(current_value, 9) AS current_value FROM full_line JOIN spread USING (database_id, metric)""")
 def seasonal_forecast(spark, sf):
     out = forecast.seasonal_forecast(_series(spark, sf), AS_OF)
     return rounded(rounded(out, "current_value"), "yhat", "yhat_lower", "yhat_upper", digits=6)
 
 
+CUTS = ["2024-01-14 00:00:00", "2024-01-18 12:00:00", "2024-01-23 00:00:00"]
+
+
+@query(with_views("health_metrics", more=SERIES) + """,
+cuts AS (SELECT unnest([""" + ", ".join(f"TIMESTAMP '{c}'" for c in CUTS) + """]) AS cut),
+past AS (SELECT database_id, metric, cut, ds, y, (epoch_us(ds) - epoch_us(cut)) / 1e6 AS u FROM series, cuts WHERE ds < cut),
+lines AS (SELECT database_id, metric, cut, max_by(y, ds) AS last_y, regr_slope(y, u) AS slope, regr_intercept(y, u) AS base FROM past GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+shape AS (SELECT database_id, metric, cut, dayofweek(ds) * 24 + hour(ds) AS slot, avg(y - slope * u - base) AS seasonal FROM past JOIN lines USING (database_id, metric, cut) GROUP BY 1, 2, 3, 4),
+ahead AS (SELECT database_id, metric, cut, y, (epoch_us(ds) - epoch_us(cut)) / 1e6 AS u, dayofweek(ds) * 24 + hour(ds) AS slot FROM series, cuts WHERE ds >= cut AND ds < cut + INTERVAL 7 DAY),
+judged AS (SELECT a.*, last_y, y - (slope * u + base + coalesce(seasonal, 0)) AS e FROM ahead a JOIN lines USING (database_id, metric, cut)
+  LEFT JOIN shape USING (database_id, metric, cut, slot))
+SELECT database_id, metric, CAST(floor(u / 86400) + 1 AS INTEGER) AS horizon, count(*) AS points, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
+  round(avg(abs(y - last_y)), 6) AS naive_mae FROM judged GROUP BY 1, 2, 3""")
+def forecast_backtest(spark, sf):
+    """Errors of the seasonal forecast by days ahead, over three origins."""
+    return rounded(forecast.backtest(_series(spark, sf), CUTS), "mae", "rmse", "naive_mae", digits=6)
+
+
 @query("""WITH minutes AS (SELECT user_id, date_trunc('minute', ts) AS ds, avg(value) AS y FROM events GROUP BY 1, 2)
 SELECT concat('user-', user_id) AS database_id, 'value' AS metric, count(*) AS points, round(max_by(y, ds), 9) AS current_value,
   CASE WHEN count(*) < 40 THEN 'short' END AS error FROM minutes GROUP BY user_id""")

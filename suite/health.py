@@ -205,6 +205,25 @@ def daily_rollup(spark, sf):
     return rounded(rollups.daily(_rated(spark, sf)), "avg_connections", "avg_qps", "avg_cache_hit_ratio")
 
 
+# One database with 80 % of the samples, one time stamp with 20 % of them.
+SKEWED = with_views("health_metrics").replace("health_metrics AS (", "plain AS (") + """, health_metrics AS (SELECT * REPLACE (
+  CASE WHEN event_id % 5 < 4 THEN 'hot' ELSE database_id END AS database_id, CASE WHEN event_id % 5 = 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE time END AS time) FROM plain)"""
+
+
+def skewed(spark, sf):
+    i = F.col("event_id")
+    return view(spark, sf, "health_metrics").withColumns({
+        "database_id": F.when(i % 5 < 4, "hot").otherwise(F.col("database_id")),
+        "time": F.when(i % 5 == 1, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).otherwise(F.col("time"))})
+
+
+@query(SKEWED + "," + QPS + " SELECT event_id, database_id, time, qps FROM rated")
+def skewed_counter_rate(spark, sf):
+    """The same rates where one database and one time stamp hold most rows."""
+    rated = snapshots.counter_rate(skewed(spark, sf), tie="event_id")
+    return rated.select("event_id", "database_id", "time", "qps")
+
+
 @query(with_views("health_metrics", more="""deltas AS (SELECT database_id, time, greatest(0, deadlocks - lag(deadlocks) OVER
   (PARTITION BY database_id ORDER BY time, event_id)) AS d FROM health_metrics)""") + """
 SELECT database_id, date_trunc('hour', time) AS hour, CAST(coalesce(sum(d), 0) AS BIGINT) AS deadlock_delta FROM deltas GROUP BY 1, 2""")

@@ -283,7 +283,7 @@ scans AS (SELECT plan_id, contains(lower(concat_ws(chr(10), CASE WHEN scan > 500
 SELECT log_id, CAST(least(95, impact_score + CASE WHEN seq THEN 20 ELSE 0 END) AS INTEGER) AS impact_score FROM linted JOIN scans ON plan_id = log_id""")
 def lint_with_plans(spark, sf):
     """The statement's own plan adds a finding when it holds a reported sequential scan."""
-    plans = corpus.plan_summaries(corpus.parse_plans(spread(view(spark, sf, "plan_docs")))).select(
+    plans = corpus.plan_summaries(corpus.parse_plans(spread(view(spark, sf, "plan_docs")), fields=corpus.FOR_SUMMARIES)).select(
         F.col("plan_id").alias("log_id"), "has_seq_scan"
     )
     joined = _log(spark, sf).join(plans, "log_id", "left")

@@ -88,6 +88,20 @@ def test_plan_filter_columns(spark):
     assert column(spark, cases, lambda v: corpus.filter_columns(v, True)) == [["status"], [], ["a", "b"]]
 
 
+def test_deep_and_wide_plans(spark):
+    deep = "".join('{"Node Type":"N%d","Plans":[' % i for i in range(499)) + '{"Node Type":"N499"}' + "]}" * 499
+    wide = '{"Node Type":"Append","Plans":[' + ",".join('{"Node Type":"Seq Scan","Actual Rows":%d}' % i for i in range(10_000)) + "]}"
+    docs = [(1, '{"Plan":' + deep + "}"), (2, '[{"Plan":' + wide + "}]"), (3, "{"), (4, None), (5, "[]"), (6, '{"Plan":{"Plans":[7,{"Plan Rows":"12","Total Cost":"x"}]}}'), (7, '{"Plan":{}} {}')]
+    parsed = corpus.parse_plans(spark.createDataFrame(docs, "plan_id int, plan_json string"), fields=corpus.FOR_FINDINGS)
+    assert {r.plan_id for r in parsed.where("parse_error").collect()} == {3, 4, 7}
+    nodes = corpus.flatten_plans(parsed).collect()
+    got = {i: [r for r in nodes if r.plan_id == i] for i in (1, 2, 5, 6)}
+    assert [(r.depth, r.node_type) for r in got[1]] == [(i, f"N{i}") for i in range(500)] and got[1][2].path == "0.0.0" and got[1][2].parent_path == "0.0"
+    assert [(r.path, r.actual_rows) for r in got[2][1:]] == [(f"0.{i}", i) for i in range(10_000)]
+    assert [(r.path, r.node_type, r.plan_rows, r.total_cost) for r in got[5] + got[6]] == [
+        ("0", "Unknown", 0, 0.0), ("0", "Unknown", 0, 0.0), ("0.0", "Unknown", 0, 0.0), ("0.1", "Unknown", 12, 0.0)]
+
+
 def test_security_counts(spark):
     cases = {"GRANT ALL ON orders TO app": 2, "select pg_sleep(5)": 2, "select 1": 0, "SELECT * FROM users, x": 1,
              "select id from users": 0}
