@@ -27,7 +27,18 @@ CALL = 16 << 10
 
 PLAIN = re.compile("[\x21-\x7e\xa1-ɏ€‐-‧ \n]*").fullmatch
 RUNS = ("  ", " \n", "\n ", "\n\n")
+LETTERED = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ \n]*").fullmatch
 ODD_STOP = re.compile("(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-ɏ])[.,]").search
+#: UTF-8 bytes of letters and digits become "a", stops ".", the rest a blank; only for texts whose other characters are ASCII.
+KINDS = bytes(97 if c >= 128 or chr(c).isalnum() else 46 if c in b".," else 32 for c in range(256))
+
+
+def odd_stop(text: str) -> bool:
+    """Whether a stop stands behind anything but a letter or digit."""
+    if not LETTERED(text):
+        return ODD_STOP(text) is not None
+    kinds = text.encode().translate(KINDS)
+    return b" ." in kinds or b".." in kinds or kinds[:1] == b"."
 
 
 def cut(text: str) -> list[str] | None:
@@ -35,7 +46,7 @@ def cut(text: str) -> list[str] | None:
     if any(r in text for r in RUNS) or text[-1:] in (" ", "\n") or not PLAIN(text):
         return None
     marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-    if not ODD_STOP(text):
+    if not odd_stop(text):
         marked = marked.replace(".", "\0.").replace(",", "\0,")
     return marked.split("\0")
 

@@ -105,6 +105,32 @@ RULED = {
 }
 
 
+def test_numbers_are_no_letters():
+    classify = langid.classifier({"xx": [b"the and of with this that from have"], "yy": [b"der die und mit das ist nicht ein"]})
+    assert [classify(x)[0] for x in ("½ ²", "Ⅷ 12", "٣ _", "1a", "é")].count("und") == 3
+
+
+def test_sizes_equal_plain_sums():
+    """The winner is the language whose blocks, compressed one by one with every dictionary, take the fewest bytes."""
+    import zstandard
+
+    rng = __import__("random").Random(3)
+    model = {lang: [" ".join(rng.choices(words, k=400)).encode() for _ in range(2)] for lang, words in {
+        "xx": ["the", "and", "of", "with", "this"], "yy": ["der", "die", "und", "mit", "das"], "zz": ["le", "la", "et", "avec", "ce"]}.items()}
+    classify = langid.classifier(model)
+    for k in (3, 40, 4000):
+        text = " ".join(rng.choices(["the", "der", "le", "and", "und"], k=k))
+        sizes = {}
+        for lang, shards in model.items():
+            sizes[lang] = 0
+            for raw in shards:
+                z = zstandard.ZstdCompressor(
+                    dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    compression_params=zstandard.ZstdCompressionParameters(**langid.PARAMETERS))
+                sizes[lang] += sum(len(z.compress(langid.PAD + b + b" ")) for b in langid.blocks(langid.letters(text)))
+        assert classify(text)[0] == min(sorted(sizes), key=sizes.get)
+
+
 def test_line_rules(spark):
     rows = [(k, v) for k, v in RULED.items()] + [("good", RULED["good"])]
     docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("kept", F.lit(7))
