@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.batches import annotate, aside, long, map_arrow, named_back, utf8
+from fleetlens.llm.batches import annotate, aside, long, map_arrow, named_back, pieces, utf8
 from fleetlens.session import cut_lineage, discard
 
 WORDS, NUM, DEN = 5, 8, 10
@@ -174,7 +174,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """One row per document: row id, size and fingerprint of its set, and entries of the first copy a task sees."""
+    """One row per document: row id, hash of the text, size and fingerprint of its set, and entries of the first copy a task sees."""
     plans = docs.sparkSession.sparkContext.broadcast(schemes(num, den, max(docs.count(), 1)))
     fields = [long("row"), long("n"), long("f1"), long("f2"), T.StructField("entries", T.ArrayType(T.LongType()))]
 
@@ -211,7 +211,8 @@ def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
 
         return work
 
-    return annotate(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "text", fields, make, ["doc_id"])
+    source = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    return annotate(source, "text", fields, make, ["doc_id", "hash"])
 
 
 def buckets(rows: DataFrame, classes: DataFrame, paths: list[str]) -> DataFrame:
@@ -245,23 +246,46 @@ def families(found: DataFrame, paths: list[str]) -> DataFrame:
     return whole.unionByName(large)
 
 
-def read_sets(docs: DataFrame, doc: str, text: str, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, set) of the wanted classes (rep, doc_id, f1, f2, n), from the texts of their documents."""
-    ids = wanted.select("doc_id").distinct()
-    source = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    source = source.join(ids, source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+def sets_in_groups(docs: DataFrame, doc: str, text: str, places: DataFrame, words: int) -> DataFrame:
+    """(kind, bucket, i, j, rep, block, set): the set of each class in each of its places, read again from one document's text.
 
-    def make():
-        def work(piece: pa.RecordBatch) -> list:
-            sets = [shingles(x, words) for x in utf8(piece.column("text"))]
-            prints = [fingerprint(s) for s in sets]
-            return [[a for a, _ in prints], [b for _, b in prints], [len(s) for s in sets], [s.tobytes() for s in sets]]
+    `places` has one row per class: its document's id and text hash, its fingerprint and the places to go. Texts move once, to meet
+    their places; from there sets move once, to their groups. Of copies under one id, one is read.
+    """
+    source = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    met = source.join(places, source["id"].eqNullSafe(places["doc_id"]) & (source["hash"] == places["text_hash"]))
+    met = met.select("text", "rep", "f1", "f2", "n", "places")
+    names = ["kind", "bucket", "i", "j", "rep", "block", "set"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                out, held = [], 0
+                for raw, rep, f1, f2, n, where in zip(utf8(piece.column("text")), *(piece.column(c).to_pylist() for c in ("rep", "f1", "f2", "n", "places"))):
+                    if rep in seen:
+                        continue
+                    s = shingles(raw, words)
+                    if (*fingerprint(s), len(s)) != (f1, f2, n):
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(rep)
+                    content = s.tobytes()
+                    for p in where:
+                        out.append((p["kind"], p["bucket"], p["i"], p["j"], rep, p["block"], content))
+                        held += len(content)
+                        if held > BUCKET_BYTES:
+                            yield _columns(out, names, kinds)
+                            out, held = [], 0
+                yield _columns(out, names, kinds)
+
+    return map_arrow(met, run, "kind int, bucket bigint, i int, j int, rep bigint, block int, set binary")
 
-        return work
 
-    fields = [long("f1"), long("f2"), long("n"), T.StructField("set", T.BinaryType())]
-    found = annotate(source, "text", fields, make, [])
-    return wanted.select("rep", "f1", "f2", "n").join(found, ["f1", "f2", "n"]).select("rep", "set")
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -309,14 +333,16 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
     return [(rep, low[r]) for r, rep in zip(roots, reps) if rep != low[r]]
 
 
-def links(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def links(found: DataFrame, wanted: DataFrame, docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
     """(a, b): stars over what the links of each group connect."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("weight") * 8 / BUCKET_BYTES)).cast("int")
     dealt = found.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("kind", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block")
+    place = F.struct("kind", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    places = dealt.groupBy("rep").agg(F.collect_list(place).alias("places"))  # no more than the entries of a set, and their blocks
     keys = ["kind", "bucket", "i", "j"]
-    sent = dealt.join(sets, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    sets = sets_in_groups(docs, doc, text, wanted.join(places, "rep"), words)
+    sent = sets.repartition(*keys).sortWithinPartitions(*keys)
     names = [*keys, "rep", "block", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,15 +398,15 @@ def place(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
     full = cut_lineage(index(docs, doc, text, words, num, den), "index", entries)
     rows = cut_lineage(full.drop("entries"), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(
-        F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
+        F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id", "hash")).alias("first")
     )
     found = cut_lineage(buckets(full, classes, entries), "buckets", used)
     discard(spark, *entries)  # nothing that follows reads the entries
-    wanted = classes.join(found.select("rep").distinct(), "rep")
-    edges = links(families(found, used), read_sets(docs, doc, text, wanted, words), num, den)
+    wanted = classes.select("rep", "f1", "f2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("text_hash"))
+    edges = links(families(found, used), wanted, docs, doc, text, words, num, den)
     roots = components(edges)
     discard(spark, *used)
-    placed = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = classes.drop("first").join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = placed.select("f1", "f2", "n", "root").join(smallest, "root")
     return rows.select("doc_id", "n", "f1", "f2").join(known, ["f1", "f2", "n"], "left")
