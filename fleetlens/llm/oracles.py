@@ -58,7 +58,8 @@ measured AS (
     length(array_to_string(lines, '')) AS line_chars,
     CAST(length(array_to_string(list_filter(lines, lambda x:
       right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 1) IN ('.', '!', '?', '…', '"', '”', '»', ':', ')')
-      AND NOT regexp_matches(x, '(?i)javascript|cookie policy|cookie settings|terms of use|terms of service|privacy policy|all rights reserved|lorem ipsum|skip to content|sign in|log in|subscribe to our|share this|read more|click here|back to top')
+      AND NOT regexp_matches(x, '(?i)(^|[^\p{L}\p{N}_])lorem ipsum([^\p{L}\p{N}_]|$)')
+      AND NOT (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 15 AND regexp_matches(x, '(?i)(^|[^\p{L}\p{N}_])(javascript|cookie policy|cookie settings|terms of use|terms of service|privacy policy|all rights reserved|skip to content|sign in|log in|subscribe to our|share this|read more|click here|back to top)([^\p{L}\p{N}_]|$)'))
       AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 <= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
       AND len(regexp_extract_all(x, '!!')) * 3 <= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))), '')) AS BIGINT) AS kept_chars
   FROM words LEFT JOIN repeated USING (doc_id))

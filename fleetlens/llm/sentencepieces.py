@@ -2,17 +2,16 @@
 
 The model file is a protobuf message; it is parsed here field by field. From it the library's tokenizer
 is rebuilt: the normaliser with its character map, the metaspace marker, unigram scores or the merges
-that a BPE vocabulary implies, and byte fallback. Batches are encoded by the library, on as many threads as
-a task has cores.
+that a BPE vocabulary implies, and byte fallback. Batches are encoded by the library on `THREADS` threads, or
+as many as a task has cores if that is more.
 
 Pieces never hold a blank marker after another character, nor a line feed (`Model.cuts` proves that from the
 vocabulary). So a text may be cut before single blanks and around line feeds, equal chunks are encoded once, and
-each new chunk is checked against the sentencepiece library: where the two differ, sentencepiece's ids are
-taken and counted in `mismatches`. Texts with runs of blanks, or of a model that does not cut, are encoded and
-checked whole.
+each new chunk is checked against the sentencepiece library. The ids are the rebuilt model's; `mismatches` counts where
+sentencepiece has others. Texts with runs of blanks, or of a model that does not cut, are encoded and checked whole.
 
 Defined results: a null or empty text has no ids; repeated rows are each answered; ids decode to the text
-as the model normalises it (`round_trip`).
+as the model normalises it (`round_trip`); texts are read whole; columns named as the answers are replaced by them.
 """
 
 from __future__ import annotations
@@ -38,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters joined for one text of a batch of chunks.
 CALL = 8 << 10
+#: Threads of the library in a worker, at least.
+THREADS = 2
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -185,7 +186,6 @@ class Codec:
             right = struct.pack(f"<{len(ids)}I", *ids) if w[0] == MARK else struct.pack(f"<{len(ids) - 2}I", *ids[2:])
             if right != out[i]:
                 self.wrong.add(w)
-                out[i] = right
         self.unlike.update(w for w, back in zip(words, self._decode(self.bare, out)) if back != w.replace(MARK, " "))
         return out
 
@@ -195,7 +195,7 @@ class Codec:
         return (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool]]:
-        """For each text its ids as little-endian 32-bit integers, the mismatches put right, and whether it decodes to itself.
+        """For each text its ids as little-endian 32-bit integers, in how many places sentencepiece differs, and whether it decodes to itself.
 
         What a text decodes to is what its chunks decode to, one after another.
         """
@@ -204,14 +204,14 @@ class Codec:
         cells = [None if p is None else list(map(get, p)) for p in parts]
         self.known.fill()
         whole = [x for x, p in zip(texts, parts) if p is None]
-        mine = [e.ids for e in self.full.encode_batch_fast(whole, add_special_tokens=False)]
+        mine = [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(whole, add_special_tokens=False)]
         right = [struct.pack(f"<{len(ids)}I", *ids) for ids in self.truth.encode(whole, num_threads=1)]
-        encoded = iter(zip(whole, mine, right, self.decode(right)))
+        encoded = iter(zip(whole, mine, right, self.decode(mine)))
         out = []
         for c, p in zip(cells, parts):
             if c is None:
-                text, ids, ours, back = next(encoded)
-                out.append((ours, int(struct.pack(f"<{len(ids)}I", *ids) != ours), text == back))
+                text, ids, theirs, back = next(encoded)
+                out.append((ids, int(ids != theirs), text == back))
             else:
                 out.append((b"".join(c), sum(w in self.wrong for w in p) if self.wrong else 0, not self.unlike or self.unlike.isdisjoint(p)))
         return out
@@ -232,7 +232,7 @@ def codec_of(path: str, threads: int) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """`docs` with `n_tokens`, `ids_crc32`, `round_trip`, `mismatches` and, if asked, the `ids`, in one narrow pass."""
-    threads = int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
+    threads = max(THREADS, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
     added = [long("n_tokens"), long("ids_crc32"), boolean("round_trip"), long("mismatches")]
     added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
 
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """`tokens` with `text` decoded from a list of ids, in one narrow pass; a null list gives a null text."""
-    threads = int(tokens.sparkSession.conf.get("spark.task.cpus", "1"))
+    threads = max(THREADS, int(tokens.sparkSession.conf.get("spark.task.cpus", "1")))
     kept = [c for c in tokens.columns if c != "text"]
     schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField("text", T.StringType())])
 

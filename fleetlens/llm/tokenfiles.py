@@ -10,7 +10,8 @@ The place of a document in the whole stream is the sum of what the files before
 come from the length column alone, one row per file.
 
 Defined results: a null text is an empty one and has just the end id; documents with a null id come
-first; rows with equal ids are ordered by text, then as they come; an empty table gives no rows.
+first; rows with equal ids are ordered by text, then as they come; an empty table gives no rows; texts are read whole; other
+columns are ignored. The number of files follows the bytes of the table.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import types as T
 
 from fleetlens.llm.batches import map_arrow, pieces, strings
 from fleetlens.llm.chunks import Cells, cut, encode_chunks, library, specials
-from fleetlens.session import scratch
+from fleetlens.session import input_bytes, scratch
 
 END = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Text bytes meant for one file.
-FILE_BYTES = 64 << 20
+#: Text bytes meant for one file, and how many of them a byte of a compressed table holds.
+FILE_BYTES, UNPACKED = 32 << 20, 2
 
 
 @lru_cache(maxsize=1)
@@ -67,7 +68,7 @@ def write_tokens(
 ) -> None:
     """Encode `docs` and write the token files to `path`."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(spark.sparkContext.defaultParallelism, UNPACKED * input_bytes(docs) // FILE_BYTES)
     dealt = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     dealt = dealt.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")

@@ -3,7 +3,9 @@
 A writer's letters pass a channel that swaps them for look-alikes, sets blanks between them or repeats them.
 Every odd stretch of a text becomes a lattice of the letters each sign may stand for, and Viterbi's search
 takes the likeliest path under the channel's costs and a character trigram model. A stretch without odd
-signs has one path, so only words with look-alikes or long runs, and rows of single letters, are decoded.
+signs has one path, so only words with look-alikes, runs or unlikely doubled letters are decoded, and rows of three or more single
+signs, where each gap is either closed or a word's border. Long stretches are decoded in overlapping pieces.
+Words that are parted into longer fragments ("id iot") stay parted.
 
 The language model counts trigrams over all documents; the alphabet bounds its table. The label model is fitted on
 a bounded sample, about `SAMPLE` rows of each label: character n-grams of restored words, kept if they are
@@ -11,7 +13,7 @@ far likelier in toxic documents, and a logistic regression on their presence.
 
 Defined results: null and empty texts score as a text without any of the n-grams; rows with a null label
 teach nothing, several labels of one id all count; without labels every score is 0; repeated rows are
-each answered.
+each answered; texts are read whole. `score` replaces a column of its name; other columns stay as they came.
 """
 
 from __future__ import annotations
@@ -94,10 +96,20 @@ LOOKALIKES = {
 }
 #: Costs, in nats: a sign taken for a letter, a sign taken for itself (a border), a letter of a run dropped or kept twice.
 SWAP, BORDER, DROPPED, TWICE = 1.0, 3.0, 0.2, 1.5
+#: What stands for a gap between spaced-out letters, and the costs, in nats, of closing one up: a blank or mark, or more than one.
+GAP, CLOSED, CLOSED_WIDE = "\x1f", 0.1, 2.0
+#: A doubled letter less likely than this, as a log-probability, is in doubt.
+UNLIKELY = -6.0
+#: Characters of a long stretch that are decoded at a time, and how far the next piece reaches back.
+PIECE, OVERLAP = 60, 15
 
 ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + r"]|(.)\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
+#: A row of single signs, of which the lattice decides what belongs together.
+ROW = re.compile(r"(?<!\S)[^\s.,;:?\"'\-_/](?:[\s.\-_*/]{1,3}[^\s.,;:?\"'\-_/]){2,}(?!\S)")
+SEPARATORS = re.compile(r"[\s.\-_*/]+")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -105,7 +117,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     out: list[list[tuple[str, float]]] = []
     for sign, group in itertools.groupby(word):
         n = len(list(group))
-        if sign in CLASS or (sign.isalpha() and sign not in LOOKALIKES):
+        if sign == GAP:
+            out.append([(" ", 0.0), ("", CLOSED if n == 1 else CLOSED_WIDE)])
+        elif sign in CLASS or (sign.isalpha() and sign not in LOOKALIKES):
             out.append([(sign, 0.0)] if n == 1 else [(sign, 0.0 if n == 1 else DROPPED * (n - 1)), (sign * 2, 0.0 if n == 2 else TWICE)])
         else:
             choices = [(" ", BORDER)] + [(c, SWAP * n) for c in LOOKALIKES.get(sign, "")]
@@ -113,8 +127,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest text for a word: Viterbi over the lattice, the last two letters as state."""
+def best_path(word: str, model: np.ndarray) -> tuple[float, str]:
+    """Cost and text of the likeliest path: Viterbi over the lattice, the last two letters as state."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for choices in [*lattice(word), [(" ", 0.0)]]:
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -130,27 +144,52 @@ def decode(word: str, model: np.ndarray) -> str:
                 if (x, y) not in after or total < after[x, y][0]:
                     after[x, y] = (total, said + letters)
         states = after
-    return min(states.values())[1].strip()
+    return min(states.values())
+
+
+def decode(word: str, model: np.ndarray) -> str:
+    """The likeliest text for a stretch, decoded in overlapping pieces if it is long."""
+    starts = range(0, max(1, len(word) - OVERLAP), PIECE - OVERLAP) if len(word) > PIECE else [0]
+    return " ".join(best_path(word[i:i + PIECE], model)[1].strip() for i in starts)
+
+
+def doubtful(token: str, model: np.ndarray) -> bool:
+    """Whether some letter is doubled where the language model does not expect it."""
+    for m in DOUBLED.finditer(token):
+        k = CLASS.get(m[1])
+        before = CLASS.get(token[m.start() - 1], 0) if m.start() else 0
+        if k and model[before, k, k] < UNLIKELY:
+            return True
+    return False
 
 
 def restore(token: str, model: np.ndarray) -> list[str]:
     """The words of a lower-case token: as written, and as decoded where it looks odd."""
+    if GAP in token:
+        return [w for w in decode(token, model).split(" ") if w]
     found = WORD.findall(token)
-    if ODD.search(token) and len(token) <= 60 and WORD.search(token):
+    if not found:
+        return found
+    if ODD.search(token):
         # Marks around a word are borders; inside it, every sign is in doubt.
         for part in re.findall(r"[^\s.,;:?\"']+", token):
             core = part.rstrip("!|*#%&$+(@")
             for written in {part, core}:
-                if written and ODD.search(written):
+                if written and (ODD.search(written) or doubtful(written, model)):
                     found += decode(written, model).split(" ")
+    elif doubtful(token, model):
+        for word in list(found):
+            if doubtful(word, model):
+                found += decode(word, model).split(" ")
     return [w for w in found if w]
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case tokens of a whole text; rows of single letters are tokens as they are and closed up."""
+    """Lower-case tokens of a whole text; rows of single letters are tokens as they are, closed up, and with their gaps in doubt."""
     lowered = text.lower()
     closed = [re.sub(r"[ .\-_*]", "", m[0]) for m in SPACED.finditer(lowered)] if SPACED.search(lowered) else []
-    return lowered.split() + closed
+    rows = [SEPARATORS.sub(lambda g: GAP * min(len(g[0]), 2), m[0]) for m in ROW.finditer(lowered)]
+    return lowered.split() + closed + [r for r in rows if WORD.search(r)]
 
 
 def grams(word: str) -> set[str]:

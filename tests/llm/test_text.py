@@ -65,6 +65,38 @@ def test_restoring(english):
     assert "idiot" in toxicity.tokens("you i d i o t !")
 
 
+def test_spaced_and_doubled_letters(english):
+    def words(text):
+        return {w for t in toxicity.tokens(text) for w in toxicity.restore(t, english)}
+
+    for written in ("you m o r o n", "m  o  r  o  n", "m\no\nr\no\nn", "m.o.r.o.n", "m/o/r/o/n", "m 0 r 0 n", "l.o-s e r  m o r o n"):
+        assert "moron" in words(written), written
+    assert {"you", "idiot"} <= words("y o u  i d i o t")
+    assert "loser" in words("losserr") | words("llosser") and "moron" in words("mmorron")
+    assert words("he said a b") >= {"he", "said", "a", "b"}
+    long = "x1" * 200 + "1d1ot" + "x1" * 200
+    assert toxicity.restore(long, english) and "moron" in words("-".join(["what"] * 30) + "-m0ron")
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths(english):
+    import itertools
+
+    def cost(path, prices):
+        total, x, y = sum(prices), 0, 0
+        for c in "".join(path) + " ":
+            k = toxicity.CLASS.get(c, 0)
+            if not k and not y:
+                continue
+            total -= float(english[x, y, k])
+            x, y = y, k
+        return total
+
+    for word in ("1d1ot", "m0r0nn", "$tup1d", "l00oser", "a" + toxicity.GAP + "m" + toxicity.GAP * 2 + "o", "p@7h3t!c", "", "!!1", "ssé"):
+        choices = toxicity.lattice(word)
+        every = [cost([c for c, _ in p], [q for _, q in p]) for p in itertools.product(*choices)]
+        assert abs(min(every) - toxicity.best_path(word, english)[0]) < 1e-4, word
+
+
 def test_toxicity_edge_cases(spark, docs_of, english):
     docs = docs_of([(i, "you idiot") for i in range(40)] + [(i, "good day") for i in range(40, 80)] + [(80, None), (81, ""), (82, "an 1d1ot")])
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(80, None), (None, 1)], "doc_id bigint, toxic int")
@@ -145,6 +177,28 @@ def test_line_rules(spark):
     assert {(r.kept, r.n_words, r.cleaned, r._lines) for r in linerules.clean(named).collect()} == {(7, "mine", "own", 1)}
 
 
+def test_line_rules_equal_their_statement(spark, tmp_path):
+    """Also where texts hold the phrases, as words, inside words and in long lines."""
+    import duckdb
+
+    from fleetlens.llm.oracles import ORACLE
+    from tools.check_oracle import compare
+
+    rng = __import__("random").Random(8)
+    phrases = ["Sign in", "read more", "lorem ipsum", "LOREM IPSUM", "blog in", "catalog in", "javascript", "JavaScript!", "log_in", "élog in", "log iné", "all rights reserved", "##", "!!"]
+    lines = [" ".join(rng.choices(["word", "another", "thing", "$", *phrases], [6, 6, 6, 1, *[1] * len(phrases)], k=rng.randrange(1, 24))) + rng.choice([".", "", "?", ")", " ."]) for _ in range(400)]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(0, 12)))) for i in range(150)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = con.execute(ORACLE["op5_line_rules"])
+    names = [d[0] for d in cursor.description]
+    got = queries.op5_line_rules(spark, str(tmp_path)).select(*names)
+    assert got.where("kept_chars > 0").count() > 20
+    assert compare([tuple(r) for r in got.collect()], cursor.fetchall()) is None
+
+
 def test_long_lines_may_mention_boilerplate_phrases(spark):
     essay = " ".join(f"Part {i} says why we design in{i} steps, blog in spring{i}, read more, share this{i} and have a privacy policy at {i}." for i in range(60))
     told = " ".join(f"Part {i} tells how to sign in{i} or sign in, click here{i}, log in or use javascript{i} or javascript without its privacy policy {i}." for i in range(60))
