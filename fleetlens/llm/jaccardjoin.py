@@ -16,9 +16,9 @@ A larger set may link to one in a lower band, so it is indexed under each band t
 link to. Bands widen by 1.4, so that is one or two.
 
 Work. Copies are collapsed within tasks, then by fingerprint. Entries with one set go. Buckets of the
-same sets are collapsed to one, and buckets that share sets form a family. A family of up to
-`FAMILY_BYTES` of sets is verified as a whole, so each set is read again from its text and sent just
-once; a larger one is verified bucket by bucket, and a bucket over `BUCKET_BYTES` is split into blocks that
+same sets are collapsed to one, and buckets that share sets form a family. A family is verified as a whole where that moves
+fewer bytes than bucket by bucket, as with near copies, which share most of their entries; each set is read again from its
+text. A family or bucket over `BUCKET_BYTES` is split into blocks that
 meet in pairs. Only a star for each tree of links leaves a group, so a crowd of near copies yields one row
 per member. Components come from alternating star contraction.
 
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,6 @@ BAND_RATIO = 1.4
 SHARED = 0.1
 #: Set bytes that one task holds at a time when it verifies a bucket.
 BUCKET_BYTES = 16 << 20
-#: Set bytes of a family that is verified as a whole.
-FAMILY_BYTES = 4 << 20
 #: Fingerprints of sets a task remembers in order to index copies once.
 REMEMBERED = 200_000
 
@@ -231,19 +229,28 @@ def buckets(rows: DataFrame, classes: DataFrame, paths: list[str]) -> DataFrame:
     return tagged.join(first.select("entry"), "entry").select(F.col("entry").alias("bucket"), "rep", "n", "weight")
 
 
+def _blocks(weight: Column) -> Column:
+    """Blocks of `BUCKET_BYTES` that sets of so many shingles fill."""
+    return F.greatest(F.lit(1), F.ceil(weight * 8 / BUCKET_BYTES)).cast("int")
+
+
 def families(found: DataFrame, paths: list[str]) -> DataFrame:
-    """(kind, bucket, rep, weight): small families as one group of kind 0, the buckets of large ones as kind 1."""
+    """(kind, bucket, rep, weight): families that are compared as a whole (kind 0), and the buckets of the others (kind 1).
+
+    Either plan is exact; each family takes the one that moves fewer bytes. As a whole, every set goes to each block of the family
+    once; by bucket, to each of its buckets.
+    """
     low = found.groupBy("bucket").agg(F.min("rep").alias("low"))
     edges = found.join(low, "bucket").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     roots = components(edges, paths)
-    placed = found.select("rep", "n").distinct().join(roots, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("rep", "n", F.coalesce("root", "rep").alias("family"))
-    sizes = placed.groupBy("family").agg(F.sum("n").alias("whole"))
+    placed = found.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("buckets")).join(roots, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("rep", "n", "buckets", F.coalesce("root", "rep").alias("family"))
+    sizes = placed.groupBy("family").agg(F.sum("n").alias("whole"), F.sum(F.col("n") * F.col("buckets")).alias("apart"))
     placed = cut_lineage(placed.join(sizes, "family"), "families", paths)
-    small = F.col("whole") * 8 <= FAMILY_BYTES
-    whole = placed.where(small).select(F.lit(0).alias("kind"), F.col("family").alias("bucket"), "rep", F.col("whole").alias("weight"))
-    large = placed.where(~small).select("rep").join(found, "rep").select(F.lit(1).alias("kind"), "bucket", "rep", "weight")
-    return whole.unionByName(large)
+    together = F.col("whole") * _blocks(F.col("whole")) <= F.col("apart")
+    whole = placed.where(together).select(F.lit(0).alias("kind"), F.col("family").alias("bucket"), "rep", F.col("whole").alias("weight"))
+    parted = placed.where(~together).select("rep").join(found, "rep").select(F.lit(1).alias("kind"), "bucket", "rep", "weight")
+    return whole.unionByName(parted)
 
 
 def sets_in_groups(docs: DataFrame, doc: str, text: str, places: DataFrame, words: int) -> DataFrame:
@@ -335,8 +342,7 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
 
 def links(found: DataFrame, wanted: DataFrame, docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
     """(a, b): stars over what the links of each group connect."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("weight") * 8 / BUCKET_BYTES)).cast("int")
-    dealt = found.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = found.withColumn("parts", _blocks(F.col("weight"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     place = F.struct("kind", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     places = dealt.groupBy("rep").agg(F.collect_list(place).alias("places"))  # no more than the entries of a set, and their blocks

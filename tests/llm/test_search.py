@@ -166,9 +166,13 @@ def test_large_families_are_verified_by_bucket(docs_of, monkeypatch):
     base = [[f"w{rng.randrange(50)}" for _ in range(30)] for _ in range(6)]
     rows = [(i, " ".join(b if rng.random() > 0.03 else "zz" for b in base[i % 6])) for i in range(90)]
     want = sorted((i, c) for i, _, c in (tuple(r) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()))
-    monkeypatch.setattr(jaccardjoin, "FAMILY_BYTES", 400)
-    monkeypatch.setattr(jaccardjoin, "BUCKET_BYTES", 1000)
+    kinds = []
+    plan = jaccardjoin.families
+    monkeypatch.setattr(jaccardjoin, "families", lambda *a: kinds.append(plan(*a)) or kinds[-1])
+    monkeypatch.setattr(jaccardjoin, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(jaccardjoin, "discard", lambda *a: None)
     assert sorted((r.doc_id, r.component_id) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()) == want
+    assert 1 in {r.kind for r in kinds[0].select("kind").distinct().collect()}
 
 
 def test_stars_reach_the_smallest_node(spark):
