@@ -143,33 +143,50 @@ class _Quartiles:
             yield pa.RecordBatch.from_arrays([*taken, *made], names=[*self.keep, "metric", "value", "q1", "q3"])
 
 
-def pool_exhaustion(df: DataFrame, share: float = 0.9) -> DataFrame:
+def _pool(share: float) -> tuple[Column, list[Column]]:
+    """When a pool is nearly full, and the alert's severity, kind, title, description and value."""
     used = F.col("active_connections") / F.nullif(F.col("max_connections"), F.lit(0))
-    full = df.where((F.col("max_connections") > 0) & (used > share))
-    return alert_rows(
-        full, F.lit("critical"), F.lit("connection_pool_exhaustion"),
-        F.lit("Connection pool near exhaustion"),
-        F.concat(F.format_string("%d/%d connections used (", "active_connections", "max_connections"),
-                 fixed_text(used * 100, 1), F.lit("%)")),
+    return (F.col("max_connections") > 0) & (used > share), [
+        F.lit("critical"), F.lit("connection_pool_exhaustion"), F.lit("Connection pool near exhaustion"),
+        F.concat(F.format_string("%d/%d connections used (", "active_connections", "max_connections"), fixed_text(used * 100, 1), F.lit("%)")),
         used,
-    )
+    ]
+
+
+def _lag(high: float, critical: float) -> tuple[Column, list[Column]]:
+    lag = F.col("replication_lag_seconds").cast("double")
+    return lag > high, [
+        F.when(lag > critical, "critical").otherwise("high"), F.lit("replication_lag"),
+        F.concat(F.lit("Replication lag: "), fixed_text(lag, 0), F.lit("s")),
+        F.concat(F.lit("Replica is "), fixed_text(lag, 0), F.lit(" seconds behind primary")), lag,
+    ]
+
+
+def pool_exhaustion(df: DataFrame, share: float = 0.9) -> DataFrame:
+    full, (severity, kind, title, description, value) = _pool(share)
+    return alert_rows(df.where(full), severity, kind, title, description, value)
 
 
 def replication_lag(
     df: DataFrame, high: float = 30.0, critical: float = 300.0, keep: Sequence[str] = ()
 ) -> DataFrame:
-    lag = F.col("replication_lag_seconds").cast("double")
-    return alert_rows(
-        df.where(lag > high), F.when(lag > critical, "critical").otherwise("high"),
-        F.lit("replication_lag"), F.concat(F.lit("Replication lag: "), fixed_text(lag, 0), F.lit("s")),
-        F.concat(F.lit("Replica is "), fixed_text(lag, 0), F.lit(" seconds behind primary")), lag, keep=keep,
-    )
+    behind, (severity, kind, title, description, value) = _lag(high, critical)
+    return alert_rows(df.where(behind), severity, kind, title, description, value, keep=keep)
+
+
+def threshold_alerts(df: DataFrame) -> DataFrame:
+    """Pool and lag alerts from one pass over the samples."""
+    names = ["severity", "kind", "title", "description", "value"]
+    found = [(on, F.struct(*[c.cast("double" if n == "value" else "string").alias(n) for c, n in zip(parts, names)])) for on, parts in (_pool(0.9), _lag(30.0, 300.0))]
+    either = found[0][0] | found[1][0]
+    rows = df.where(either).select("database_id", "time", F.inline(F.array_compact(F.array(*[F.when(on, alert) for on, alert in found]))))
+    return alert_rows(rows, F.col("severity"), F.col("kind"), F.col("title"), F.col("description"), F.col("value"))
 
 
 def health_alerts(df: DataFrame, tie: str | None = None, pieces: int | None = None) -> DataFrame:
     """All detectors' alerts in one table."""
     spikes = zscore_alerts(rolling_zscore(df, tie=tie, pieces=pieces))
-    return spikes.unionByName(pool_exhaustion(df)).unionByName(replication_lag(df))
+    return spikes.unionByName(threshold_alerts(df))
 
 
 def post_deploy_regressions(

@@ -98,7 +98,10 @@ def connected(values: list[int], blocks: list[int], first: int, second: int, thr
     """(smallest, member) of each tree of near values; between blocks `first` and `second` if they differ."""
     v, of = np.array(values, np.int64).view(np.uint64), np.array(blocks)
     label = np.arange(len(v))
+    trees = len(v)
     for i in range(len(v)):
+        if trees == 1:
+            break  # nothing is left to connect
         if first != second and of[i] != first:
             continue
         near = np.bitwise_count(v ^ v[i]) < threshold
@@ -107,6 +110,7 @@ def connected(values: list[int], blocks: list[int], first: int, second: int, thr
         met = np.unique(np.append(label[near], label[i]))
         if len(met) > 1:
             label[np.isin(label, met)] = met[0]
+            trees -= len(met) - 1
     out = []
     for tree in np.unique(label):
         members = v[label == tree].view(np.int64)

@@ -139,15 +139,10 @@ def route_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = Fal
     return start(alerts, checkpoint, "append", once).foreachBatch(write).start()
 
 
-def threshold_alerts(df: DataFrame) -> DataFrame:
-    """Stateless detectors work on a stream as they do on a table."""
-    return D.pool_exhaustion(df).unionByName(D.replication_lag(df))
-
-
 def sample_alerts(df: DataFrame, tie: str = "event_id", late: str = LATE) -> DataFrame:
     """All alerts of health samples: thresholds, and spikes against each database's own past."""
     spikes = D.zscore_alerts(ordered.rolling_zscore(df, tie=tie, late=late))
-    return threshold_alerts(event_time(df)).unionByName(spikes)
+    return D.threshold_alerts(event_time(df)).unionByName(spikes)
 
 
 def write_statements(batch: DataFrame, number: int, snapshots: str, alerts: str, stream: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens import constants as K
-from fleetlens.operators import alerts
+from fleetlens.operators import alerts, detectors
 from fleetlens.session import input_bytes, scratch
 from fleetlens.sources import landing, store
 from fleetlens.streaming import jobs, ordered
@@ -120,7 +120,7 @@ def live_zscore_spikes(spark, sf):
 def live_alert_routes(spark, sf):
     """Alerts of each micro-batch in one folder per route."""
     out, state = scratch(spark, "routes"), scratch(spark, "routes-state")
-    raised = jobs.threshold_alerts(_samples(_landed(table(spark, sf, "events"), "ts")))
+    raised = detectors.threshold_alerts(_samples(_landed(table(spark, sf, "events"), "ts")))
     jobs.route_alerts(raised, out, state, once=True).awaitTermination()
     found = _read(spark, out, alerts.route(raised).schema)
     return found.select("database_id", "severity", "anomaly_type", "title", "metric_value", "detected_at", "route")

@@ -140,8 +140,16 @@ def similar_text_groups(spark, sf):
     return prints.join(named, "simhash").select("doc_id", "members")
 
 
-# The SQL for these groups takes minutes; tests check them against brute force.
-@query()
+SHAPES = NORMED + """, shapes AS (SELECT normalized_sql AS k, count(*) AS c FROM normed WHERE coalesce(sql_text, '') <> '' GROUP BY 1), """ + simhash("shapes", "k", "k") + """,
+seen AS (SELECT fp, sum(c) AS statements FROM prints JOIN shapes USING (k) GROUP BY fp),
+links AS (SELECT x.fp AS s, y.fp AS t FROM seen x JOIN seen y ON x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)) < 8),
+named(fp, label) USING KEY (fp) AS (SELECT fp, fp FROM seen UNION
+  SELECT l.s, min(n.label) FROM named n JOIN links l ON l.t = n.fp JOIN recurring.named r ON r.fp = l.s WHERE n.label < r.label GROUP BY l.s),
+sized AS (SELECT label, count(*) AS members FROM named GROUP BY 1)"""
+
+
+@query(with_views("query_log", more=SHAPES).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT {HEX} AS fingerprint, members, CAST(statements AS BIGINT) AS statements FROM seen JOIN named USING (fp) JOIN sized USING (label)""")
 def similar_statement_groups(spark, sf):
     """Statement shapes, how often each was seen, and how many near shapes its group holds."""
     seen = statements.enrich(_log(spark, sf), "sql_text").groupBy("simhash").agg(F.count(F.lit(1)).alias("statements"))
