@@ -50,12 +50,16 @@ PARAMETERS = dict(
 )
 #: What counts as a word character but is no letter: digits and numbers of every script.
 NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
+OTHERS = re.compile(rf"[{NUMBERS} ]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
     """What is compressed: lower case letters, and one blank for each run of anything else."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip(" ").encode()
+    found = NOT_LETTERS.sub(" ", text.lower())
+    if not found.isascii() and not found.replace(" ", "").isalpha():
+        found = OTHERS.sub(" ", found)
+    return found.strip(" ").encode()
 
 
 def blocks(raw: bytes, size: int = BLOCK) -> list[bytes]:
