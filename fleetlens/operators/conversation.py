@@ -36,6 +36,8 @@ def number_text(value: Column) -> Column:
 
 # The texts of a batch.
 QUERY_HEAD, QUERY_MEAN, QUERY_OPEN, QUERY_SHUT = "QUERY ", " (avg ", "ms):\n```sql\n", "\n```"
+BATCH_HEAD, BATCH_KIND = "Analyze these ", " slow {} queries as a batch.\n\n"
+BATCH_TAIL = "\n\nReturn a JSON array with one optimization object per query, same schema as single-query analysis."
 
 
 def query_text(number: Column, mean_ms: Column, normalized: Column) -> Column:
@@ -47,10 +49,7 @@ def query_text(number: Column, mean_ms: Column, normalized: Column) -> Column:
 
 def query_batch_text(n: Column, body: Column, db_type: str = "postgresql") -> Column:
     """Heading and closing line around a batch body."""
-    return F.concat(
-        F.lit("Analyze these "), n.cast("string"), F.lit(f" slow {db_type} queries as a batch.\n\n"), body,
-        F.lit("\n\nReturn a JSON array with one optimization object per query, same schema as single-query analysis."),
-    )
+    return F.concat(F.lit(BATCH_HEAD), n.cast("string"), F.lit(BATCH_KIND.format(db_type)), body, F.lit(BATCH_TAIL))
 
 
 def request_key(system: Column, prompt: Column) -> Column:

@@ -143,12 +143,17 @@ class _Quartiles:
             yield pa.RecordBatch.from_arrays([*taken, *made], names=[*self.keep, "metric", "value", "q1", "q3"])
 
 
+# Titles and descriptions of the alerts.
+POOL_TITLE, POOL_TEXT = "Connection pool near exhaustion", "%d/%d connections used ("
+LAG_TITLE, LAG_TEXT, LAG_END = "Replication lag: ", "Replica is ", " seconds behind primary"
+
+
 def _pool(share: float) -> tuple[Column, list[Column]]:
     """When a pool is nearly full, and the alert's severity, kind, title, description and value."""
     used = F.col("active_connections") / F.nullif(F.col("max_connections"), F.lit(0))
     return (F.col("max_connections") > 0) & (used > share), [
-        F.lit("critical"), F.lit("connection_pool_exhaustion"), F.lit("Connection pool near exhaustion"),
-        F.concat(F.format_string("%d/%d connections used (", "active_connections", "max_connections"), fixed_text(used * 100, 1), F.lit("%)")),
+        F.lit("critical"), F.lit("connection_pool_exhaustion"), F.lit(POOL_TITLE),
+        F.concat(F.format_string(POOL_TEXT, "active_connections", "max_connections"), fixed_text(used * 100, 1), F.lit("%)")),
         used,
     ]
 
@@ -157,8 +162,8 @@ def _lag(high: float, critical: float) -> tuple[Column, list[Column]]:
     lag = F.col("replication_lag_seconds").cast("double")
     return lag > high, [
         F.when(lag > critical, "critical").otherwise("high"), F.lit("replication_lag"),
-        F.concat(F.lit("Replication lag: "), fixed_text(lag, 0), F.lit("s")),
-        F.concat(F.lit("Replica is "), fixed_text(lag, 0), F.lit(" seconds behind primary")), lag,
+        F.concat(F.lit(LAG_TITLE), fixed_text(lag, 0), F.lit("s")),
+        F.concat(F.lit(LAG_TEXT), fixed_text(lag, 0), F.lit(LAG_END)), lag,
     ]
 
 

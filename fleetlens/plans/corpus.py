@@ -266,6 +266,7 @@ def plan_summaries(parsed: DataFrame, key: str = "plan_id", fixed: bool = False)
             lambda x: F.size(x["c"]) > 0,
         ).alias("wanted"),
     )
+    # The lines of a summary, here and below.
     name = lambda c: F.coalesce(c, F.lit("None"))
     scan_lines = F.transform(F.slice("scans", 1, 5), lambda n: F.format_string(
         "  - %s (actual_rows=%d, cost=%s, filter_removed=%d)",

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.sqltext import safe_select
 
+#: Calls take turns at the session's setting, so that none puts back what another has set.
+TURN = threading.Lock()
 #: Functions that reach into the JVM; no statement may name one.
 REACHING = re.compile(r"\b(reflect|try_reflect|java_method)\b", re.I)
 
@@ -22,9 +25,10 @@ def run_readonly(spark: SparkSession, sql: str, args: dict | None = None, limit:
     if REACHING.search(sql):
         raise ValueError("functions that reach into the JVM are not allowed")
     # Only registered tables may be read: a path in place of a name does not resolve.
-    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        return spark.sql(safe, args=args or {}).limit(limit)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
+    with TURN:
+        files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        try:
+            return spark.sql(safe, args=args or {}).limit(limit)
+        finally:
+            spark.conf.set("spark.sql.runSQLOnFiles", files)
