@@ -15,12 +15,12 @@ at the least cost: entries to shuffle plus pairs of strangers expected to meet.
 A larger set may link to one in a lower band, so it is indexed under each band that holds sizes it may
 link to. Bands widen by 1.4, so that is one or two.
 
-Work. Copies are collapsed within tasks, then by fingerprint. Entries with one set go. Buckets of the
-same sets are collapsed to one, and buckets that share sets form a family. A family is verified as a whole where that moves
-fewer bytes than bucket by bucket, as with near copies, which share most of their entries; each set is read again from its
-text. A family or bucket over `BUCKET_BYTES` is split into blocks that
-meet in pairs. Only a star for each tree of links leaves a group, so a crowd of near copies yields one row
-per member. Components come from alternating star contraction.
+Work. Copies are collapsed within tasks, then by fingerprint. Entries with one set go, and buckets of the same sets are
+collapsed to one. In a bucket the sets meet as sketches first: parity bitmaps of a bit a shingle, whose exclusive or has no more
+bits than the sets differ in. Strangers that share an entry by chance fail that bound; what passes it connects sets to
+families. No link leaves its family, so a family is verified as a whole: each set is read again from its text and sent once. A bucket or
+family over `BUCKET_BYTES` is split into blocks that meet in pairs. Only a star for each tree of links leaves a group, so a crowd of near copies yields
+one row per member. Components come from alternating star contraction.
 
 Defined results: null, empty and blank texts have no shingles and link to nothing; a text with fewer
 words than a shingle has one shingle, the whole; rows with null ids take part, and a component without
@@ -31,7 +31,7 @@ gives all back as they came, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -52,7 +52,7 @@ OWN = ["_n", "_f1", "_f2", "_doc", "_m", "_g1", "_g2", "_root", "_many", "_rows"
 BAND_RATIO = 1.4
 #: Chance that a shingle of one document is also in an unrelated one, for the cost of a scheme.
 SHARED = 0.1
-#: Set bytes that one task holds at a time when it verifies a bucket.
+#: Bytes of sets or sketches of a block; a task holds two at a time.
 BUCKET_BYTES = 16 << 20
 #: Fingerprints of sets a task remembers in order to index copies once.
 REMEMBERED = 200_000
@@ -171,10 +171,20 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s + K[i]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for i in (2, 3))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bitmap of a set, about a bit a shingle: bit i says whether an odd number of shingles fall on it.
+
+    The exclusive or of two sketches is the sketch of the sets' difference, so it has no more bits than they differ in.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    at = (mix(s + K[0]) >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """One row per document: row id, hash of the text, size and fingerprint of its set, and entries of the first copy a task sees."""
+    """One row per document: row id, hash of the text, size and fingerprint of its set, and sketch and entries of the first copy a task sees."""
     plans = docs.sparkSession.sparkContext.broadcast(schemes(num, den, max(docs.count(), 1)))
-    fields = [long("row"), long("n"), long("f1"), long("f2"), T.StructField("entries", T.ArrayType(T.LongType()))]
+    fields = [long("row"), long("n"), long("f1"), long("f2"), T.StructField("sketch", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))]
 
     def make():
         bands = plans.value
@@ -183,21 +193,22 @@ def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
 
         def work(piece: pa.RecordBatch) -> list:
             nonlocal row
-            rows, sizes, f1, f2, found = [], [], [], [], []
+            rows, sizes, f1, f2, sketches, found = [], [], [], [], [], []
             for raw in utf8(piece.column(text)):
                 s = shingles(raw, words)
                 a, b = fingerprint(s)
-                e = None
+                e = drawn = None
                 if (a, b) not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add((a, b))
-                    e = all_entries(s, bands, num, den).view(np.int64)
+                    e, drawn = all_entries(s, bands, num, den).view(np.int64), sketch(s)
                 rows.append(row)
                 row += 1
                 sizes.append(len(s))
                 f1.append(a)
                 f2.append(b)
+                sketches.append(drawn)
                 found.append(e if e is not None and len(e) else None)
             held = [x for x in found if x is not None]
             lengths = np.array([0 if x is None else len(x) for x in found])
@@ -205,7 +216,7 @@ def index(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
                 pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
                 pa.array(np.concatenate(held) if held else np.empty(0, np.int64)),
             )
-            return [rows, sizes, f1, f2, lists]
+            return [rows, sizes, f1, f2, sketches, lists]
 
         return work
 
@@ -229,32 +240,75 @@ def buckets(rows: DataFrame, classes: DataFrame, paths: list[str]) -> DataFrame:
     return tagged.join(first.select("entry"), "entry").select(F.col("entry").alias("bucket"), "rep", "n", "weight")
 
 
-def _blocks(weight: Column) -> Column:
-    """Blocks of `BUCKET_BYTES` that sets of so many shingles fill."""
-    return F.greatest(F.lit(1), F.ceil(weight * 8 / BUCKET_BYTES)).cast("int")
+def _dealt(found: DataFrame, size: Column) -> DataFrame:
+    """Each row of `found` (rep, bucket, weight ...) in the pairs of blocks (i, j) of its bucket that hold its own block; `size` is the bytes of a bucket."""
+    parts = F.greatest(F.lit(1), F.ceil(size / BUCKET_BYTES)).cast("int")
+    dealt = found.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("parts", "other")
+
+
+def _trees(sent: DataFrame, columns: list[str], solve: Callable) -> DataFrame:
+    """(a, b) of each group (bucket, i, j): what `solve(rows, i, j)` gives for its rows, which come next to each other."""
+    keys = ["bucket", "i", "j"]
+    rows = sent.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            out = []
+            for bucket, i, j, *row in zip(*(batch.column(c).to_pylist() for c in (*keys, *columns))):
+                if (bucket, i, j) != key:
+                    if len(group) > 1:
+                        out += solve(group, key[1], key[2])
+                    key, group = (bucket, i, j), []
+                group.append(row)
+            yield _pairs(out)
+        if len(group) > 1:
+            yield _pairs(solve(group, key[1], key[2]))
 
+    return map_arrow(rows, run, "a bigint, b bigint").distinct()
 
-def families(found: DataFrame, paths: list[str]) -> DataFrame:
-    """(kind, bucket, rep, weight): families that are compared as a whole (kind 0), and the buckets of the others (kind 1).
 
-    Either plan is exact; each family takes the one that moves fewer bytes. As a whole, every set goes to each block of the family
-    once; by bucket, to each of its buckets.
+def alike(rows: list[tuple[int, int, int, bytes]], first: int, second: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(member, smallest member) of each tree of sets (rep, block, n, sketch) whose sketches leave a link possible.
+
+    Sketches are folded to the shortest one's width, which keeps their bound.
     """
-    low = found.groupBy("bucket").agg(F.min("rep").alias("low"))
-    edges = found.join(low, "bucket").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    roots = components(edges, paths)
-    placed = found.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("buckets")).join(roots, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("rep", "n", "buckets", F.coalesce("root", "rep").alias("family"))
-    sizes = placed.groupBy("family").agg(F.sum("n").alias("whole"), F.sum(F.col("n") * F.col("buckets")).alias("apart"))
-    placed = cut_lineage(placed.join(sizes, "family"), "families", paths)
-    together = F.col("whole") * _blocks(F.col("whole")) <= F.col("apart")
-    whole = placed.where(together).select(F.lit(0).alias("kind"), F.col("family").alias("bucket"), "rep", F.col("whole").alias("weight"))
-    parted = placed.where(~together).select("rep").join(found, "rep").select(F.lit(1).alias("kind"), "bucket", "rep", "weight")
-    return whole.unionByName(parted)
+    rows = list({r[0]: r for r in rows}.values())
+    width = min(len(r[3]) for r in rows)
+    drawn = np.empty((len(rows), width // 8), np.uint64)
+    for i, r in enumerate(rows):
+        x = np.frombuffer(r[3], np.uint64)
+        while len(x) * 8 > width:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        drawn[i] = x
+    sizes, blocks = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+
+    def near(x: int) -> np.ndarray:
+        differ = np.bitwise_count(drawn ^ drawn[x]).sum(1, dtype=np.int64)
+        fits = den * np.minimum(sizes, sizes[x]) >= num * np.maximum(sizes, sizes[x])
+        return fits & (differ * (den + num) <= (sizes + sizes[x]) * (den - num))
+
+    return _joined([r[0] for r in rows], blocks, first, second, near)
+
+
+def families(found: DataFrame, drawn: DataFrame, num: int, den: int, paths: list[str]) -> DataFrame:
+    """(bucket, rep, weight): groups of sets that may be linked, over any number of steps; each set is in one.
+
+    Sets that share an entry meet as sketches (rep, n, sketch), a sixty-fourth of their size. A linked pair shares an entry and passes the
+    sketches' bound, so no link leaves its group.
+    """
+    met = _dealt(found.drop("n").join(drawn, "rep"), F.col("weight") / 4)
+    roots = cut_lineage(components(_trees(met, ["rep", "block", "n", "sketch"], lambda rows, i, j: alike(rows, i, j, num, den)), paths), "roots", paths)
+    placed = roots.select(F.col("node").alias("rep"), F.col("root").alias("bucket")).unionByName(
+        roots.select(F.col("root").alias("rep"), F.col("root").alias("bucket")).distinct()).distinct().join(drawn.select("rep", "n"), "rep")
+    sizes = placed.groupBy("bucket").agg(F.sum("n").alias("weight"))
+    return placed.join(sizes, "bucket").select("bucket", "rep", "weight")
 
 
 def sets_in_groups(docs: DataFrame, doc: str, text: str, places: DataFrame, words: int) -> DataFrame:
-    """(kind, bucket, i, j, rep, block, set): the set of each class in each of its places, read again from one document's text.
+    """(bucket, i, j, rep, block, set): the set of each class in each of its places, read again from one document's text.
 
     `places` has one row per class: its document's id and text hash, its fingerprint and the places to go. Texts move once, to meet
     their places; from there sets move once, to their groups. Of copies under one id, one is read.
@@ -262,8 +316,8 @@ def sets_in_groups(docs: DataFrame, doc: str, text: str, places: DataFrame, word
     source = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     met = source.join(places, source["id"].eqNullSafe(places["doc_id"]) & (source["hash"] == places["text_hash"]))
     met = met.select("text", "rep", "f1", "f2", "n", "places")
-    names = ["kind", "bucket", "i", "j", "rep", "block", "set"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["bucket", "i", "j", "rep", "block", "set"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -281,14 +335,14 @@ def sets_in_groups(docs: DataFrame, doc: str, text: str, places: DataFrame, word
                     seen.add(rep)
                     content = s.tobytes()
                     for p in where:
-                        out.append((p["kind"], p["bucket"], p["i"], p["j"], rep, p["block"], content))
+                        out.append((p["bucket"], p["i"], p["j"], rep, p["block"], content))
                         held += len(content)
                         if held > BUCKET_BYTES:
                             yield _columns(out, names, kinds)
                             out, held = [], 0
                 yield _columns(out, names, kinds)
 
-    return map_arrow(met, run, "kind int, bucket bigint, i int, j int, rep bigint, block int, set binary")
+    return map_arrow(met, run, "bucket bigint, i int, j int, rep bigint, block int, set binary")
 
 
 def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -297,12 +351,27 @@ def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
 
 def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: int, den: int) -> list[tuple[int, int]]:
     """(member, smallest member) of each tree of links among (rep, block, set), between blocks `first` and `second` if they differ."""
-    rows = list({rep: (rep, block, s) for rep, block, s in rows}.values())
-    reps = [r for r, _, _ in rows]
-    sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
+    rows = list({r[0]: r for r in rows}.values())
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
-    blocks = np.array([b for _, b, _ in rows])
-    parent = list(range(len(rows)))
+    tokens = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+
+    def linked(x: int) -> np.ndarray:
+        low, high = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
+        many = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(rows))
+        return den * both >= num * (sizes[x] + sizes - both)
+
+    return _joined([r[0] for r in rows], np.array([r[1] for r in rows]), first, second, linked)
+
+
+def _joined(reps: list[int], blocks: np.ndarray, first: int, second: int, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """(member, smallest member) of each tree that `near`, a mask of all for each, connects; between two blocks if they differ."""
+    parent = list(range(len(reps)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -310,30 +379,22 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
             x = parent[x]
         return x
 
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    trees = len(rows)
-    for x in range(len(rows)):
+    trees = len(reps)
+    for x in range(len(reps)):
         if trees == 1:
             break
         if first != second and blocks[x] != first:
             continue
-        low, high = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
-        many = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        both = np.bincount(owner[at], minlength=len(rows))
-        linked = den * both >= num * (sizes[x] + sizes - both)
+        mask = near(x)
         if first != second:
-            linked &= blocks == second
-        linked[x] = False
-        for y in np.flatnonzero(linked):
+            mask &= blocks == second
+        mask[x] = False
+        for y in np.flatnonzero(mask):
             a, b = root(x), root(int(y))
             if a != b:
                 parent[a] = b
                 trees -= 1
-    roots = [root(x) for x in range(len(rows))]
+    roots = [root(x) for x in range(len(reps))]
     low: dict[int, int] = {}
     for r, rep in zip(roots, reps):
         low[r] = min(low.get(r, rep), rep)
@@ -342,30 +403,10 @@ def verified(rows: list[tuple[int, int, bytes]], first: int, second: int, num: i
 
 def links(found: DataFrame, wanted: DataFrame, docs: DataFrame, doc: str, text: str, words: int, num: int, den: int) -> DataFrame:
     """(a, b): stars over what the links of each group connect."""
-    dealt = found.withColumn("parts", _blocks(F.col("weight"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    place = F.struct("kind", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    places = dealt.groupBy("rep").agg(F.collect_list(place).alias("places"))  # no more than the entries of a set, and their blocks
-    keys = ["kind", "bucket", "i", "j"]
+    place = F.struct("bucket", "i", "j", "block")
+    places = _dealt(found, F.col("weight") * 8).groupBy("rep").agg(F.collect_list(place).alias("places"))  # as many as its group has blocks
     sets = sets_in_groups(docs, doc, text, wanted.join(places, "rep"), words)
-    sent = sets.repartition(*keys).sortWithinPartitions(*keys)
-    names = [*keys, "rep", "block", "set"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            out = []
-            for kind, bucket, i, j, rep, block, s in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (kind, bucket, i, j) != key:
-                    if len(rows) > 1:
-                        out += verified(rows, key[2], key[3], num, den)
-                    key, rows = (kind, bucket, i, j), []
-                rows.append((rep, block, s))
-            yield _pairs(out)
-        if len(rows) > 1:
-            yield _pairs(verified(rows, key[2], key[3], num, den))
-
-    return map_arrow(sent.select(names), run, "a bigint, b bigint").distinct()
+    return _trees(sets, ["rep", "block", "set"], lambda rows, i, j: verified(rows, i, j, num, den))
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -404,12 +445,15 @@ def place(docs: DataFrame, doc: str, text: str, words: int, num: int, den: int)
     full = cut_lineage(index(docs, doc, text, words, num, den), "index", entries)
     rows = cut_lineage(full.drop("entries"), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(
-        F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id", "hash")).alias("first")
+        F.min("row").alias("rep"), F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id", "hash", "sketch")).alias("first")
     )
     found = cut_lineage(buckets(full, classes, entries), "buckets", used)
     discard(spark, *entries)  # nothing that follows reads the entries
-    wanted = classes.select("rep", "f1", "f2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("text_hash"))
-    edges = links(families(found, used), wanted, docs, doc, text, words, num, den)
+    met = classes.join(found.select("rep").distinct(), "rep").select(
+        "rep", "f1", "f2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("text_hash"), F.col("first.sketch").alias("sketch"))
+    met = cut_lineage(met, "wanted", used)  # the first row of a set is the first of its task, so it has a sketch
+    groups = cut_lineage(families(found, met.select("rep", "n", "sketch"), num, den, used), "families", used)
+    edges = links(groups, met.drop("sketch"), docs, doc, text, words, num, den)
     roots = components(edges)
     discard(spark, *used)
     placed = classes.drop("first").join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))

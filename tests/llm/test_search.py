@@ -161,18 +161,30 @@ def test_clashing_columns_come_back(spark, docs_of):
     assert sorted(tuple(r[c] for c in extra) for r in kept.collect()) == [tuple(f"{c}{i}" for c in extra) for i in (1, 3)]
 
 
-def test_large_families_are_verified_by_bucket(docs_of, monkeypatch):
+def test_blocks_change_nothing(docs_of, monkeypatch):
     rng = random.Random(9)
     base = [[f"w{rng.randrange(50)}" for _ in range(30)] for _ in range(6)]
     rows = [(i, " ".join(b if rng.random() > 0.03 else "zz" for b in base[i % 6])) for i in range(90)]
     want = sorted((i, c) for i, _, c in (tuple(r) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()))
-    kinds = []
-    plan = jaccardjoin.families
-    monkeypatch.setattr(jaccardjoin, "families", lambda *a: kinds.append(plan(*a)) or kinds[-1])
+    assert want == sorted((i, c) for i, _, c in brute_components(rows, 3, 9, 10))
     monkeypatch.setattr(jaccardjoin, "BUCKET_BYTES", 200)
-    monkeypatch.setattr(jaccardjoin, "discard", lambda *a: None)
     assert sorted((r.doc_id, r.component_id) for r in jaccardjoin.join(docs_of(rows), words=3, num=9, den=10).collect()) == want
-    assert 1 in {r.kind for r in kinds[0].select("kind").distinct().collect()}
+
+
+def test_sketches_never_part_linked_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (3, 40, 63, 64, 65, 700, 5000):
+        for _ in range(20):
+            a = rng.integers(0, 2**63, n, np.uint64)
+            b = np.concatenate([a[rng.random(n) > 0.1], rng.integers(0, 2**63, max(1, n // 15), np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if 10 * both >= 8 * (len(a) + len(b) - both):
+                assert jaccardjoin.alike([(1, 0, len(a), jaccardjoin.sketch(a)), (2, 0, len(b), jaccardjoin.sketch(b))], 0, 0, 8, 10) == [(2, 1)]
+        strangers = [np.unique(rng.integers(0, 2**63, 2000, np.uint64)) for _ in range(30)]
+    assert jaccardjoin.alike([(i, 0, len(x), jaccardjoin.sketch(x)) for i, x in enumerate(strangers)], 0, 0, 8, 10) == []
 
 
 def test_stars_reach_the_smallest_node(spark):
