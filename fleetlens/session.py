@@ -47,18 +47,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write into the shared folder: its shuffle files go with its end, nothing reads them again, and
+#: Python workers get rows in batches of this size, whatever one row holds.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Write `df` as Parquet; the shuffle files of the write go with its end, nothing reads them again."""
+    """Write `df` as Parquet under the settings of `WRITING`."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {key: conf.get(key, None) for key in WRITING}
     try:
+        for key, value in WRITING.items():
+            conf.set(key, value)
         df.write.mode("overwrite").parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def cut_lineage(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
