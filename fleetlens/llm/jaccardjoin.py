@@ -53,7 +53,7 @@ BAND_RATIO = 1.4
 #: Chance that a shingle of one document is also in an unrelated one, for the cost of a scheme.
 SHARED = 0.1
 #: Bytes of sets or sketches of a block; a task holds two at a time.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Fingerprints of sets a task remembers in order to index copies once.
 REMEMBERED = 200_000
 
