@@ -147,7 +147,7 @@ FROM known JOIN below USING (d, key) LEFT JOIN nodes p ON known.d > 0 AND p.d =
 
 OP12 = rf"""
 WITH RECURSIVE runs AS (
-  SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format('text')}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+  SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format('text')}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
 hashed AS (
   SELECT run, k, coalesce(CAST(xor({CRC32.format("(CAST(doc_id AS VARCHAR) || ':' || run)")}, 4294967295::UBIGINT) AS BIGINT), 1) AS h FROM runs),
 planted AS (
