@@ -201,9 +201,10 @@ def post_deploy_regressions(
     """Mean of a metric in the window before and after each deployment; worse ones are candidates
     for rollback.
 
-    Samples shrink to one sum and count per (database, hour). Only hours that hold an edge of a window are looked
-    at closer: they have a sum per minute, and within the edge's own minute edges are merged among the samples in
-    time order and read the running sum there. So neither a hot hour nor many deployments in one hour multiply rows.
+    Samples shrink to one sum and count per (database, hour) and per (database, minute). An edge of a window reads running
+    sums: of its hour's minutes before it and, within its own minute, of the samples, among which edges are merged in time
+    order. The hours between are one frame of hourly sums. So a deployment is three rows and two hours whatever the window,
+    and neither a hot hour nor many deployments in one hour multiply rows. No side of a join is sent to every executor.
     """
     span = F.make_interval(hours=F.lit(hours))
     start, stop = F.col("deployed_at") - span, F.col("deployed_at") + span
@@ -220,29 +221,33 @@ def post_deploy_regressions(
         F.struct(F.col("deployed_at").alias("_at"), F.lit(0).alias("_rank"), F.lit("mid").alias("_edge")),
         F.struct(stop.alias("_at"), F.lit(2).alias("_rank"), F.lit("stop").alias("_edge")),
     )).alias("_e")).select(*key, "_e.*").withColumns({"_minute": F.date_trunc("minute", "_at"), "_hour": trunc(F.col("_at"))})
-    # Of the edge's hour: its whole minutes as sums, and its own minute by a running sum.
-    near = points.join(edges.select("database_id", "_hour").distinct(), ["database_id", "_hour"], "left_semi")
-    minutes = near.groupBy("database_id", "_minute").agg(F.sum("_v").alias("_sum"), F.sum("_c").alias("_cnt"))
-    minute_before = F.col("_minute") - F.expr("INTERVAL 1 MINUTE")
-    early = edges.where(F.col("_hour") <= minute_before).select(
-        *key, "_edge", F.explode(F.sequence(F.col("_hour"), minute_before, F.expr("INTERVAL 1 MINUTE"))).alias("_minute")
-    ).join(minutes, ["database_id", "_minute"]).select(*key, "_edge", "_sum", "_cnt")
-    own = near.join(edges.select("database_id", "_minute").distinct(), ["database_id", "_minute"], "left_semi")
+    # Of the edge's hour: its whole minutes as a running sum, and of its own minute a running sum of the samples.
+    sums = [F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt")]
+    minutes = points.groupBy("database_id", "_hour", "_minute").agg(F.sum("_v").alias("_sum"), F.sum("_c").alias("_cnt"))
+    minutes = minutes.unionByName(edges.select("database_id", "_hour", "_minute").distinct(), allowMissingColumns=True)
+    earlier = Window.partitionBy("database_id", "_hour").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    passed = minutes.groupBy("database_id", "_hour", "_minute").agg(*sums).select(
+        "database_id", "_minute", *[F.sum(c).over(earlier).alias(c) for c in ("_sum", "_cnt")])
+    early = edges.join(passed.where("_cnt IS NOT NULL").hint("merge"), ["database_id", "_minute"]).select(*key, "_edge", "_sum", "_cnt")
+    own = points.join(edges.select("database_id", "_minute").distinct().hint("merge"), ["database_id", "_minute"], "left_semi")
     so_far = Window.partitionBy("database_id", "_minute").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
     read = (
         own.unionByName(edges, allowMissingColumns=True)
         .withColumns({"_sum": F.coalesce(F.sum("_v").over(so_far), F.lit(0.0)), "_cnt": F.coalesce(F.sum("_c").over(so_far), F.lit(0))})
         .where(F.col("_edge").isNotNull()).select(*key, "_edge", "_sum", "_cnt")
     ).unionByName(early)
-    spans = deployments.select(*key, F.explode(F.array(
-        F.struct(trunc(start).alias("_from"), trunc(F.col("deployed_at")).alias("_to"), F.lit("before").alias("_edge")),
-        F.struct(trunc(F.col("deployed_at")).alias("_from"), trunc(stop).alias("_to"), F.lit("after").alias("_edge")),
-    )).alias("_e")).select(*key, "_e.*")
-    hour_before = F.col("_to") - F.expr("INTERVAL 1 HOUR")
-    hours_of = spans.where(F.col("_from") <= hour_before).select(
-        *key, "_edge", F.explode(F.sequence(F.col("_from"), hour_before, F.expr("INTERVAL 1 HOUR"))).alias("_hour")
-    )
-    inner = hours_of.join(whole, ["database_id", "_hour"]).select(*key, "_edge", "_sum", "_cnt")
+    # Of the hours between: a frame of `hours` rows of sums, read at the deployment's own hour.
+    marks = deployments.select("database_id", trunc(F.col("deployed_at")).alias("_hour")).distinct()
+    hourly = whole.unionByName(marks, allowMissingColumns=True).groupBy("database_id", "_hour").agg(*sums)
+    frames = {
+        "before": f"INTERVAL '{hours}' HOUR PRECEDING AND INTERVAL '1' HOUR PRECEDING",
+        "after": f"CURRENT ROW AND INTERVAL '{hours - 1}' HOUR FOLLOWING",
+    }
+    over = "sum({}) OVER (PARTITION BY database_id ORDER BY _hour RANGE BETWEEN {})"
+    framed = hourly.select("database_id", "_hour", F.array(*[
+        F.struct(F.lit(edge).alias("_edge"), *[F.expr(over.format(c, frame)).alias(c) for c in ("_sum", "_cnt")]) for edge, frame in frames.items()
+    ]).alias("_e")).hint("merge")
+    inner = deployments.select(*key, trunc(F.col("deployed_at")).alias("_hour")).join(framed, ["database_id", "_hour"]).select(*key, F.inline("_e"))
 
     def total(column: str, whole_hours: str, until: str, since: str) -> Column:
         of = lambda edge: F.sum(F.when(F.col("_edge") == edge, F.col(column)).otherwise(F.lit(0)))

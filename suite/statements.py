@@ -294,7 +294,8 @@ def lint_with_plans(spark, sf):
     plans = corpus.plan_summaries(corpus.parse_plans(spread(view(spark, sf, "plan_docs")), fields=corpus.FOR_SUMMARIES)).select(
         F.col("plan_id").alias("log_id"), "has_seq_scan"
     )
-    joined = _log(spark, sf).join(plans, "log_id", "left")
+    # As many rows as statements, which the planner cannot tell from the Python pass: never to be broadcast.
+    joined = _log(spark, sf).join(plans.hint("merge"), "log_id", "left")
     return lint.lint(joined, "sql_text", seq_scan=F.col("has_seq_scan")).select("log_id", "impact_score")
 
 
