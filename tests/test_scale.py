@@ -1,9 +1,9 @@
 """Plans and memory that must not grow faster than the input."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import detectors
+from suite import statements
 
 
 def physical(df):
@@ -28,3 +28,7 @@ def test_deployments_are_neither_multiplied_nor_broadcast(spark):
             want[d.proposal_id] = (mean([v for t, v in near if t < d.deployed_at]), mean([v for t, v in near if t >= d.deployed_at]))
     got = {r.proposal_id: tuple(None if x is None else round(x, 6) for x in (r.before_mean, r.after_mean)) for r in out.collect()}
     assert got == want and len(got) > 15
+
+
+def test_plans_are_not_broadcast_to_their_statements(spark, sf):
+    assert "Broadcast" not in physical(statements.lint_with_plans(spark, sf))
