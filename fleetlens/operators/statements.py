@@ -100,15 +100,24 @@ def top_slow(snapshots: DataFrame, n: int = 20) -> DataFrame:
     return top_n(snapshots, ["database_id"], order, n)
 
 
-def labelled_features(statements: DataFrame, sql: str, label: str) -> DataFrame:
-    """Distinct feature rows with their frequency as weight: a log of any size trains on few rows."""
+def shapes(enriched: DataFrame, *keys: str) -> DataFrame:
+    """Rows of `enrich` with equal canonical text and `keys` as one, `statements` of them: all that rules and models read."""
+    return enriched.groupBy("normalized_sql", *keys).agg(F.count(F.lit(1)).alias("statements"))
+
+
+def labelled_features(statements: DataFrame, sql: str, label: str, canonical: bool = False, weight: str | None = None) -> DataFrame:
+    """Distinct feature rows with their frequency as weight: a log of any size trains on few rows.
+
+    `canonical` says that `sql` is canonical text; `weight` names a column of frequencies.
+    """
     names = T.FEATURES
-    norm = statements.withColumn("_n", T.normalize_sql(F.col(sql)))
+    norm = statements.withColumn("_n", F.col(sql) if canonical else T.normalize_sql(F.col(sql)))
+    many = F.col(weight) if weight else F.lit(1)
     rows = norm.select(
-        *T.features(F.col("_n")), F.array_position(F.lit(ACCESS_PATTERNS), F.col(label)).alias("_l")
+        *T.features(F.col("_n")), F.array_position(F.lit(ACCESS_PATTERNS), F.col(label)).alias("_l"), many.alias("_many")
     ).where(F.col("_l") > 0)
     return rows.withColumn("label", (F.col("_l") - 1).cast("double")).groupBy(*names, "label").agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
+        F.sum("_many").cast("double").alias("weight")
     )
 
 
@@ -132,18 +141,18 @@ def fit_classifier(training: DataFrame, algorithm: str = "forest", trees: int =
     return Pipeline(stages=[assembler, model]).fit(training)
 
 
-def model_patterns(statements: DataFrame, sql: str, model) -> DataFrame:
+def model_patterns(statements: DataFrame, sql: str, model, canonical: bool = False) -> DataFrame:
     """`statements` with `guess`, the model's access pattern."""
-    norm = statements.withColumn("_n", T.normalize_sql(F.col(sql)))
+    norm = statements.withColumn("_n", F.col(sql) if canonical else T.normalize_sql(F.col(sql)))
     scored = model.transform(norm.select("*", *T.features(F.col("_n"))))
     return scored.select(*statements.columns, F.get(F.lit(ACCESS_PATTERNS), F.col("prediction").cast("int")).alias("guess"))
 
 
-def classify_unknown(statements: DataFrame, sql: str, model) -> DataFrame:
+def classify_unknown(statements: DataFrame, sql: str, model, canonical: bool = False) -> DataFrame:
     """Access pattern by rule, by model where no rule applies."""
-    norm = statements.withColumn("normalized_sql", T.normalize_sql(F.col(sql)))
-    scored = model.transform(norm.select("*", *T.features(F.col("normalized_sql"))))
+    norm = statements.withColumn("_n", F.col(sql) if canonical else T.normalize_sql(F.col(sql)))
+    scored = model.transform(norm.select("*", *T.features(F.col("_n"))))
     guess = F.get(F.lit(ACCESS_PATTERNS), F.col("prediction").cast("int"))
     return scored.select(
-        *statements.columns, T.access_pattern(F.col("normalized_sql"), guess, canonical=True).alias("access_pattern")
+        *statements.columns, T.access_pattern(F.col("_n"), guess, canonical=True).alias("access_pattern")
     )

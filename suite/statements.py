@@ -179,13 +179,15 @@ def statement_features(spark, sf):
   TRUE AS learned FROM normed WHERE {PATTERN} <> 'unknown' GROUP BY 1""")
 def pattern_classifier(spark, sf):
     """A model taught on one half of the statements that rules decide, held against the rules on the other half."""
-    ruled = statements.enrich(_log(spark, sf), "sql_text").select("log_id", "sql_text", "access_pattern").where("access_pattern <> 'unknown'")
-    held = F.floor(F.col("log_id") / 10) % 2 == 1
-    model = statements.fit_classifier(statements.labelled_features(ruled.where(~held), "sql_text", "access_pattern"))
-    guessed = statements.model_patterns(ruled, "sql_text", model)
-    right = F.avg(F.when(held, (F.col("guess") == F.col("access_pattern")).cast("int")))
+    log = statements.enrich(_log(spark, sf), "sql_text").withColumn("held", F.floor(F.col("log_id") / 10) % 2 == 1)
+    # Every statement is made canonical once; rules and model read the distinct ones, which stand for all.
+    ruled = cut_lineage(statements.shapes(log, "access_pattern", "held"), "shapes").where("access_pattern <> 'unknown'")
+    held, many = F.col("held"), F.col("statements")
+    model = statements.fit_classifier(statements.labelled_features(ruled.where(~held), "normalized_sql", "access_pattern", True, "statements"))
+    guessed = statements.model_patterns(ruled, "normalized_sql", model, True)
+    right = F.sum(F.when(held & (F.col("guess") == F.col("access_pattern")), many).otherwise(0)) / F.sum(F.when(held, many))
     return guessed.groupBy("access_pattern").agg(
-        F.count(F.lit(1)).alias("statements"), F.count_if(held).alias("held_out"), (right > 0.95).alias("learned")
+        F.sum("statements").alias("statements"), F.sum(F.when(held, many).otherwise(0)).alias("held_out"), (right > 0.95).alias("learned")
     )
 
 
@@ -193,12 +195,12 @@ def pattern_classifier(spark, sf):
 @query()
 def statement_patterns(spark, sf):
     """Every statement of the log by its answer: how many the rules decided, and how many the model where no rule applies."""
-    log = statements.enrich(_log(spark, sf), "sql_text").select("log_id", "sql_text", F.col("access_pattern").alias("rule"))
-    model = statements.fit_classifier(statements.labelled_features(log.where("rule <> 'unknown'"), "sql_text", "rule"))
-    answered = statements.classify_unknown(log, "sql_text", model)
-    by_rule = F.col("rule") != "unknown"
+    log = cut_lineage(statements.shapes(statements.enrich(_log(spark, sf), "sql_text"), "access_pattern"), "shapes").withColumnRenamed("access_pattern", "rule")
+    model = statements.fit_classifier(statements.labelled_features(log.where("rule <> 'unknown'"), "normalized_sql", "rule", True, "statements"))
+    answered = statements.classify_unknown(log, "normalized_sql", model, True)
+    by_rule, many = F.col("rule") != "unknown", F.col("statements")
     return answered.groupBy("access_pattern").agg(
-        F.count(F.lit(1)).alias("statements"), F.count_if(by_rule).alias("by_rule"), F.count_if(~by_rule).alias("by_model")
+        F.sum("statements").alias("statements"), F.sum(F.when(by_rule, many).otherwise(0)).alias("by_rule"), F.sum(F.when(~by_rule, many).otherwise(0)).alias("by_model")
     )
 
 

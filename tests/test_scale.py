@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens import session
 from fleetlens.operators import detectors
+from fleetlens.operators import statements as operators
 from suite import statements
+from suite.views import view
 
 
 def physical(df):
@@ -32,3 +35,20 @@ def test_deployments_are_neither_multiplied_nor_broadcast(spark):
 
 def test_plans_are_not_broadcast_to_their_statements(spark, sf):
     assert "Broadcast" not in physical(statements.lint_with_plans(spark, sf))
+
+
+def test_a_large_table_is_dealt_out_by_bytes(spark, sf, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1 << 10)
+    orders = view(spark, sf, "query_log")
+    dealt = session.spread(orders)
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert dealt.count() == orders.count()
+
+
+def test_shapes_teach_and_answer_as_their_statements(spark, sf):
+    log = operators.enrich(view(spark, sf, "query_log").unionByName(view(spark, sf, "query_log").where("log_id % 3 = 0")), "sql_text")
+    few = operators.shapes(log, "access_pattern").where("access_pattern <> 'unknown'")
+    assert few.count() < log.count() / 4
+    got = operators.labelled_features(few, "normalized_sql", "access_pattern", True, "statements")
+    want = operators.labelled_features(log.where("access_pattern <> 'unknown'"), "sql_text", "access_pattern")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
