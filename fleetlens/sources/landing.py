@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.session import input_bytes
 
 #: Input bytes meant for one landed file.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 
 
 def land(df: DataFrame, path: str, order: str, files: int | None = None) -> None:

@@ -1,6 +1,7 @@
 """Streams: repeated batches, late and broken rows."""
 
 import json
+import pickle
 import random
 
 import pytest
@@ -85,3 +86,19 @@ def test_thresholds_in_one_pass(spark, sf):
     df = view(spark, sf, "health_metrics").withColumn("active_connections", F.when(F.col("event_id") % 5 == 0, 95).otherwise(F.col("active_connections")))
     two = detectors.pool_exhaustion(df).unionByName(detectors.replication_lag(df))
     assert sorted(map(str, detectors.threshold_alerts(df).collect())) == sorted(map(str, two.collect()))
+
+
+def test_waiting_rows_are_opened_by_the_block():
+    rows = [(i // 3 * 10, i, str(i)) for i in range(1000)]
+    blocks = [(part[0][0], part[-1][0], pickle.dumps(part)) for part in (rows[i:i + 50] for i in range(0, 1000, 50))]
+    rest = []
+    merged = ordered._merged(blocks, 3000, rest)
+    assert next(merged) == rows[0] and sum(b is None for b in blocks) <= 2
+    got = [rows[0], *merged]
+    assert got == [r for r in rows if r[0] <= 3000] and rest == [r for r in rows if 3000 < r[0] <= 3160][:len(rest)] and rest
+    rng = random.Random(1)
+    mixed = rng.sample(rows, len(rows))
+    parts = [sorted(mixed[i:i + 50]) for i in range(0, 1000, 50)]
+    shuffled = sorted(((p[0][0], p[-1][0], pickle.dumps(p)) for p in parts), key=lambda b: b[0])
+    rest = []
+    assert list(ordered._merged(shuffled, 2000, rest)) + sorted(rest) == rows
