@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import sqltext as T
+from fleetlens.operators.graphs import components
 from fleetlens.session import cut_lineage, map_arrow
 
 BANDS = 8
+#: Fingerprints of a band that are compared rather than cut again. A cut costs eight rows each; comparing costs a nanosecond a pair.
+HOT_ROWS = 1 << 15
+#: Pairs compared in one step, few enough to stay in the cache.
+STEP = 1 << 16
 
 
 def simhash_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,20 +51,20 @@ def _rotate(value: Column, by: Column) -> Column:
     )
 
 
-def band_keys(fingerprints: DataFrame, hot_rows: int = 4096) -> DataFrame:
+def band_keys(fingerprints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(simhash, band key) rows such that any two values less than 8 bits apart share a key.
 
     Two values at most 7 bits apart agree on one of 8 slices. A slice value held by more than
     `hot_rows` fingerprints is cut again: its members agree on those 8 bits, so their 7 differences
     lie in the other 56, and one of 8 slices of 7 bits agrees there too; and again on the 49 left.
-    Every cut is exact; no member or partner is dropped.
+    Every cut is exact; no member or partner is dropped. Keys are hashes; bands that share one by chance are compared together.
     """
     first = fingerprints.select(
         "simhash",
         F.posexplode(F.array(*[b.cast("bigint") for b in _bands(F.col("simhash"), 0, 8, BANDS)])).alias("_b", "_v"),
     ).select(
         "simhash",
-        F.concat_ws(":", "_b", "_v").alias("band"),
+        F.xxhash64("_b", "_v").alias("band"),
         # Turn the shared slice to the low end, so the bits still open are always the high ones.
         _rotate(F.col("simhash"), (F.lit(64) - F.col("_b") * 8) % 64).alias("_turned"),
     )
@@ -70,7 +76,7 @@ def band_keys(fingerprints: DataFrame, hot_rows: int = 4096) -> DataFrame:
         finer = marked.where("_hot").select(
             "simhash", "_turned", "band", F.posexplode(slices).alias("_b", "_v")
         ).select(
-            "simhash", F.concat_ws("/", "band", F.concat_ws(":", "_b", "_v")).alias("band"),
+            "simhash", F.xxhash64("band", "_b", "_v").alias("band"),
             # Bring the newly agreed slice next to the earlier ones, keeping the low bits.
             _swap(F.col("_turned"), used, width, F.col("_b")).alias("_turned"),
         )
@@ -94,32 +100,51 @@ def _swap(value: Column, used: int, width: int, slot: Column) -> Column:
     return F.when(slot == 0, value).otherwise(value.bitwiseXOR(flip))
 
 
-def connected(values: list[int], blocks: list[int], first: int, second: int, threshold: int) -> list[tuple[int, int]]:
-    """(smallest, member) of each tree of near values; between blocks `first` and `second` if they differ."""
-    v, of = np.array(values, np.int64).view(np.uint64), np.array(blocks)
-    label = np.arange(len(v))
-    trees = len(v)
-    for i in range(len(v)):
-        if trees == 1:
-            break  # nothing is left to connect
-        if first != second and of[i] != first:
-            continue
-        near = np.bitwise_count(v ^ v[i]) < threshold
-        if first != second:
-            near &= of == second
-        met = np.unique(np.append(label[near], label[i]))
-        if len(met) > 1:
-            label[np.isin(label, met)] = met[0]
-            trees -= len(met) - 1
+def _met(front: np.ndarray, rest: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members of `rest` near to any of `front`, the others)."""
+    found, step = [], 0
+    while step < len(front) and len(rest):
+        some = front[step:step + max(1, STEP // len(rest))]
+        step += len(some)
+        near = (np.bitwise_count(some[:, None] ^ rest) < threshold).any(0)
+        if near.any():
+            found.append(rest[near])
+            rest = rest[~near]
+    return np.concatenate(found) if found else rest[:0], rest
+
+
+def connected(values: np.ndarray, blocks: np.ndarray, first: int, second: int, threshold: int) -> list[tuple[int, int]]:
+    """(smallest, member) of each tree of near values; between blocks `first` and `second` if they differ.
+
+    A tree grows from a seed and takes what it meets out of the rest, so members of one crowd are hardly compared with each other.
+    """
+    v = values.view(np.uint64)
+    cross = first != second
+    rest = [v[blocks == first], v[blocks == second]] if cross else [v]
     out = []
-    for tree in np.unique(label):
-        members = v[label == tree].view(np.int64)
+    while len(rest[0]) and len(rest[-1]):
+        seeds = rest[0][:max(1, STEP // len(rest[-1]))]
+        count = (np.bitwise_count(seeds[:, None] ^ rest[-1]) < threshold).sum(1)
+        seeds, alone = seeds[count > (0 if cross else 1)], len(seeds)
+        if not len(seeds):
+            rest[0] = rest[0][alone:]
+            continue
+        rest[0] = np.concatenate([seeds[1:], rest[0][alone:]])  # values that are near to none of the rest are done
+        tree, fronts = [seeds[:1]], [seeds[:1], v[:0]][:len(rest)]
+        while any(map(len, fronts)):
+            after = []
+            for side in range(len(rest)):
+                met, rest[side] = _met(fronts[side - 1], rest[side], threshold)
+                after.append(met)
+            fronts = after
+            tree += after
+        members = np.concatenate(tree).view(np.int64)
         low = int(members.min())
-        out += [(low, int(m)) for m in members if m != low]
+        out += [(low, m) for m in members.tolist() if m != low]
     return out
 
 
-def linking_pairs(nodes: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
+def linking_pairs(nodes: DataFrame, threshold: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect all that are near, a star for each tree of a band.
 
     All near values of a band are compared in one task, which gives out only what connects them: fewer
@@ -128,57 +153,45 @@ def linking_pairs(nodes: DataFrame, threshold: int = 8, hot_rows: int = 4096) ->
     """
     if threshold > BANDS:
         raise ValueError(f"band keys are exact for thresholds up to {BANDS}")
-    keys = band_keys(nodes, hot_rows)
+    keys = band_keys(nodes.where("simhash IS NOT NULL"), hot_rows)
     sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
     parts = F.ceil(F.col("_k") / max(hot_rows, 2)).cast("int")
     dealt = keys.join(sizes, "band").select("band", "simhash", parts.alias("_p")).withColumns({
         "block": F.pmod(F.xxhash64("simhash"), F.col("_p")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("_p") - 1)),
     }).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "simhash")
-    names = ["band", "i", "j", "block", "simhash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, held = None, []
 
-        def pairs() -> pa.RecordBatch:
-            found = connected([r[1] for r in rows], [r[0] for r in rows], key[1], key[2], threshold) if len(rows) > 1 else []
+        def pairs() -> list[tuple[int, int]]:
+            block, value = (np.concatenate([h[x] for h in held]) for x in (0, 1))
+            return connected(value, block, key[1], key[2], threshold) if len(value) > 1 else []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for band, i, j, block, value in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (band, i, j) != key:
-                    if len(rows) > 1:
-                        yield pairs()
-                    key, rows = (band, i, j), []
-                rows.append((block, value))
-        if rows:
-            yield pairs()
+            if not batch.num_rows:
+                continue
+            band, i, j, block, value = (batch.column(c).to_numpy() for c in ("band", "i", "j", "block", "simhash"))
+            borders = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            found = []
+            for a, b in pairwise([0, *borders.tolist(), len(band)]):
+                if (band[a], i[a], j[a]) != key:
+                    if held:
+                        found += pairs()
+                    key, held = (band[a], i[a], j[a]), []
+                held.append((block[a:b], value[a:b]))
+            yield out(found)
+        if held:
+            yield out(pairs())
 
     together = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return map_arrow(together, run, "a bigint, b bigint").distinct()
 
 
-def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = 4096) -> DataFrame:
-    """(simhash, cluster): connected groups of near fingerprints, named by their smallest member.
-
-    Labels shrink along pairs and jump to their label's label, so rounds grow with the logarithm of
-    a group's width. Pairs are written once and every round's labels too; nothing is kept on one node.
-    """
+def clusters(fingerprints: DataFrame, threshold: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(simhash, cluster): connected groups of near fingerprints, named by their smallest member; nothing is kept on one node."""
     nodes = cut_lineage(fingerprints.select("simhash").distinct(), "cluster-nodes")
-    pairs = linking_pairs(nodes, threshold, hot_rows)
-    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cluster-pairs")
-    labels = nodes.withColumn("cluster", F.col("simhash"))
-    while True:
-        # Smallest label among the neighbours, combined in the map tasks.
-        offered = (
-            edges.join(labels.select(F.col("simhash").alias("b"), "cluster"), "b")
-            .groupBy(F.col("a").alias("simhash")).agg(F.min("cluster").alias("_n"))
-        )
-        shrunk = labels.join(offered, "simhash", "left").select(
-            "simhash", F.col("cluster").alias("_old"), F.least("cluster", "_n").alias("cluster")
-        )
-        jump = shrunk.select(F.col("simhash").alias("cluster"), F.col("cluster").alias("_to"))
-        stepped = shrunk.join(jump, "cluster", "left").select("simhash", "_old", F.least("cluster", "_to").alias("cluster"))
-        stepped = cut_lineage(stepped, "cluster-round")
-        labels = stepped.select("simhash", "cluster")
-        if stepped.where(F.col("_old") != F.col("cluster")).isEmpty():
-            return labels
+    roots = components(linking_pairs(nodes, threshold, hot_rows))
+    return nodes.join(roots, nodes["simhash"] == roots["node"], "left").select("simhash", F.coalesce("root", "simhash").alias("cluster"))

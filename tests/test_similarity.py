@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,52 @@ def test_long_texts_equal_statements(spark, sf):
     each = docs.select("doc_id", sqltext.simhash64(sqltext.normalize_sql(F.col("text"))).alias("s"))
     assert whole.join(each, "doc_id").where(F.col("simhash") != F.col("s")).isEmpty()
     assert whole.where("doc_id = -1").first().simhash == 0
+
+
+def test_a_crowd_is_joined_with_fewer_steps_than_members(monkeypatch):
+    """Members of one crowd are hardly compared with each other, and a tree grown over blocks finds every link between them."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    crowd = sorted({signed(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))) for _ in range(3000)})
+    apart = [signed(rng.getrandbits(64)) for _ in range(300)]
+    values = np.array(crowd + apart, np.int64)
+    compared, count = [], np.bitwise_count
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x):
+            compared.append(x.size)
+            return count(x)
+
+    monkeypatch.setattr(similarity, "np", Counted())
+    whole = similarity.connected(values, np.zeros(len(values), int), 0, 0, 8)
+    assert sum(compared) < len(values) ** 2 / 3
+    assert {m for _, m in whole} | {a for a, _ in whole} >= set(crowd)
+    blocks = np.array([hash(v) % 2 for v in values.tolist()])
+    parent = {v: v for v in values.tolist()}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        here = (blocks == i) | (blocks == j)
+        for a, b in similarity.connected(values[here], blocks[here], i, j, 8):
+            parent[find(b)] = find(a)
+    tree = {}
+    for v in parent:
+        tree.setdefault(find(v), set()).add(v)
+    want = {}
+    for a, m in whole:
+        want.setdefault(a, {a}).add(m)
+    assert sorted(map(sorted, want.values())) == sorted(sorted(t) for t in tree.values() if len(t) > 1)
+
+
+def test_bands_of_a_few_thousand_are_not_cut(spark):
+    """Every cut makes eight rows of one, so it waits until comparing would cost more."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(signed(rng.getrandbits(56) << 8),) for _ in range(5000)], "simhash bigint")
+    assert similarity.band_keys(df).count() == 8 * 5000
