@@ -14,8 +14,10 @@ depends on two regular expression engines agreeing about rare characters.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -32,6 +34,13 @@ ODD_STOP = re.compile("(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-ɏ])[.,]").search
 #: UTF-8 bytes of letters and digits become "a", stops ".", the rest a blank; only for texts whose other characters are ASCII.
 KINDS = bytes(97 if c >= 128 or chr(c).isalnum() else 46 if c in b".," else 32 for c in range(256))
 
+#: Chunks of letters, with or without a blank before them: one pre-token each.
+ALONE = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+").fullmatch
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = sorted(set(range(256)) - _SHOWN)
+#: What a byte-level vocabulary writes for each byte.
+SIGNS = "".join(chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))
+
 
 def odd_stop(text: str) -> bool:
     """Whether a stop stands behind anything but a letter or digit."""
@@ -41,14 +50,20 @@ def odd_stop(text: str) -> bool:
     return b" ." in kinds or b".." in kinds or kinds[:1] == b"."
 
 
-def cut(text: str) -> list[str] | None:
-    """Chunks whose concatenation is the text, or None if it must stay whole."""
+def marked_cuts(text: str) -> str | None:
+    """The text with "\\0" at every cut, or None if it must stay whole. A text that is cut holds no control character but line feeds."""
     if any(r in text for r in RUNS) or text[-1:] in (" ", "\n") or not PLAIN(text):
         return None
     marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
     if not odd_stop(text):
         marked = marked.replace(".", "\0.").replace(",", "\0,")
-    return marked.split("\0")
+    return marked
+
+
+def cut(text: str) -> list[str] | None:
+    """Chunks whose concatenation is the text, or None if it must stay whole."""
+    marked = marked_cuts(text)
+    return None if marked is None else marked.split("\0")
 
 
 def library(path: str):
@@ -64,10 +79,26 @@ def specials(tokenizer) -> tuple[str, ...]:
 
 
 def encode_chunks(tokenizer, words: list[str]) -> list[bytes]:
-    """Ids of each chunk as little-endian 32-bit integers.
+    """Ids of each chunk (none of them empty or a line feed) as little-endian 32-bit integers.
 
-    Chunks (none of them empty or a line feed) are joined by line feeds, each an id of its own.
+    A chunk of letters is one pre-token, so the model merges it without the cutting before it; the others go through the whole tokenizer.
     """
+    rule = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or type(rule).__name__ != "ByteLevel" or rule.add_prefix_space or not rule.use_regex:
+        return _joined(tokenizer, words)
+    alone = [w for w in words if ALONE(w)]
+    written = codecs.charmap_decode("\n".join(alone).encode(), "strict", SIGNS)[0].split(SIGNS[10])
+    merge, known = tokenizer.model.tokenize, {}
+    for w, signs in zip(alone, written):
+        ids = [x.id for x in merge(signs)]
+        known[w] = struct.pack(f"<{len(ids)}I", *ids)
+    others = [w for w in words if w not in known]
+    known.update(zip(others, _joined(tokenizer, others)))
+    return list(map(known.__getitem__, words))
+
+
+def _joined(tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of each chunk by the whole tokenizer; chunks are joined by line feeds, each an id of its own."""
     feed = tokenizer.encode("\n", add_special_tokens=False).ids
     assert len(feed) == 1
     out: list[bytes] = []
@@ -132,6 +163,13 @@ class Memory:
             self.young.update(zip(missing, self.value(missing)))
         return self.young.__getitem__
 
+    def values(self, words: list[str], given: dict) -> list:
+        """What is known of each of `words`, all different; `given` are values of this call alone."""
+        found = [given.get(w, x) for w, x in zip(words, map(self.young.get, words))] if given else list(map(self.young.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        get = self.learn(new)
+        return [get(w) if x is None else x for w, x in zip(words, found)]
+
 
 def spread(texts: list[str], marked: tuple[str, ...], memory: Memory, whole: Callable[[list[str]], list]) -> list[list]:
     """For each text the remembered values of its chunks, or the one value of a text that stays whole."""

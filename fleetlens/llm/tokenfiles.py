@@ -21,43 +21,58 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.batches import map_arrow, pieces, strings
-from fleetlens.llm.chunks import Cells, cut, encode_chunks, library, specials
-from fleetlens.session import input_bytes, scratch
+from fleetlens.llm.chunks import Memory, encode_chunks, library, marked_cuts, specials
+from fleetlens.session import input_bytes, scratch, writing
 
 END = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Text bytes meant for one file, and how many of them a byte of a compressed table holds.
 FILE_BYTES, UNPACKED = 32 << 20, 2
+#: Chunks that no text holds: the end of a text, and (before its number) a text that is not cut.
+STOP, WHOLE = "\1", "\2"
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str, end: int = END):
     """Function from texts to (values, lengths): all ids one after another, the end id after each text.
 
-    A Python worker keeps it, with the chunks it has met, from one task to the next.
+    The chunks of all texts are numbered in one pass, so each is looked up once however often it occurs. A Python worker
+    keeps the function, with the chunks it has met, from one task to the next.
     """
     t = library(path)
-    stop = np.array([end], "<u4").tobytes()
 
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(t.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4").tobytes() for x in texts]
+    def whole(text: str) -> bytes:
+        return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    known = Cells(lambda words: encode_chunks(t, words), {"": b"", "\n": whole(["\n"])[0]})
+    memory = Memory(lambda words: encode_chunks(t, words), {"": b"", "\n": whole("\n"), STOP: np.array([end], "<u4").tobytes()})
     marked = specials(t)
 
-    def encode(texts: list[str]) -> tuple[bytes, list[int]]:
-        get = known.__getitem__
-        parts = [None if any(s in x for s in marked) else cut(x) for x in texts]
-        cells = [whole([x]) if p is None else list(map(get, p)) for x, p in zip(texts, parts)]
-        known.fill()
-        made = [b"".join([*x, stop]) for x in cells]
-        return b"".join(made), [len(x) // 4 for x in made]
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        uncut, lines = {}, []
+        for i, x in enumerate(texts):
+            line = None if any(s in x for s in marked) else marked_cuts(x)
+            if line is None:
+                line = f"{WHOLE}{i}"
+                uncut[line] = whole(x)
+            lines.append(f"{line}\0{STOP}")
+        parted = pc.split_pattern(pa.array(lines, pa.large_string()), "\0")
+        words = parted.values.dictionary_encode()
+        cells = memory.values(words.dictionary.to_numpy(zero_copy_only=False).tolist(), uncut)
+        ids = np.frombuffer(b"".join(cells), "<i4")
+        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        at = words.indices.to_numpy()
+        many = sizes[at]
+        ends = np.cumsum(many)
+        # The ids of each chunk stand together in `ids`, those before it in the texts make up the rest of its place.
+        values = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - many), many) + np.arange(ends[-1])]
+        return values, np.diff(np.concatenate([[0], ends])[parted.offsets.to_numpy()])
 
     return encode
 
@@ -86,7 +101,7 @@ def write_tokens(
                 values, lengths = encode(strings(piece.column("text")))
                 ends = np.cumsum(lengths)
                 ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(values, "<i4"))
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values)
                 )
                 yield pa.RecordBatch.from_arrays([
                     piece.column("file"), piece.column("doc_id"), pa.array(place + ends - lengths, pa.int64()),
@@ -94,12 +109,13 @@ def write_tokens(
                 ], names=schema.names)
                 place += int(ends[-1])
 
-    writer = map_arrow(dealt, run, schema).write.mode("overwrite")
-    writer.options(**{
+    writer = map_arrow(dealt, run, schema).write.mode("overwrite").options(**{
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES),
         "parquet.page.size": str(PAGE_BYTES), "parquet.page.write-checksum.enabled": "false",
         "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "compression": "zstd",
-    }).parquet(path)
+    })
+    with writing(spark):
+        writer.parquet(path)
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -126,6 +142,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
     def run(batches):
+        encoder.cache_clear()  # a worker that has encoded gives its memory of chunks back
         for batch in batches:
             ids = batch.column("ids")
             values, offsets = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B"), ids.offsets.to_numpy()

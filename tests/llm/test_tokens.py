@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chats, sentencepieces, tokenfiles, wholetokens
+from fleetlens.llm import chats, chunks, sentencepieces, tokenfiles, wholetokens
 from fleetlens.llm.templates import Template, TemplateError, escape, unescape
 from fleetlens.session import scratch
 
@@ -61,6 +61,23 @@ def test_token_files(spark, docs):
     assert meta.columns == ["doc_id", "start", "n_tokens"] and "ids" not in meta._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chunks_are_looked_up_once_and_letters_merged_alone(monkeypatch):
+    """A chunk is looked up once however often it occurs, a chunk of letters needs no cutting, and the ids are the library's."""
+    tokenfiles.encoder.cache_clear()
+    encode = tokenfiles.encoder(BPE)
+    texts = ["the cat sat. The été, the cat don't!" * 3, "", "tail ", "a  b", "\n", "one\ntwo", "<|endoftext|> x", "\x00\x01\x02\x020", "你好 the cat", "the cat " * 500 + "x"]
+    joined, asked = chunks._joined, []
+    monkeypatch.setattr(chunks, "_joined", lambda t, words: asked.extend(words) or joined(t, words))
+    values, lengths = encode(texts)
+    assert asked and not any(w.strip().isalpha() for w in asked) and len(asked) == len(set(asked))
+    whole, at = chunks.library(BPE), 0
+    for text, n in zip(texts, lengths):
+        assert values[at:at + n].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+        at += n
+    assert at == len(values)
+    tokenfiles.encoder.cache_clear()
+
+
 def test_token_files_of_odd_tables(spark, docs_of):
     df = docs_of([(2, "b"), (None, "n"), (1, "a"), (2, "b"), (1, None)])
     rows = sorted(tokenfiles.encode_and_read(df, BPE).collect(), key=lambda r: r.start)
