@@ -108,6 +108,9 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
 #: A row of single signs, of which the lattice decides what belongs together.
 ROW = re.compile(r"(?<!\S)[^\s.,;:?\"'\-_/](?:[\s.\-_*/]{1,3}[^\s.,;:?\"'\-_/]){2,}(?!\S)")
+#: Parts that every match of `SPACED` and of `ROW` holds, quick to look for.
+IN_SPACED = re.compile(r"[ .\-_*][^\W_][ .\-_*][^\W_][ .\-_*]")
+IN_ROW = re.compile(r"[\s.\-_*/][^\s.,;:?\"'\-_/][\s.\-_*/]{1,3}[^\s.,;:?\"'\-_/](?!\S)")
 SEPARATORS = re.compile(r"[\s.\-_*/]+")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 
@@ -167,6 +170,8 @@ def restore(token: str, model: np.ndarray) -> list[str]:
     """The words of a lower-case token: as written, and as decoded where it looks odd."""
     if GAP in token:
         return [w for w in decode(token, model).split(" ") if w]
+    if token.isalpha() and not DOUBLED.search(token):
+        return [token]  # a word, and nothing odd in it
     found = WORD.findall(token)
     if not found:
         return found
@@ -187,8 +192,8 @@ def restore(token: str, model: np.ndarray) -> list[str]:
 def tokens(text: str) -> list[str]:
     """Lower-case tokens of a whole text; rows of single letters are tokens as they are, closed up, and with their gaps in doubt."""
     lowered = text.lower()
-    closed = [re.sub(r"[ .\-_*]", "", m[0]) for m in SPACED.finditer(lowered)] if SPACED.search(lowered) else []
-    rows = [SEPARATORS.sub(lambda g: GAP * min(len(g[0]), 2), m[0]) for m in ROW.finditer(lowered)]
+    closed = [re.sub(r"[ .\-_*]", "", m[0]) for m in SPACED.finditer(lowered)] if IN_SPACED.search(lowered) else []
+    rows = [SEPARATORS.sub(lambda g: GAP * min(len(g[0]), 2), m[0]) for m in ROW.finditer(lowered)] if IN_ROW.search(lowered) else []
     return lowered.split() + closed + [r for r in rows if WORD.search(r)]
 
 
@@ -197,6 +202,22 @@ def grams(word: str) -> set[str]:
     return {w[i:i + n] for n in LENGTHS for i in range(len(w) - n + 1)}
 
 
+#: Known n-grams with their numbers, and before them the first characters that each starts with, as many as the shortest n-gram has.
+Known = tuple[frozenset[str], dict[str, int]]
+
+
+def by_head(known: dict[str, int]) -> Known:
+    return frozenset(g[:LENGTHS[0]] for g in known), known
+
+
+def held(word: str, known: Known) -> list[int]:
+    """Numbers of the known n-grams in a word: those of `grams(word)` that are known."""
+    heads, numbers = known
+    w = f"^{word}$"
+    starts = [i for i in range(len(w) - LENGTHS[0] + 1) if w[i:i + LENGTHS[0]] in heads]
+    return [numbers[g] for i in starts for n in LENGTHS if (g := w[i:i + n]) in numbers]
+
+
 # ---- label model ----------------------------------------------------------------------------------------------
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,10 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
 
     counted = map_arrow(drawn, presence, "gram string, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("share").alias("share")).collect()
-    held = {r.label: (r.n, r.share) for r in total}
-    if set(held) != {0, 1}:
-        return {}, (4.0 if 1 in held else -40.0)
-    p, q = held[1][0], held[0][0]
+    drawn_of = {r.label: (r.n, r.share) for r in total}
+    if set(drawn_of) != {0, 1}:
+        return {}, (4.0 if 1 in drawn_of else -40.0)
+    p, q = drawn_of[1][0], drawn_of[0][0]
     lift = (F.col("pos") + 0.5) / (p + 1) / ((F.col("neg") + 0.5) / (q + 1))
     best = counted.where((F.col("gram") != "") & (F.col("pos") >= min(LEAST_DOCS, max(2, p // 20))) & (lift > 4)).orderBy(
         (F.log(lift) * F.col("pos")).desc(), "gram").limit(FEATURES)
@@ -241,15 +262,15 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
     names = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def rows_of(batches):
-        lm, known, seen = shared.value, names.value, {}
+        lm, heads, seen = shared.value, by_head(names.value), {}
         for batch in batches:
-            found = [sorted(_features(x, lm, known, seen)) for x in strings(batch.column("text"))]
+            found = [sorted(_features(x, lm, heads, seen)) for x in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
     data = map_arrow(drawn, rows_of, "label int, found array<int>").collect()
     weights, bias = regress([r.found for r in data], np.array([r.label for r in data], float), len(chosen))
     # The two labels were drawn at different rates.
-    bias += math.log(held[0][1] / held[1][1])
+    bias += math.log(drawn_of[0][1] / drawn_of[1][1])
     return {g: float(weights[i]) for g, i in chosen.items()}, float(bias)
 
 
@@ -278,7 +299,7 @@ def _known(token: str, model: np.ndarray, seen: dict) -> frozenset:
     return found
 
 
-def _features(text: str, model: np.ndarray, known: dict[str, int], seen: dict) -> set[int]:
+def _features(text: str, model: np.ndarray, known: Known, seen: dict) -> set[int]:
     """Numbers of the known n-grams in a whole text."""
     out: set[int] = set()
     words = set(tokens(text))
@@ -287,7 +308,7 @@ def _features(text: str, model: np.ndarray, known: dict[str, int], seen: dict) -
         seen.clear()
         new = list(words)
     for w in new:
-        hit = frozenset(known[g] for r in restore(w, model) for g in grams(r) if g in known)
+        hit = frozenset(n for r in restore(w, model) for n in held(r, known))
         seen[w] = hit or None
     for hit in filter(None, map(seen.__getitem__, words)):
         out |= hit
@@ -300,10 +321,10 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], bias: f
 
     def make() -> Callable:
         lm, known, values, start = shared.value
-        seen: dict = {}
+        heads, seen = by_head(known), {}
 
         def one(x: str) -> float:
-            found = list(_features(x, lm, known, seen)) if known else []
+            found = list(_features(x, lm, heads, seen)) if known else []
             total = start + (float(values[found].sum()) / math.sqrt(len(found)) if found else 0.0)
             return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 

@@ -97,6 +97,26 @@ def test_viterbi_finds_the_cheapest_of_all_paths(english):
         assert abs(min(every) - toxicity.best_path(word, english)[0]) < 1e-4, word
 
 
+def test_words_are_matched_without_listing_their_n_grams(english, monkeypatch):
+    """What `held` finds is what `grams` lists; plain words are neither listed nor searched for odd signs."""
+    words = ["plain", "idiot", "pla!n", "a", "ab", "x" * 400, "i-d-i-o-t", "^$", "coool", "été"]
+    known = {g: i for i, g in enumerate(sorted(set().union(*map(toxicity.grams, words)))) if i % 3}
+    heads = toxicity.by_head(known)
+    for word in [*words, "idiots", "unplain"]:
+        assert set(toxicity.held(word, heads)) == {known[g] for g in toxicity.grams(word) if g in known}
+    monkeypatch.setattr(toxicity, "grams", None)
+    monkeypatch.setattr(toxicity, "doubtful", None)
+    assert toxicity._features("A plain word été", english, heads, {}) >= {known[g] for g in ("plai", "lain") if g in known}
+
+
+@pytest.mark.parametrize("text", ["a b c d", "x  y z", "k.i.l.l", "so a b", "s-t_u", "1 2 3 4", "ab c d ef", "w/o r/d", "no rows here. a b, c d", "\t1\tb\nc "])
+def test_rows_of_signs_are_found_as_before(text):
+    lowered = text.lower()
+    rows = [toxicity.SEPARATORS.sub(lambda g: toxicity.GAP * min(len(g[0]), 2), m[0]) for m in toxicity.ROW.finditer(lowered)]
+    closed = [re.sub(r"[ .\-_*]", "", m[0]) for m in toxicity.SPACED.finditer(lowered)]
+    assert toxicity.tokens(text) == lowered.split() + closed + [r for r in rows if toxicity.WORD.search(r)]
+
+
 def test_toxicity_edge_cases(spark, docs_of, english):
     docs = docs_of([(i, "you idiot") for i in range(40)] + [(i, "good day") for i in range(40, 80)] + [(80, None), (81, ""), (82, "an 1d1ot")])
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(80, None), (None, 1)], "doc_id bigint, toxic int")
